@@ -12,19 +12,77 @@ piece its sequence, so no document passes through the driver and no class throug
 
 from __future__ import annotations
 
+import functools
 import itertools
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
+from .wordpiece import byte_table
 
-#: Distinct words kept in a task's memory with their ids; the memory is emptied when full.
-CACHE_WORDS = 200_000
+#: Distinct words kept in a worker's memory with their ids; the memory is emptied when full.
+CACHE_WORDS = 400_000
+#: Words for which lower-casing, composition and the split into letters, digits and signs are the same in Python and in the tokenizer.
+PLAIN = re.compile("[\\x21-\\x7e\u00c0-\u012f\u0131-\u024f]+")
+
+
+class MergeRanks:
+    """The same byte pair merges by tiktoken, which is several times faster on single words.
+
+    Merges become ranks of byte strings; the end of a word is a byte of its own that joins the last
+    byte before any other merge. Only for vocabularies with an end-of-word suffix, lower case and a
+    single split pattern; others, and words that are not PLAIN, are left to the tokenizer.
+    """
+
+    END, NEXT = "\x01", "\x02"
+
+    def __init__(self, model: dict):
+        import tiktoken
+
+        table, suffix = byte_table(), model["model"]["end_of_word_suffix"]
+
+        def raw(piece: str) -> bytes:
+            ends = piece.endswith(suffix)
+            return bytes(table[c] for c in (piece[: -len(suffix)] if ends else piece)) + self.END.encode() * ends
+
+        ranks = {bytes([b]): b for b in range(256)}
+        for b in range(256):
+            ranks.setdefault(bytes([b]) + self.END.encode(), len(ranks))
+        for merge in model["model"]["merges"]:
+            one, two = merge if isinstance(merge, list) else merge.split(" ")
+            ranks.setdefault(raw(one) + raw(two), len(ranks))
+        ids = {raw(p): i for p, i in model["model"]["vocab"].items() if all(c in table for c in p)}
+        self.ids = np.array([ids.get(k, 0) for k in ranks], dtype="<u4")  # in the order of ranks
+        self.stop = ranks[self.NEXT.encode() + self.END.encode()]
+        self.split = regex.compile(model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.encoding = tiktoken.Encoding("merges", pat_str=rf"[^{self.END}]*{self.END}", mergeable_ranks=ranks, special_tokens={})
+
+    @classmethod
+    def of(cls, path: str) -> MergeRanks | None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        try:
+            steps = [n["type"] for n in model["normalizer"]["normalizers"]]
+            pre = [p["type"] for p in model["pre_tokenizer"]["pretokenizers"]]
+            fits = steps == ["NFC", "Replace", "Lowercase"] and pre == ["Split", "ByteLevel"] and model["model"]["end_of_word_suffix"]
+        except (KeyError, TypeError):
+            fits = False
+        return cls(model) if fits else None
+
+    def encode(self, found: list[str]) -> list[bytes]:
+        pieces = self.split.findall(f" {self.NEXT} ".join(found).lower())
+        ranks = np.array(self.encoding.encode_ordinary(self.END.join(pieces) + self.END))
+        stops = np.flatnonzero(ranks == self.stop)
+        raw = self.ids[ranks].tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *(stops + 1).tolist()], [*stops.tolist(), len(ranks)], strict=True)]
 
 
 class WordIds(dict):
@@ -35,27 +93,38 @@ class WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.merges = Tokenizer.from_file(path), MergeRanks.of(path)
 
     def learn(self, unseen: list[bytes]) -> None:
         if len(self) + len(unseen) > CACHE_WORDS:
             self.clear()
         for at in range(0, len(unseen), 5000):
-            part = unseen[at : at + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
+            slow = []
+            fast = []
+            for w in unseen[at : at + 5000]:
+                t = w.decode("utf-8", "surrogatepass")
+                (fast if self.merges and "<|" not in t and PLAIN.fullmatch(t) else slow).append((w, t))
+            if fast:
+                self.update(zip([w for w, _ in fast], self.merges.encode([t for _, t in fast]), strict=True))
+            for (w, _), e in zip(slow, self.tokenizer.encode_batch([t for _, t in slow], add_special_tokens=False), strict=True):
                 self[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def ids(self, text: str | None) -> bytes:
         found = text.encode("utf-8", "surrogatepass").split() if text else []
-        try:
-            return b"".join(map(self.__getitem__, found))
-        except KeyError:
-            self.learn(list({w for w in found if w not in self}))
-        try:
-            return b"".join(map(self.__getitem__, found))
-        except KeyError:  # emptied meanwhile
-            self.learn(list(set(found)))
-            return b"".join(map(self.__getitem__, found))
+        out = list(map(self.get, found))
+        if None in out:
+            self.learn(list({w for w, v in zip(found, out, strict=True) if v is None}))
+            out = list(map(self.get, found))
+            if None in out:  # emptied meanwhile
+                self.learn(list(set(found)))
+                out = list(map(self.get, found))
+        return b"".join(out)
+
+
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One per Python worker, kept from task to task."""
+    return WordIds(path)
 
 
 def tokenize(docs: DataFrame, tokenizer: str, seq_len: int = 4096, end_id: int = 2) -> DataFrame:
@@ -67,7 +136,7 @@ def tokenize(docs: DataFrame, tokenizer: str, seq_len: int = 4096, end_id: int =
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(tokenizer)
+        known = word_ids(tokenizer)
         for batch in batches:
             rows: dict[str, list] = {"doc_id": [], "start": [], "length": [], "doc_tokens": [], "ids": []}
             held = 0
