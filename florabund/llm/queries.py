@@ -88,7 +88,7 @@ ORACLES: dict[str, str] = {
           FROM parts),
         named AS (
           SELECT page_id, host, path,
-                 list_sort(list_filter(string_split(query, '&'), p -> p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS kept
+                 list_sort([p for p in string_split(query, '&') if p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')]) AS kept
           FROM cut),
         canon AS (
           SELECT page_id, host, path,
