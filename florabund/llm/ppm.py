@@ -1,4 +1,4 @@
-"""Prediction by partial matching over bytes (Cleary and Witten 1984; escapes by method C, Moffat 1990).
+"""Prediction by partial matching over bytes (Cleary and Witten 1984; escapes by method D, Howard and Vitter 1992).
 
 Counts of byte contexts of up to ORDER bytes, from all training documents, form the trie as tables: one per order,
 keyed by context. The probability of a symbol after a context comes from the longest context in
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-ORDER = 4
+#: Bytes of the longest context; a gram of one more fits 64 bits up to 7.
+ORDER = 5
 BEGIN, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 GRAM, WORD, TEXT = 0, 1, 2
 BLOCK_BYTES = 24 << 20
@@ -115,13 +116,13 @@ def code_lengths(counted: DataFrame) -> DataFrame:
             node = node.withColumn("covered", F.col("total"))
         nodes[k] = stored(node)
     top = nodes[ORDER]
-    known = counted.filter("n > 0").withColumn("c", context(ORDER)).join(top, "c").select("key", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("value"))
+    known = counted.filter("n > 0").withColumn("c", context(ORDER)).join(top, "c").select("key", F.log10((F.col("n") - 0.5) / F.col("total")).alias("value"))
     # grams not in training go down the orders
     rows = counted.filter("n = 0").select("key", F.expr("cast(key & 255L as int)").alias("s"), F.lit(0.0).alias("value"), F.lit(False).alias("done"), F.lit(0).cast("long").alias("out_kinds"), F.lit(0).cast("long").alias("out_total"))
     for k in range(ORDER, -1, -1):
         at = rows.withColumn("c", context(k)).join(nodes[k], "c", "left").join(tables[k], ["c", "s"], "left")
         total, kinds = F.col("total") - F.col("out_total"), F.col("kinds") - F.col("out_kinds")
-        gain = F.when(F.col("done") | F.col("total").isNull() | (kinds <= 0), 0.0).when(F.col("n").isNotNull(), F.log10(F.col("n") / (total + kinds))).otherwise(F.log10(kinds / (total + kinds)))
+        gain = F.when(F.col("done") | F.col("total").isNull() | (kinds <= 0), 0.0).when(F.col("n").isNotNull(), F.log10((F.col("n") - 0.5) / total)).otherwise(F.log10(kinds / (2 * total)))
         rows = at.select(
             "key", "s", (F.col("value") + gain).alias("value"), (F.col("done") | F.col("n").isNotNull()).alias("done"),
             F.coalesce("kinds", F.lit(0).cast("long")).alias("out_kinds"), F.coalesce("covered", F.lit(0).cast("long")).alias("out_total"),
@@ -172,7 +173,7 @@ def score(docs: DataFrame) -> DataFrame:
     values = code_lengths(counts.filter(f"kind = {GRAM}").select("key", "n")).withColumn("kind", F.lit(GRAM))
     values = values.unionByName(counts.filter(f"kind = {WORD} and n > 0").select("key", F.col("n").cast("double").alias("value"), F.lit(WORD).alias("kind")))
     wanted = keys.select("block", "kind", "key").join(values, ["kind", "key"])
-    texts = blocks.filter(F.col("kind") == TEXT).select("block", "blob")
+    texts = blocks.filter(F.col("kind") == TEXT).select(F.col("block").alias("of"), "blob")
     end_value = math.log10(ends + 0.1) - below
 
     def one(own: pa.Table, blob: pa.Table) -> pa.Table:
@@ -202,4 +203,4 @@ def score(docs: DataFrame) -> DataFrame:
         return pa.table(rows, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    return wanted.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(one, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return wanted.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(one, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
