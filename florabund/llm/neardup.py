@@ -6,11 +6,13 @@ class first, so groups of copies count once. Classes that share a band key are c
 XOR population count of two odd sketches estimates their similarity and drops the unlike ones;
 the rest are confirmed on full sets. Candidates are taken in two steps, so that a large group of
 near copies never gives all its pairs: first each member of a bucket against its smallest and
-its most central member, then only pairs of members that are still in different components.
+its most central member, then only pairs of members that are still in different components, which a larger sketch
+estimates more precisely before sets are fetched.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +25,16 @@ from .common import stored, vectorized
 from .components import components
 
 SAMPLE, ROWS, SKETCH_BITS = 128, 4, 512
+#: The larger sample and sketch of documents in unsettled buckets.
+FINE_SAMPLE, FINE_BITS = 1024, 4096
 #: Up to this many ids are broadcast to pick texts; more of them are joined with a shuffle.
 FEW_IDS = 200_000
 #: Members of an unsettled bucket that one task compares with each other or with another block.
 BLOCK = 512
 _rng = np.random.default_rng(20240607)
-_A = _rng.integers(1, 2**32, SAMPLE, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_B = _rng.integers(0, 2**32, SAMPLE, dtype=np.uint64).astype(np.uint32)
-_PLACE = _rng.integers(1, 2**63, SAMPLE, dtype=np.uint64) | np.uint64(1)
+_A = _rng.integers(1, 2**32, FINE_SAMPLE, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 2**32, FINE_SAMPLE, dtype=np.uint64).astype(np.uint32)
+_PLACE = _rng.integers(1, 2**63, FINE_SAMPLE, dtype=np.uint64) | np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,8 +77,9 @@ def sample(hashes: np.ndarray, size: int = SAMPLE) -> np.ndarray:
     """MinHash sample of `size` 32-bit values."""
     low = (hashes >> np.uint64(32)).astype(np.uint32)
     best = np.full(size, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(low), 2048):
-        part = low[at : at + 2048, None] ^ _B[:size]
+    step = max(1, (1 << 18) // size)
+    for at in range(0, len(low), step):
+        part = low[at : at + step, None] ^ _B[:size]
         part *= _A[:size]
         np.minimum(best, part.min(axis=0), out=best)
     return best
@@ -88,23 +93,25 @@ def band_keys(best: np.ndarray, width: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(best: np.ndarray) -> np.ndarray:
-    """Parity bitmap: each (position, value) of the sample flips one of SKETCH_BITS bits."""
-    at = mix(best.astype(np.uint64) * _P + _PLACE[: len(best)]) % np.uint64(SKETCH_BITS)
-    odd = (np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+def odd_sketch(best: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Parity bitmap: each (position, value) of the sample flips one of the bits."""
+    at = mix(best.astype(np.uint64) * _P + _PLACE[: len(best)]) % np.uint64(bits)
+    odd = (np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def estimate(different: np.ndarray, size: int = SAMPLE) -> np.ndarray:
+def estimate(different: np.ndarray, size: int = SAMPLE, bits: int = SKETCH_BITS) -> np.ndarray:
     """Similarity from the number of bits in which two odd sketches differ."""
-    share = np.minimum(1 - 2 * np.asarray(different, dtype=float) / SKETCH_BITS, 1)
-    return 1 + SKETCH_BITS / 2 * np.log(np.maximum(share, 1e-9)) / (2 * size)
+    share = np.minimum(1 - 2 * np.asarray(different, dtype=float) / bits, 1)
+    return 1 + bits / 2 * np.log(np.maximum(share, 1e-9)) / (2 * size)
 
 
-def most_different(threshold: float, size: int = SAMPLE) -> int:
-    """Bits in which the sketches of a pair at the threshold differ at most, with five standard deviations of the sample as slack."""
-    slack = 5 * (threshold * (1 - threshold) / size) ** 0.5
-    return int(np.flatnonzero(estimate(np.arange(SKETCH_BITS // 2), size) >= threshold - slack)[-1])
+def most_different(threshold: float, size: int = SAMPLE, bits: int = SKETCH_BITS) -> int:
+    """Bits in which the sketches of a pair at the threshold differ at most: five standard deviations, of sample and sketch, below it."""
+    toggles = 2 * size * (1 - threshold)
+    of_sketch = bits / 4 * (math.exp(4 * toggles / bits) - 1) - toggles  # variance of the number of toggles estimated from parities
+    slack = 5 * math.sqrt(threshold * (1 - threshold) / size + max(0.0, of_sketch) / (2 * size) ** 2)
+    return int(np.flatnonzero(estimate(np.arange(bits // 2), size, bits) >= threshold - slack)[-1])
 
 
 def signature(text: str, size: int = SAMPLE, width: int = ROWS) -> Column:
@@ -134,6 +141,13 @@ def shingle_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([shingles(t, known).tobytes() for t in texts])
 
 
+@vectorized("array<long>")
+def fine_sketch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    known = WordHash()
+    for texts in batches:
+        yield pd.Series([odd_sketch(sample(shingles(t, known), FINE_SAMPLE), FINE_BITS) for t in texts])
+
+
 @vectorized("long")
 def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: bytes, y: bytes) -> int:
@@ -156,15 +170,20 @@ def _alike(pairs: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
     return both.filter(bits_apart("sa", "sb") <= most).select("a", "b")
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ids(id)."""
+    ids = stored(ids.select("id").distinct())
+    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+    return docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of pairs(a, b) with 100 * intersection >= percent * union on full shingle sets.
 
     A document with many partners gets copies of its set by hash slice, one for each 500 of its pairs.
     """
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    ids = stored(ids)
-    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-    sets = stored(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").select("id", shingle_set("text").alias("s")).dropDuplicates(["id"]))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    sets = stored(_texts_of(docs, ids).select("id", shingle_set("text").alias("s")).dropDuplicates(["id"]))
     out = pairs
     for end in ("a", "b"):
         slices = pairs.groupBy(end).agg(F.ceil(F.count("*") / 500).cast("int").alias("slices"))
@@ -176,8 +195,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return out.filter(100 * F.col("n") >= percent * (size("sa") + size("sb") - F.col("n"))).select("a", "b")
 
 
-def _across(members: DataFrame, most: int) -> DataFrame:
-    """Pairs inside the buckets of members(key, id, component, sketch) with different components and alike sketches.
+def _across(members: DataFrame, most: int, most_fine: int) -> DataFrame:
+    """Pairs inside the buckets of members(key, id, component, sketch, fine) with different components and alike sketches of both kinds.
 
     Large buckets are cut into blocks of about BLOCK members by hash and every two blocks meet in
     a task of their own; sketches are compared as matrices, and only pairs that pass become rows.
@@ -185,7 +204,7 @@ def _across(members: DataFrame, most: int) -> DataFrame:
     size = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = members.join(size, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sketch")
+    own = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sketch", "fine")
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -200,12 +219,18 @@ def _across(members: DataFrame, most: int) -> DataFrame:
             if i == j:
                 ok &= x < y
             p, q = np.nonzero(ok)
+            fine_a, fine_b = np.stack(left.fine.to_numpy()), np.stack(right.fine.to_numpy())
+            near = np.zeros(len(p), dtype=bool)
+            for at in range(0, len(p), 4096):
+                part = slice(at, at + 4096)
+                near[part] = np.bitwise_count(fine_a[p[part]] ^ fine_b[q[part]]).sum(axis=1) <= most_fine
+            p, q = p[near], q[near]
             found.append(pd.DataFrame({"a": np.minimum(x[p, 0], y[0, q]), "b": np.maximum(x[p, 0], y[0, q])}))
         return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     # small buckets share tasks; a pair of blocks of a large one is a task by itself
     small = F.pmod(F.xxhash64("key"), F.lit(4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    own = own.select(F.when((F.col("i") == 0) & (F.col("j") == 0), small).otherwise(F.xxhash64("key", "i", "j")).alias("task"), "key", "i", "j", "own", "id", "component", "sketch")
+    own = own.select(F.when((F.col("i") == 0) & (F.col("j") == 0), small).otherwise(F.xxhash64("key", "i", "j")).alias("task"), "key", "i", "j", "own", "id", "component", "sketch", "fine")
     return own.groupBy("task").applyInPandas(pairs, "a long, b long").distinct()
 
 
@@ -234,8 +259,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SAMPLE, widt
     names = components(links) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     placed = members.select("key", "id").join(names.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-    unsettled = stored(placed.join(open_keys, "key", "left_semi").join(sketches, "id"))
-    second = stored(_across(unsettled, most).join(first, ["a", "b"], "left_anti"))
+    unsettled = stored(placed.join(open_keys, "key", "left_semi"))
+    fine = stored(_texts_of(docs, unsettled).select("id", fine_sketch("text").alias("fine")).dropDuplicates(["id"]))
+    both = unsettled.join(sketches.join(fine, "id"), "id")
+    second = stored(_across(both, most, most_different(percent / 100, FINE_SAMPLE, FINE_BITS)).join(first, ["a", "b"], "left_anti"))
     more = stored(confirm(second, docs, percent))
     if not more.isEmpty():
         names = components(links.union(more))

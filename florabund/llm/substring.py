@@ -24,6 +24,8 @@ from .neardup import WordHash, bands_for, mix, near_duplicates
 
 #: A block ends within this many words.
 SPACING = 16
+#: Blocks of fewer words say nothing; a span runs on over such a gap.
+LEAST = 5
 SAMPLE = 48
 LINE, BLOCK = 0, 1
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -52,12 +54,13 @@ def paragraphs_of(text: str, known: WordHash, min_line: int) -> list[tuple[int,
         edge = np.concatenate([[0], cuts(h), [len(h)]])
         edge = np.unique(edge)
         powers = np.cumprod(np.full(len(h), _P, dtype=np.uint64))
-        total = np.concatenate([[0], np.cumsum(mix(h) * powers)]).astype(np.uint64)
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(h) * powers)])  # all unsigned: a signed zero would make them doubles
         # prefix sums differ by the block's sum times a power of its position; dividing by it (odd, so invertible) makes equal blocks equal
         inverse = np.cumprod(np.full(len(h) + 1, pow(int(_P), -1, 1 << 64), dtype=np.uint64))
         a, b = edge[:-1], edge[1:]
         code = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64)).view(np.int64)
-        out += zip(np.full(len(a), BLOCK).tolist(), a.tolist(), (b - a).tolist(), code.tolist(), strict=True)
+        long = b - a >= LEAST
+        out += zip([BLOCK] * int(long.sum()), a[long].tolist(), (b - a)[long].tolist(), code[long].tolist(), strict=True)
     return out
 
 
@@ -104,7 +107,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 16, min_line: int = 20,
     hit = stored(named.join(first, ["kind", "cluster"]).select("doc_id", "start", "n_words", "cluster", "lo"))
     in_order = Window.partitionBy("doc_id").orderBy("start", F.desc("n_words"))
     reach = F.max(F.col("start") + F.col("n_words")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = hit.withColumn("reach", reach).withColumn("new", (F.col("reach").isNull() | (F.col("start") > F.col("reach"))).cast("int"))
+    runs = hit.withColumn("reach", reach).withColumn("new", (F.col("reach").isNull() | (F.col("start") >= F.col("reach") + LEAST)).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start_word"), (F.max(F.col("start") + F.col("n_words")) - F.min("start")).alias("n_words"), F.min_by("cluster", F.struct("start", "n_words", "cluster")).alias("cluster"), F.min("lo").alias("first_doc_id"))
     return spans.filter(F.col("n_words") >= min_words).drop("run").withColumn("removed", F.col("doc_id") != F.col("first_doc_id"))

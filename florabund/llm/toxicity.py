@@ -3,8 +3,8 @@
 Features are the hashed words of a text and their four-letter beginnings, present or not.
 Confirmed toxic documents are the positives; any documents are the unlabelled rest. The risk is
 prior * E_P[l(f, 1)] + max(0, E_U[l(f, -1)] - prior * E_P[l(f, -1)]); where the second part turns
-negative, a step raises it instead. Several numpy classifiers are trained on disjoint bags, one
-Spark task each, and their logits averaged. Training uses a bounded sample (documented
+negative, a step raises it instead. Several numpy classifiers are trained, each in a Spark task with all
+sampled positives and its own part of the sampled rest, and their logits averaged. Training uses a bounded sample (documented
 parameters); scoring reads every whole text.
 """
 
@@ -66,7 +66,7 @@ def select_features(lists: list[np.ndarray], positive: np.ndarray, most: int) ->
     return np.sort(top[(z[top] > 3) & (p[top] >= 3)])
 
 
-def fit(lists: list[np.ndarray], positive: np.ndarray, prior: float, features: int = 1024, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(lists: list[np.ndarray], positive: np.ndarray, prior: float, features: int = 1024, steps: int = 600, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, np.ndarray, float]:
     """(feature ids, weights, bias) of a linear classifier with logistic loss under the non-negative risk."""
     chosen = select_features(lists, positive, features)
     place = np.full(1 << BITS, -1, dtype=np.int64)
@@ -101,7 +101,9 @@ def train(docs: DataFrame, positives: DataFrame, prior: float, bags: int = 4, ma
     p = positives.select("doc_id").distinct().orderBy(order, "doc_id").limit(max_positive).withColumn("positive", F.lit(True))
     u = docs.select("doc_id").orderBy(F.xxhash64(F.col("doc_id"), F.lit(6)), "doc_id").limit(max_unlabelled).withColumn("positive", F.lit(False))
     chosen = F.broadcast(p.union(u))  # at most max_positive + max_unlabelled ids
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("positive", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(bags)).alias("bag"), hashed("text").alias("ids"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("positive", "doc_id", hashed("text").alias("ids"))
+    of = F.when(F.col("positive"), F.array(*map(F.lit, range(bags)))).otherwise(F.array(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(bags)).cast("int")))
+    rows = rows.select("positive", F.explode(of).alias("bag"), "ids")
 
     def one(bag: pd.DataFrame) -> pd.DataFrame:
         ids, w, b = fit([np.asarray(x, dtype=np.int64) for x in bag.ids], bag.positive.to_numpy(bool), prior)
