@@ -36,6 +36,10 @@ def cuts(h: np.ndarray) -> np.ndarray:
     if len(h) < SPACING + 2:
         return np.empty(0, dtype=np.int64)
     g = mix(h[:-2] * _P + h[1:-1] * np.uint64(31) + h[2:])
+    # where the same three words go on and on, only each SPACING-th place from the first counts, else every one would tie
+    place = np.arange(len(g))
+    begin = np.maximum.accumulate(np.where(np.concatenate([[True], g[1:] != g[:-1]]), place, 0))
+    g = np.where((place - begin) % SPACING == 0, g, np.uint64(2**64 - 1))
     view = np.lib.stride_tricks.sliding_window_view(g, SPACING)
     return np.unique(view.argmin(axis=1) + np.arange(len(view)))
 
@@ -91,9 +95,9 @@ def _lines(min_line: int):
 def repeated_passages(docs: DataFrame, min_words: int = 16, min_line: int = 20, percent: int = 80, recall: float = 0.99) -> DataFrame:
     """A row per repeated span of docs(doc_id, text): doc_id, start_word, n_words, cluster, first_doc_id, removed.
 
-    Counted in words [^\\x20\\x09-\\x0D]+, A-Z lower-cased. cluster names the component of the span's first
-    paragraph; first_doc_id is the smallest document with a paragraph of the span; removed is true
-    in all others. Documents without a repeated span, and null, empty or blank texts, have no row.
+    Counted in words [^\\x20\\x09-\\x0D]+, A-Z lower-cased. cluster names the component of the span's
+    longest paragraph; first_doc_id is the smallest document with that paragraph; removed is true in
+    all others. Documents without a repeated span, and null, empty or blank texts, have no row.
     Rows that repeat a doc_id are one document; repeats inside one document alone do not count.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
@@ -109,5 +113,5 @@ def repeated_passages(docs: DataFrame, min_words: int = 16, min_line: int = 20,
     reach = F.max(F.col("start") + F.col("n_words")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     runs = hit.withColumn("reach", reach).withColumn("new", (F.col("reach").isNull() | (F.col("start") >= F.col("reach") + LEAST)).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start_word"), (F.max(F.col("start") + F.col("n_words")) - F.min("start")).alias("n_words"), F.min_by("cluster", F.struct("start", "n_words", "cluster")).alias("cluster"), F.min("lo").alias("first_doc_id"))
-    return spans.filter(F.col("n_words") >= min_words).drop("run").withColumn("removed", F.col("doc_id") != F.col("first_doc_id"))
+    spans = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start_word"), (F.max(F.col("start") + F.col("n_words")) - F.min("start")).alias("n_words"), F.max_by(F.struct("cluster", "lo"), F.struct("n_words", -F.col("lo"), -F.col("start"))).alias("longest"))
+    return spans.filter(F.col("n_words") >= min_words).select("doc_id", "start_word", "n_words", "longest.cluster", F.col("longest.lo").alias("first_doc_id")).withColumn("removed", F.col("doc_id") != F.col("first_doc_id"))
