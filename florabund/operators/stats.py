@@ -105,6 +105,17 @@ def likelihood_grid(rows: DataFrame, deltas: list[float]) -> DataFrame:
     return points.withColumn("delta", F.array(*map(F.lit, deltas))[F.col("k")]).drop("k")
 
 
+def _near_grid(offsets: list[float]):
+    """Likelihoods of a row at deltas around a given one."""
+
+    @F.pandas_udf("array<double>")
+    def grid(base: pd.Series, other: pd.Series, at: pd.Series) -> pd.Series:
+        d = [np.clip(a + np.array(offsets), 1e-6, 1 - 1e-6) for a in at]
+        return pd.Series([_likelihoods([pd.Series([b]), pd.Series([o])], x / (1 - x))[0] for b, o, x in zip(base, other, d, strict=True)])
+
+    return grid
+
+
 def common_dispersion(rows: DataFrame, levels: int = 3) -> DataFrame:
     """genome_id, phi: the dispersion with the largest summed conditional likelihood, on a grid of delta that is refined levels - 1 times; ties take the smaller."""
     step = 1 / (GRID + 1)
@@ -114,13 +125,7 @@ def common_dispersion(rows: DataFrame, levels: int = 3) -> DataFrame:
         fine = step * 2 / (GRID + 1)
         offsets = [(k - (GRID + 1) / 2) * fine for k in range(1, GRID + 1)]
         near = rows.join(best, "genome_id")
-
-        @F.pandas_udf("array<double>")
-        def grid(base: pd.Series, other: pd.Series, at: pd.Series, offsets=tuple(offsets)) -> pd.Series:
-            d = [np.clip(a + np.array(offsets), 1e-6, 1 - 1e-6) for a in at]
-            return pd.Series([_likelihoods([pd.Series([b]), pd.Series([o])], x / (1 - x))[0] for b, o, x in zip(base, other, d, strict=True)])
-
-        points = near.select("genome_id", F.col("delta").alias("at"), F.posexplode(grid("base", "other", "delta")).alias("k", "ll"))
+        points = near.select("genome_id", F.col("delta").alias("at"), F.posexplode(_near_grid(offsets)("base", "other", "delta")).alias("k", "ll"))
         summed = points.groupBy("genome_id", "at", "k").agg(F.sum("ll").alias("ll"))
         summed = summed.withColumn("delta", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("at") + F.array(*map(F.lit, offsets))[F.col("k")])))
         best = summed.groupBy("genome_id").agg(F.max_by("delta", F.struct(F.round("ll", 8), -F.col("delta"))).alias("delta"))
