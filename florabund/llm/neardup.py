@@ -195,6 +195,11 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return out.filter(100 * F.col("n") >= percent * (size("sa") + size("sb") - F.col("n"))).select("a", "b")
 
 
+def _bits(sketches: pd.Series) -> np.ndarray:
+    """Sketches as rows of unsigned words; bitwise_count takes the absolute value of signed ones."""
+    return np.stack(sketches.to_numpy()).view(np.uint64)
+
+
 def _across(members: DataFrame, most: int, most_fine: int) -> DataFrame:
     """Pairs inside the buckets of members(key, id, component, sketch, fine) with different components and alike sketches of both kinds.
 
@@ -210,7 +215,7 @@ def _across(members: DataFrame, most: int, most_fine: int) -> DataFrame:
         found = []
         for (_, i, j), g in group.groupby(["key", "i", "j"], sort=False):
             left, right = g[g.own == i], g[g.own == j]
-            a, b = np.stack(left.sketch.to_numpy()), np.stack(right.sketch.to_numpy())
+            a, b = _bits(left.sketch), _bits(right.sketch)
             apart = np.zeros((len(a), len(b)), dtype=np.int64)
             for k in range(a.shape[1]):
                 apart += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
@@ -219,7 +224,7 @@ def _across(members: DataFrame, most: int, most_fine: int) -> DataFrame:
             if i == j:
                 ok &= x < y
             p, q = np.nonzero(ok)
-            fine_a, fine_b = np.stack(left.fine.to_numpy()), np.stack(right.fine.to_numpy())
+            fine_a, fine_b = _bits(left.fine), _bits(right.fine)
             near = np.zeros(len(p), dtype=bool)
             for at in range(0, len(p), 4096):
                 part = slice(at, at + 4096)
