@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,3 +66,17 @@ def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is in ids(doc_id); a null id matches a null id. All columns stay as they are."""
     wanted = ids.select(F.col("doc_id").alias("__wanted_id")).distinct()
     return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__wanted_id"]), "left_semi")
+
+
+def together(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
+    """Neighbouring texts in lists of about `size` bytes."""
+    part: list[bytes] = []
+    held = 0
+    for t in texts:
+        part.append(t)
+        held += len(t)
+        if held >= size:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part

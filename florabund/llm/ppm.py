@@ -26,53 +26,83 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, together
 
 #: Bytes of the longest context; a gram of one more fits 64 bits up to 7.
 ORDER = 5
 BEGIN, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 GRAM, WORD, TEXT = 0, 1, 2
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 48 << 20
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the ORDER bytes before each byte and the end, and the byte, of all texts; where each text begins."""
-    joined = np.frombuffer(b"".join(bytes([BEGIN]) * ORDER + t + bytes([END]) for t in texts), dtype=np.uint8)
+    joined = b"".join(bytes([BEGIN]) * ORDER + t + bytes([END]) for t in texts)
     size = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    code = np.zeros(max(0, len(joined) - ORDER), dtype=np.uint64)
-    for k in range(ORDER + 1):
-        code = (code << np.uint64(8)) | joined[k : len(joined) - ORDER + k]
+    n = max(0, len(joined) - ORDER)
+    # eight bytes from each place on as one number, of which the first ORDER + 1 stay
+    eight = np.ndarray((n,), dtype=">u8", buffer=joined + bytes(8), strides=(1,))
+    code = eight.astype(np.uint64) >> np.uint64(8 * (7 - ORDER))
     first = np.concatenate([[0], np.cumsum(size + ORDER)[:-1]])
-    keep = np.ones(len(code), dtype=bool)
+    keep = np.ones(n, dtype=bool)
     for k in range(ORDER):  # windows that reach over the next text's beginning
-        keep[(first[1:] - ORDER + k)] = False
+        keep[first[1:] - ORDER + k] = False
     return code[keep].view(np.int64), np.concatenate([[0], np.cumsum(size)[:-1]])
 
 
-def word_key(w: bytes) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(w)).view(np.int64))
+def word_keys(found: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in found], dtype=np.uint64).view(np.int64)
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their summed counts."""
+    k, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k)
+    k, n = k[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, dtype=np.int64)
+    return k[new], np.add.reduceat(n, new) if len(new) else n
+
+
+def _gram_counts(texts: list[bytes], train: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of all texts and how often they occur in training texts."""
+    keys, counts = [], []
+    for is_train in (True, False):
+        part = [t for t, x in zip(texts, train, strict=True) if x == is_train]
+        for some in together(part, 2 << 20):
+            k, n = np.unique(grams(some)[0], return_counts=True)
+            keys.append(k), counts.append(n if is_train else np.zeros(len(n), dtype=np.int64))
+    return _summed(keys, counts) if keys else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+
+
+class Numbers(dict):
+    """word -> its number in order of appearance."""
+
+    def __missing__(self, w: bytes) -> int:
+        n = self[w] = len(self)
+        return n
 
 
 def _block_rows(ids: list, train: list[bool], texts: list[bytes], number: int) -> Iterator[pa.RecordBatch]:
-    codes, starts = grams(texts)
-    of = np.repeat(np.array(train, dtype=bool), np.diff(np.append(starts, len(codes))))
-    learned, n = np.unique(codes[of], return_counts=True)
-    other = np.setdiff1d(codes[~of], learned)
-    counts: dict[bytes, int] = {}
-    for t, is_train in zip(texts, train, strict=True):
-        add = 1 if is_train else 0
-        for w in t.split():
-            counts[w] = counts.get(w, 0) + add
-    key = np.fromiter((word_key(w) for w in counts), dtype=np.int64, count=len(counts))
-    blob = zstandard.ZstdCompressor(level=3).compress(pickle.dumps((ids, train, texts)))
+    gram, n = _gram_counts(texts, train)
+    numbers = Numbers()
+    of = [np.fromiter(map(numbers.__getitem__, w), dtype=np.int32, count=len(w)) for w in map(bytes.split, texts)]
+    learned = np.concatenate([o for o, x in zip(of, train, strict=True) if x] or [np.empty(0, dtype=np.int32)])
+    times = np.bincount(learned, minlength=len(numbers))
+    # words are known by their keys' order from here on
+    key = word_keys(list(numbers))
+    order = np.argsort(key)
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    words = place[np.concatenate(of)] if len(order) else np.empty(0, dtype=np.int32)
+    blob = zstandard.ZstdCompressor(level=3).compress(pickle.dumps((ids, train, texts, words, [len(o) for o in of])))
 
     def batch(kind: int, keys: np.ndarray, times: np.ndarray, blobs: list | None = None) -> pa.RecordBatch:
         m = len(keys)
         return pa.RecordBatch.from_arrays([pa.array(np.full(m, number, dtype=np.int64)), pa.array(np.full(m, kind, dtype=np.int32)), pa.array(keys), pa.array(times.astype(np.int64)), pa.array(blobs or [None] * m, type=pa.binary())], names=["block", "kind", "key", "n", "blob"])
 
-    yield batch(GRAM, learned, n)
-    yield batch(GRAM, other, np.zeros(len(other)))
-    yield batch(WORD, key, np.fromiter(counts.values(), dtype=np.int64, count=len(counts)))
+    for kind, keys, counts in ((GRAM, gram, n), (WORD, key[order], times[order])):
+        for at in range(0, len(keys), 1 << 17):
+            yield batch(kind, keys[at : at + (1 << 17)], counts[at : at + (1 << 17)])
     yield batch(TEXT, np.zeros(1, dtype=np.int64), np.zeros(1), [blob])
 
 
@@ -171,7 +201,7 @@ def score(docs: DataFrame) -> DataFrame:
     total, distinct = (total or 0) + ends, (distinct or 0) + (ends > 0)
     below = math.log10(total + 0.1 * (distinct + 1))
     values = code_lengths(counts.filter(f"kind = {GRAM}").select("key", "n")).withColumn("kind", F.lit(GRAM))
-    values = values.unionByName(counts.filter(f"kind = {WORD} and n > 0").select("key", F.col("n").cast("double").alias("value"), F.lit(WORD).alias("kind")))
+    values = values.unionByName(counts.filter(f"kind = {WORD}").select("key", F.col("n").cast("double").alias("value"), F.lit(WORD).alias("kind")))
     wanted = keys.select("block", "kind", "key").join(values, ["kind", "key"])
     texts = blocks.filter(F.col("kind") == TEXT).select(F.col("block").alias("of"), "blob")
     end_value = math.log10(ends + 0.1) - below
@@ -179,26 +209,19 @@ def score(docs: DataFrame) -> DataFrame:
     def one(own: pa.Table, blob: pa.Table) -> pa.Table:
         kind, key, value = (own.column(c).to_numpy() for c in ("kind", "key", "value"))
         look = Lookup(key[kind == GRAM], value[kind == GRAM])
-        is_word = kind == WORD
-        count = dict(zip(key[is_word].tolist(), value[is_word].tolist(), strict=True))
-        ids, train, texts = pickle.loads(zstandard.ZstdDecompressor().decompress(blob.column("blob")[0].as_py()))
-        unknown = math.log10(0.1) - below
-        memory: dict[bytes, float] = {}
+        ids, train, texts, word, sizes = pickle.loads(zstandard.ZstdDecompressor().decompress(blob.column("blob")[0].as_py()))
         rows: dict[str, list] = {c: [] for c in ("doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score")}
-        for at in range(0, len(texts), 256):
-            part = texts[at : at + 256]
+        for part in together(texts, 1 << 20):
             codes, starts = grams(part)
             rows["score"] += np.add.reduceat(look(codes), starts).tolist()
-            for t in part:
-                found = t.split()
-                for w in found:
-                    if w not in memory:
-                        c = count.get(word_key(w), 0)
-                        memory[w] = math.log10(c + 0.1) - below if c else unknown
-                each = [memory[w] for w in found]
-                rows["n_tokens"].append(len(found) + 1)
-                rows["n_known"].append(len(found) - each.count(unknown) + (ends > 0))
-                rows["base_score"].append(math.fsum(each) + end_value)
+        # a block's words are numbered in the order of their keys
+        count = value[kind == WORD][np.argsort(key[kind == WORD])]
+        each, known = (np.log10(count + 0.1) - below)[word], (count > 0)[word]
+        edge = np.concatenate([[0], np.cumsum(sizes)])
+        sums, hits = (np.concatenate([[0], np.cumsum(x)]) for x in (each, known))
+        rows["n_tokens"] = [n + 1 for n in sizes]
+        rows["n_known"] = (hits[edge[1:]] - hits[edge[:-1]] + (ends > 0)).tolist()
+        rows["base_score"] = (sums[edge[1:]] - sums[edge[:-1]] + end_value).tolist()
         rows["doc_id"], rows["train"], rows["train_tokens"] = ids, train, [total] * len(ids)
         return pa.table(rows, schema=schema)
 
