@@ -12,8 +12,9 @@ estimates more precisely before sets are fetched.
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, vectorized
+from .common import stored, together, vectorized
 from .components import components
 
 SAMPLE, ROWS, SKETCH_BITS = 128, 4, 512
@@ -134,6 +135,54 @@ def signature(text: str, size: int = SAMPLE, width: int = ROWS) -> Column:
     return sign(text)
 
 
+def short_signatures(texts: list[bytes], known: WordHash, size: int, width: int, shingle: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of shingles, band keys, odd sketches), a row per text, of many short texts at once; every text needs a shingle's words.
+
+    The same values as of shingles(), sample() and so on; repeated shingles count in the number.
+    """
+    found = [t.split() for t in texts]
+    sizes = np.array([len(w) for w in found])
+    h = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(found)), dtype=np.uint64, count=int(sizes.sum()))
+    out = h[: len(h) - shingle + 1].copy()
+    for k in range(1, shingle):
+        out = out * _P + h[k : len(h) - shingle + 1 + k]
+    ends = np.cumsum(sizes)
+    inside = np.ones(len(out), dtype=bool)
+    for k in range(1, shingle):  # windows that reach over the end of a text
+        at = ends[:-1] - k
+        inside[at[at < len(inside)]] = False
+    low = (mix(out[inside] + np.uint64(shingle)) >> np.uint64(32)).astype(np.uint32)
+    n = sizes - shingle + 1
+    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+    best = np.empty((len(texts), size), dtype=np.uint32)
+    for k in range(size):
+        best[:, k] = np.minimum.reduceat((low ^ _B[k]) * _A[k], first)
+    rows = best[:, : size // width * width].reshape(len(texts), -1, width).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, rows.shape[1] + 1, dtype=np.uint64) * _P, rows.shape[:2])
+    for k in range(width):
+        key = mix(key + rows[:, :, k]) * _P
+    at = (mix(best.astype(np.uint64) * _P + _PLACE[:size]) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    flat = np.bincount((at + np.arange(len(texts))[:, None] * SKETCH_BITS).ravel(), minlength=len(texts) * SKETCH_BITS) & 1
+    sketch = np.packbits(flat.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(texts), -1)
+    return n, key.view(np.int64), sketch
+
+
+def short_signature(text: str, size: int = SAMPLE, width: int = ROWS) -> Column:
+    """signature() for columns of short texts, cleaned to single spaces and lower case, with five words or more; equal texts are the class."""
+
+    @F.pandas_udf("n_shingles long, set_hash binary, bands array<long>, sketch array<long>")
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = WordHash()
+        for texts in batches:
+            parts = []
+            for part in together([t.encode("utf-8", "surrogatepass") for t in texts], 1 << 18):
+                n, bands, sketch = short_signatures(part, known, size, width)
+                parts.append(pd.DataFrame({"n_shingles": n, "set_hash": [xxhash.xxh3_128_digest(t) for t in part], "bands": list(bands), "sketch": list(sketch)}))
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"n_shingles": [], "set_hash": [], "bands": [], "sketch": []})
+
+    return sign(text)
+
+
 @vectorized("binary")
 def shingle_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     known = WordHash()
@@ -201,7 +250,9 @@ def _bits(sketches: pd.Series) -> np.ndarray:
 
 
 def _across(members: DataFrame, most: int, most_fine: int) -> DataFrame:
-    """Pairs inside the buckets of members(key, id, component, sketch, fine) with different components and alike sketches of both kinds.
+    """Pairs inside the buckets of members(key, id, component, bands, sketch, fine) with different components and alike sketches of both kinds.
+
+    A pair that shares several buckets is taken in that of its first common band.
 
     Large buckets are cut into blocks of about BLOCK members by hash and every two blocks meet in
     a task of their own; sketches are compared as matrices, and only pairs that pass become rows.
@@ -209,11 +260,11 @@ def _across(members: DataFrame, most: int, most_fine: int) -> DataFrame:
     size = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = members.join(size, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sketch", "fine")
+    own = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "bands", "sketch", "fine")
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         found = []
-        for (_, i, j), g in group.groupby(["key", "i", "j"], sort=False):
+        for (key, i, j), g in group.groupby(["key", "i", "j"], sort=False):
             left, right = g[g.own == i], g[g.own == j]
             a, b = _bits(left.sketch), _bits(right.sketch)
             apart = np.zeros((len(a), len(b)), dtype=np.int64)
@@ -224,6 +275,13 @@ def _across(members: DataFrame, most: int, most_fine: int) -> DataFrame:
             if i == j:
                 ok &= x < y
             p, q = np.nonzero(ok)
+            bands_a, bands_b = np.stack(left.bands.to_numpy()), np.stack(right.bands.to_numpy())
+            here = np.zeros(len(p), dtype=bool)
+            for at in range(0, len(p), 4096):
+                part = slice(at, at + 4096)
+                own = bands_a[p[part]]
+                here[part] = own[np.arange(len(own)), (own == bands_b[q[part]]).argmax(axis=1)] == key
+            p, q = p[here], q[here]
             fine_a, fine_b = _bits(left.fine), _bits(right.fine)
             near = np.zeros(len(p), dtype=bool)
             for at in range(0, len(p), 4096):
@@ -235,11 +293,11 @@ def _across(members: DataFrame, most: int, most_fine: int) -> DataFrame:
 
     # small buckets share tasks; a pair of blocks of a large one is a task by itself
     small = F.pmod(F.xxhash64("key"), F.lit(4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    own = own.select(F.when((F.col("i") == 0) & (F.col("j") == 0), small).otherwise(F.xxhash64("key", "i", "j")).alias("task"), "key", "i", "j", "own", "id", "component", "sketch", "fine")
+    own = own.select(F.when((F.col("i") == 0) & (F.col("j") == 0), small).otherwise(F.xxhash64("key", "i", "j")).alias("task"), "key", "i", "j", "own", "id", "component", "bands", "sketch", "fine")
     return own.groupBy("task").applyInPandas(pairs, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SAMPLE, width: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SAMPLE, width: int = ROWS, sign: Callable[[str, int, int], Column] = signature) -> DataFrame:
     """A row for each row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Linked documents share component_id, the smallest doc_id reachable; kept marks that one.
@@ -247,14 +305,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SAMPLE, widt
     doc_id are one document. Rows with a null doc_id are never linked and are kept.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stored(docs.select("doc_id", signature("text", size, width).alias("s")).select("doc_id", "s.*"))
+    signed = stored(docs.select("doc_id", sign("text", size, width).alias("s")).select("doc_id", "s.*"))
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(full.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
     heads = full.join(classes.select("set_hash", F.col("id").alias("doc_id")), ["set_hash", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "bands", "sketch").dropDuplicates(["id"])
     rows = heads.select("id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).filter("n > 1")
     members = stored(rows.join(shared, "key"))
-    sketches = stored(heads.join(members.select("id").distinct(), "id", "left_semi").select("id", "sketch"))
+    sketches = stored(heads.join(members.select("id").distinct(), "id", "left_semi").select("id", "sketch", "bands"))
     weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
     hubs = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
     star = members.join(hubs, "key").select("id", F.explode(F.array_distinct(F.array("hub", "low"))).alias("hub")).filter("id != hub")

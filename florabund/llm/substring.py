@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .neardup import WordHash, bands_for, mix, near_duplicates
+from .neardup import WordHash, bands_for, mix, near_duplicates, short_signature
 
 #: A block ends within this many words.
 SPACING = 16
@@ -102,10 +102,12 @@ def repeated_passages(docs: DataFrame, min_words: int = 16, min_line: int = 20,
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     units = stored(docs.select("doc_id", F.explode(_paragraphs(min_line)("text")).alias("p")).select("doc_id", "p.*"))
+    if min_line < 5:
+        raise ValueError("lines need the words of a shingle")
     _, width = bands_for(percent / 100, recall, SAMPLE)
     # lines that are one component get one name
     lines = docs.select(F.explode(_lines(min_line)("text")).alias("l")).select("l.*")
-    alike = near_duplicates(lines, percent, SAMPLE, width).filter("not kept").select(F.col("doc_id").alias("hash"), F.col("component_id").alias("to")).distinct()
+    alike = near_duplicates(lines, percent, SAMPLE, width, short_signature).filter("not kept").select(F.col("doc_id").alias("hash"), F.col("component_id").alias("to")).distinct()
     named = units.join(stored(alike.withColumn("kind", F.lit(LINE))), ["kind", "hash"], "left").withColumn("cluster", F.coalesce("to", "hash")).drop("to")
     first = named.groupBy("kind", "cluster").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi")
     hit = stored(named.join(first, ["kind", "cluster"]).select("doc_id", "start", "n_words", "cluster", "lo"))

@@ -364,9 +364,9 @@ def test_near_duplicates(spark, corpus):
 def test_blocks_of_large_buckets_meet(spark, monkeypatch):
     """With blocks of four members every pair of an unsettled bucket is still compared."""
     monkeypatch.setattr(neardup, "BLOCK", 4)
-    rows = [(1, i, i, [i // 2] * 8, [i // 2] * 64) for i in range(30)]
-    got = neardup._across(spark.createDataFrame(rows, "key long, id long, component long, sketch array<long>, fine array<long>"), 0, 0)
-    assert {tuple(r) for r in got.collect()} == {(2 * k, 2 * k + 1) for k in range(15)}
+    rows = [(key, i, i, [1, 2], [i // 2] * 8, [i // 2] * 64) for i in range(30) for key in (1, 2)]
+    got = neardup._across(spark.createDataFrame(rows, "key long, id long, component long, bands array<long>, sketch array<long>, fine array<long>"), 0, 0)
+    assert sorted(tuple(r) for r in got.collect()) == [(2 * k, 2 * k + 1) for k in range(15)]
 
 
 def test_odd_sketch_estimates():
@@ -379,6 +379,17 @@ def test_odd_sketch_estimates():
         assert neardup.estimate(apart, 1024, 4096) == pytest.approx(len(both) / (len(both) + 2 * rest), abs=0.06)
 
 
+def test_short_signatures_are_the_same():
+    rng = random.Random(3)
+    texts = [sentence(rng, rng.randrange(5, 60)).encode() for _ in range(50)]
+    known = neardup.WordHash()
+    n, bands, sketch = neardup.short_signatures(texts, known, 48, 4)
+    for k, t in enumerate(texts):
+        best = neardup.sample(neardup.shingles(t.decode(), known), 48)
+        assert n[k] == len(t.split()) - 4
+        assert (bands[k] == neardup.band_keys(best, 4)).all() and (sketch[k] == neardup.odd_sketch(best)).all()
+
+
 # --- 8 token counts -------------------------------------------------------------------------
 
 
