@@ -21,7 +21,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def docs_of(spark, texts, extra=False):
-    rows = [(i, t, "en" if i % 3 else None, "s", len(t or "")) for i, t in (texts.items() if isinstance(texts, dict) else texts)]
+    rows = [(i, t, "en" if (i or 0) % 3 else None, "s", len(t or "")) for i, t in (texts.items() if isinstance(texts, dict) else texts)]
     df = spark.createDataFrame(rows, SCHEMA)
     return df.withColumns({"kept": F.lit("x"), "id": F.lit(1), "row": F.lit(2), "key": F.lit(3), "n": F.lit(4)}) if extra else df
 
