@@ -400,9 +400,9 @@ def v3_tree_vs_include(s: Star) -> DataFrame:
     return idspace.tree_vs_include(_leaves(s), wrong)
 
 
-@query("SELECT DISTINCT sample_id AS genome_id, 'no counts' AS problem FROM samples WHERE sample_id NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT sample_id AS genome_id, 'no counts' AS problem FROM samples WHERE sample_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def v4_counts_present(s: Star) -> DataFrame:
-    return idspace.counts_present(s.samples().select(F.col("sample_id").alias("genome_id")), s.table("orders").select(F.col("o_custkey").alias("genome_id")))
+    return idspace.counts_present(s.samples().select(F.col("sample_id").alias("genome_id")), s.table("orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("genome_id")))
 
 
 @query("SELECT DISTINCT l_partkey AS genome_id, 'no annotation' AS problem FROM lineitem WHERE l_partkey % 5 <> 0 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40)")
