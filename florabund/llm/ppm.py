@@ -7,9 +7,10 @@ Because a symbol seen after a context was seen after its suffix, exclusion needs
 per context, so it is a join of neighbouring orders.
 
 Flow: documents are read once in blocks. A block gives its distinct ORDER+1 byte grams and words
-with training counts, and itself, compressed. Counts are summed over all blocks; each distinct
-gram gets its code length; what a block needs is joined back to it, and the block is scored with
-that alone. So neither model nor vocabulary has to fit one machine.
+with training counts, in packets by key range of a hash, and itself, compressed. The packets of
+one range meet in a task, which sums them over all blocks; each distinct gram gets its code length;
+each packet is answered with the values of its keys, and the block is scored with these answers
+alone. So neither model nor vocabulary has to fit one machine, and no row is made per key and block.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from .common import stored, together
 #: Bytes of the longest context; a gram of one more fits 64 bits up to 7.
 ORDER = 5
 BEGIN, END = 0xFE, 0xFF  # bytes that UTF-8 never has
-GRAM, WORD, TEXT = 0, 1, 2
-BLOCK_BYTES = 48 << 20
+GRAM, WORD, DISTINCT = 0, 1, 2
+BLOCK_BYTES = 16 << 20
+#: Bytes of all texts for each key range: its keys are about a twentieth as many.
+RANGE_BYTES = 48 << 20
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +77,25 @@ def _gram_counts(texts: list[bytes], train: list[bool]) -> tuple[np.ndarray, np.
     return _summed(keys, counts) if keys else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
 
 
+def range_of(key: np.ndarray, ranges: int) -> np.ndarray:
+    return np.mod(key ^ (key >> 23) ^ (key >> 41), ranges)
+
+
+def in_ranges(key: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys by range and key, and where each range begins in it."""
+    of = range_of(key, ranges)
+    order = np.lexsort((key, of))
+    return order, np.searchsorted(of[order], np.arange(ranges + 1))
+
+
+def _zip(x: object) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x, protocol=5))
+
+
+def _unzip(x: bytes) -> object:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
+
+
 class Numbers(dict):
     """word -> its number in order of appearance."""
 
@@ -82,32 +104,30 @@ class Numbers(dict):
         return n
 
 
-def _block_rows(ids: list, train: list[bool], texts: list[bytes], number: int) -> Iterator[pa.RecordBatch]:
-    gram, n = _gram_counts(texts, train)
+def _numbered(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The words of each text as numbers, and the keys by number."""
     numbers = Numbers()
     of = [np.fromiter(map(numbers.__getitem__, w), dtype=np.int32, count=len(w)) for w in map(bytes.split, texts)]
-    learned = np.concatenate([o for o, x in zip(of, train, strict=True) if x] or [np.empty(0, dtype=np.int32)])
-    times = np.bincount(learned, minlength=len(numbers))
-    # words are known by their keys' order from here on
-    key = word_keys(list(numbers))
-    order = np.argsort(key)
-    place = np.empty(len(order), dtype=np.int32)
-    place[order] = np.arange(len(order), dtype=np.int32)
-    words = place[np.concatenate(of)] if len(order) else np.empty(0, dtype=np.int32)
-    blob = zstandard.ZstdCompressor(level=3).compress(pickle.dumps((ids, train, texts, words, [len(o) for o in of])))
+    return of, word_keys(list(numbers))
 
-    def batch(kind: int, keys: np.ndarray, times: np.ndarray, blobs: list | None = None) -> pa.RecordBatch:
-        m = len(keys)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(m, number, dtype=np.int64)), pa.array(np.full(m, kind, dtype=np.int32)), pa.array(keys), pa.array(times.astype(np.int64)), pa.array(blobs or [None] * m, type=pa.binary())], names=["block", "kind", "key", "n", "blob"])
 
-    for kind, keys, counts in ((GRAM, gram, n), (WORD, key[order], times[order])):
-        for at in range(0, len(keys), 1 << 17):
-            yield batch(kind, keys[at : at + (1 << 17)], counts[at : at + (1 << 17)])
-    yield batch(TEXT, np.zeros(1, dtype=np.int64), np.zeros(1), [blob])
+def _block_rows(ids: list, train: list[bool], texts: list[bytes], number: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    gram, n = _gram_counts(texts, train)
+    of, key = _numbered(texts)
+    learned = np.concatenate([o for o, x in zip(of, train, strict=True) if x] or [np.empty(0, dtype=np.int32)])
+    times = np.bincount(learned, minlength=len(key))
+    go, g = in_ranges(gram, ranges)
+    wo, w = in_ranges(key, ranges)
+    gram, n, key, times = gram[go], n[go].astype(np.uint32), key[wo], times[wo].astype(np.uint32)
+    packets = [_zip((gram[g[k] : g[k + 1]], n[g[k] : g[k + 1]], key[w[k] : w[k + 1]], times[w[k] : w[k + 1]])) for k in range(ranges)]
+    rows = [packets, [_zip((ids, train, texts))]]
+    for first, blobs in zip((0, -1), rows, strict=True):
+        m = len(blobs)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number, dtype=np.int64)), pa.array(np.arange(first, first + m, dtype=np.int32)), pa.array(blobs, type=pa.binary())], names=["block", "range", "blob"])
 
 
-def read_blocks(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, train) -> block, kind, key, n, blob."""
+def read_blocks(docs: DataFrame, ranges: int) -> DataFrame:
+    """docs(doc_id, text, train) -> block, range, blob: a packet per block and range, and the block itself as range -1."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -120,12 +140,32 @@ def read_blocks(docs: DataFrame) -> DataFrame:
                 texts.append((t.as_py() or "").encode("utf-8", "surrogatepass").lower())
                 size += len(texts[-1])
                 if size >= BLOCK_BYTES:
-                    yield from _block_rows(ids, train, texts, number)
+                    yield from _block_rows(ids, train, texts, number, ranges)
                     ids, train, texts, size, number = [], [], [], 0, number + 1
         if texts:
-            yield from _block_rows(ids, train, texts, number)
+            yield from _block_rows(ids, train, texts, number, ranges)
+
+    return docs.select("doc_id", "text", "train").mapInArrow(blocks, "block long, range int, blob binary")
+
 
-    return docs.select("doc_id", "text", "train").mapInArrow(blocks, "block long, kind int, key long, n long, blob binary")
+def _sum_range(packets: pa.Table) -> pa.Table:
+    """Summed counts of the grams of a range; of its words the occurrences and the distinct ones in training."""
+    parts = [_unzip(x.as_py()) for x in packets.column("blob")]
+    gram, n = _summed([p[0] for p in parts], [p[1].astype(np.int64) for p in parts])
+    _, times = _summed([p[2] for p in parts], [p[3].astype(np.int64) for p in parts])
+    kind = np.concatenate([np.full(len(gram), GRAM), [WORD, DISTINCT]]).astype(np.int32)
+    return pa.table({"kind": pa.array(kind), "key": pa.array(np.concatenate([gram, [0, 0]])), "n": pa.array(np.concatenate([n, [times.sum(), (times > 0).sum()]]).astype(np.int64))})
+
+
+def _answer_range(packets: pa.Table, values: pa.Table) -> pa.Table:
+    """For each packet the values of its grams and the training counts of its words, in its order."""
+    parts = [_unzip(x.as_py()) for x in packets.column("blob")]
+    key, value = values.column("key").to_numpy(), values.column("value").to_numpy()
+    order = np.argsort(key)
+    key, value = key[order], value[order].astype(np.float32)
+    word, times = _summed([p[2] for p in parts], [p[3].astype(np.int64) for p in parts]) if parts else (key, key)
+    answers = [_zip((value[np.searchsorted(key, p[0])], times[np.searchsorted(word, p[2])])) for p in parts]
+    return pa.table({"block": packets.column("block"), "range": packets.column("range"), "answer": pa.array(answers, type=pa.binary())})
 
 
 def code_lengths(counted: DataFrame) -> DataFrame:
@@ -193,37 +233,40 @@ def score(docs: DataFrame) -> DataFrame:
     Null texts are empty: one end. Without training rows every symbol is uniform over 256.
     Repeated rows count and are scored each for itself.
     """
-    blocks = stored(read_blocks(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.col("train"), F.lit(False)).alias("train"))), "kind")
-    keys = blocks.filter(F.col("kind") < TEXT).select("block", "kind", "key", "n")
-    counts = stored(keys.groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    ends = docs.filter("train").count()
-    total, distinct = counts.filter(f"kind = {WORD}").agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.col("train"), F.lit(False)).alias("train"))
+    size, ends = docs.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()
+    ranges = max(4, (size or 0) // RANGE_BYTES)
+    blocks = stored(read_blocks(docs, ranges))
+    packets = blocks.filter("range >= 0")
+    counts = stored(packets.groupBy("range").applyInArrow(_sum_range, "kind int, key long, n long"))
+    total, distinct = counts.agg(F.sum(F.when(F.col("kind") == WORD, F.col("n"))), F.sum(F.when(F.col("kind") == DISTINCT, F.col("n")))).first()
     total, distinct = (total or 0) + ends, (distinct or 0) + (ends > 0)
     below = math.log10(total + 0.1 * (distinct + 1))
-    values = code_lengths(counts.filter(f"kind = {GRAM}").select("key", "n")).withColumn("kind", F.lit(GRAM))
-    values = values.unionByName(counts.filter(f"kind = {WORD}").select("key", F.col("n").cast("double").alias("value"), F.lit(WORD).alias("kind")))
-    wanted = keys.select("block", "kind", "key").join(values, ["kind", "key"])
-    texts = blocks.filter(F.col("kind") == TEXT).select(F.col("block").alias("of"), "blob")
     end_value = math.log10(ends + 0.1) - below
-
-    def one(own: pa.Table, blob: pa.Table) -> pa.Table:
-        kind, key, value = (own.column(c).to_numpy() for c in ("kind", "key", "value"))
-        look = Lookup(key[kind == GRAM], value[kind == GRAM])
-        ids, train, texts, word, sizes = pickle.loads(zstandard.ZstdDecompressor().decompress(blob.column("blob")[0].as_py()))
+    values = code_lengths(counts.filter(f"kind = {GRAM}").select("key", "n"))
+    values = values.select("key", "value", F.expr(f"cast(pmod(key ^ (key >> 23) ^ (key >> 41), {ranges}) as int)").alias("of"))
+    answers = packets.groupBy("range").cogroup(values.groupBy("of")).applyInArrow(_answer_range, "block long, range int, answer binary")
+
+    def one(answers: pa.Table, blob: pa.Table) -> pa.Table:
+        ids, train, texts = _unzip(blob.column("blob")[0].as_py())
+        by = [_unzip(a.as_py()) for _, a in sorted(zip(answers.column("range").to_pylist(), answers.column("answer"), strict=True), key=lambda x: x[0])]
+        # grams and words in the order in which the packets held them
+        gram = _gram_counts(texts, train)[0]
+        look = Lookup(gram[in_ranges(gram, ranges)[0]], np.concatenate([a[0] for a in by]).astype(float))
+        of, key = _numbered(texts)
+        count = np.empty(len(key), dtype=np.int64)
+        count[in_ranges(key, ranges)[0]] = np.concatenate([a[1] for a in by])
         rows: dict[str, list] = {c: [] for c in ("doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score")}
         for part in together(texts, 1 << 20):
             codes, starts = grams(part)
             rows["score"] += np.add.reduceat(look(codes), starts).tolist()
-        # a block's words are numbered in the order of their keys
-        count = value[kind == WORD][np.argsort(key[kind == WORD])]
-        each, known = (np.log10(count + 0.1) - below)[word], (count > 0)[word]
-        edge = np.concatenate([[0], np.cumsum(sizes)])
-        sums, hits = (np.concatenate([[0], np.cumsum(x)]) for x in (each, known))
-        rows["n_tokens"] = [n + 1 for n in sizes]
-        rows["n_known"] = (hits[edge[1:]] - hits[edge[:-1]] + (ends > 0)).tolist()
-        rows["base_score"] = (sums[edge[1:]] - sums[edge[:-1]] + end_value).tolist()
+        each = np.log10(count + 0.1) - below
+        rows["n_tokens"] = [len(o) + 1 for o in of]
+        rows["n_known"] = [int((count[o] > 0).sum()) + (ends > 0) for o in of]
+        rows["base_score"] = [float(each[o].sum()) + end_value for o in of]
         rows["doc_id"], rows["train"], rows["train_tokens"] = ids, train, [total] * len(ids)
         return pa.table(rows, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    return wanted.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(one, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    texts = blocks.filter("range = -1").select(F.col("block").alias("of"), "blob")
+    return answers.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(one, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -267,13 +267,13 @@ def test_ppm(spark):
     lower = lambda t: (t or "").encode().lower()
     for i, t in texts.items():
         r, w = got[i], lower(t).split()
-        assert r.score == pytest.approx(ppm_brute(learned, lower(t), ppm.ORDER), abs=1e-6)
+        assert r.score == pytest.approx(ppm_brute(learned, lower(t), ppm.ORDER), abs=1e-4)  # values travel as 32-bit floats
         base = sum(math.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in [*(words[x] for x in w), ends])
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w) + 1, sum(x in words for x in w) + 1, n)
         assert r.base_score == pytest.approx(base, abs=1e-6)
     assert ppm.score(df.limit(0)).count() == 0
     alone = ppm.score(df.withColumn("train", F.lit(False)).filter("doc_id = 41")).first()
-    assert alone.score == pytest.approx(-math.log10(256))
+    assert alone.score == pytest.approx(-math.log10(256), abs=1e-6)
 
 
 def test_lookup():
