@@ -872,6 +872,26 @@ def k5_wide_filtered_da_table(s: Star) -> DataFrame:
     return writers.wide_filtered_da_table(s.da(), _catalog(s), da.da_percent_filter(s.da(), {1: (20, True)}, _n(s)), list(range(25)))
 
 
+@query("SELECT genome_id, " + ", ".join(f"max(code) FILTER (group_id = '{b}') AS \"{b}\"" for b in _BRANDS) + " FROM dense WHERE group_id IN (" + ", ".join(f"'{b}'" for b in _BRANDS) + ") GROUP BY 1")
+def k8_wide_cluster_matrix(s: Star) -> DataFrame:
+    kept = s.cluster_groups().filter(F.col("group_id").isin(*_BRANDS))
+    return writers.wide_cluster_matrix(da.densify(s.da().join(kept, "group_id", "left_semi"), s.genomes(), kept), _BRANDS)
+
+
+@query(f"WITH u AS ({_SIG.format(c=1)}), d AS ({_SIG.format(c=-1)}), b AS (SELECT genome_id, category, u.sig + 2 * d.sig AS code FROM u JOIN d USING (genome_id, category)) SELECT category, " + ", ".join(f"max(code) FILTER (genome_id = {g}) AS \"{g}\"" for g in range(5)) + " FROM b WHERE genome_id < 5 GROUP BY 1")
+def k9_wide_enrichment(s: Star) -> DataFrame:
+    rows = analysis.group_category_join(s.da().filter("genome_id < 5"), s.categories())
+    sig = lambda c: rows.groupBy("genome_id", "category").agg(F.when(F.count_if(F.col("code") == c) >= 5, 1).otherwise(0).alias("sig"))
+    return writers.wide_enrichment(da.combine_up_down(sig(1), sig(-1)), list(range(5)))
+
+
+@query("SELECT genome_id, group_id, gene_id FROM cluster_map WHERE genome_id IN (SELECT genome_id FROM cluster_map GROUP BY 1 HAVING count(*) > 10)")
+def k12_cluster_map_by_genome(s: Star) -> DataFrame:
+    rows = s.cluster_map()
+    large = rows.groupBy("genome_id").agg(F.count("*").alias("n")).filter("n > 10")
+    return rows.join(large, "genome_id", "left_semi").select("genome_id", "group_id", "gene_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts rolled up to groups."""
     return QUERIES["a1_aggregate_counts"](spark, sf_dir)
