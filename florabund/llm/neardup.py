@@ -332,6 +332,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SAMPLE, widt
     # members of one class, then the class's component
     of_class = classes.join(names.withColumnRenamed("node", "id"), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id")).filter("component_id is not null")
     multi = classes.filter("n > 1").select("set_hash").union(classes.join(names.select(F.col("node").alias("id")), "id", "left_semi").select("set_hash")).distinct()
-    of_class = of_class.join(multi, "set_hash", "left_semi")
+    of_class = stored(of_class.join(multi, "set_hash", "left_semi"))
+    of_class = F.broadcast(of_class) if of_class.count() <= FEW_IDS else of_class  # a hot class then stays where its rows are
     out = signed.join(of_class, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
