@@ -33,9 +33,9 @@ from .common import stored, together
 ORDER = 5
 BEGIN, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 GRAM, WORD, DISTINCT = 0, 1, 2
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: Bytes of all texts for each key range: its keys are about a twentieth as many.
-RANGE_BYTES = 48 << 20
+RANGE_BYTES = 24 << 20
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +164,8 @@ def _answer_range(packets: pa.Table, values: pa.Table) -> pa.Table:
     order = np.argsort(key)
     key, value = key[order], value[order].astype(np.float32)
     word, times = _summed([p[2] for p in parts], [p[3].astype(np.int64) for p in parts]) if parts else (key, key)
-    answers = [_zip((value[np.searchsorted(key, p[0])], times[np.searchsorted(word, p[2])])) for p in parts]
+    parts = [(p[0], p[2]) for p in parts]
+    answers = [_zip((value[np.searchsorted(key, p[0])], times[np.searchsorted(word, p[1])])) for p in parts]
     return pa.table({"block": packets.column("block"), "range": packets.column("range"), "answer": pa.array(answers, type=pa.binary())})
 
 
