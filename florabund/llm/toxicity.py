@@ -71,22 +71,26 @@ def fit(lists: list[np.ndarray], positive: np.ndarray, prior: float, features: i
     chosen = select_features(lists, positive, features)
     place = np.full(1 << BITS, -1, dtype=np.int64)
     place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(lists), len(chosen) + 1), dtype=np.float32)
-    x[:, -1] = 1
-    for r, ids in enumerate(lists):
-        at = place[ids]
-        x[r, at[at >= 0]] = 1
-    xp, xu = x[positive], x[~positive]
-    w = np.zeros(x.shape[1])
+    # present features as (row, place) pairs; the last weight is the bias
+    found = [place[ids] for ids in lists]
+    found = [at[at >= 0] for at in found]
+    row = np.repeat(np.arange(len(lists)), [len(at) for at in found])
+    at = np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+    n_p, n_u = int(positive.sum()), int((~positive).sum())
+    w = np.zeros(len(chosen) + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    sigma = lambda f: 1 / (1 + np.exp(-np.clip(f, -40, 40)))
+
+    def gradient(of_row: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(at, weights=of_row[row], minlength=len(chosen)), of_row.sum())
+
     for t in range(1, steps + 1):
-        fp, fu = xp @ w, xu @ w
-        up = prior * -(xp.T @ (1 - sigma(fp))) / max(1, len(xp))  # gradient of prior * E_P[l(f, 1)]
-        down = (xu.T @ sigma(fu)) / max(1, len(xu)) - prior * (xp.T @ sigma(fp)) / max(1, len(xp))
-        rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean() if len(xp) and len(xu) else 0.0
-        g = up + down if rest >= 0 else -down
-        g = g + decay * np.append(w[:-1], 0)
+        f = np.clip(np.bincount(row, weights=w[at], minlength=len(lists)) + w[-1], -40, 40)
+        s = 1 / (1 + np.exp(-f))
+        loss = np.logaddexp(0, f)  # l(f, -1)
+        up = np.where(positive, -prior * (1 - s) / max(1, n_p), 0.0)  # of prior * E_P[l(f, 1)]
+        down = np.where(positive, -prior * s / max(1, n_p), s / max(1, n_u))  # of E_U[l(f, -1)] - prior * E_P[l(f, -1)]
+        rest = loss[~positive].mean() - prior * loss[positive].mean() if n_p and n_u else 0.0
+        g = gradient(up + down if rest >= 0 else -down) + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return chosen, w[:-1], float(w[-1])
