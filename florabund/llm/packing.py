@@ -261,4 +261,6 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = 4096, end_id: int = 2,
 
     An empty table gives no pieces. Every id of every document lies in exactly one piece.
     """
-    return assign(stored(tokenize(docs, tokenizer, seq_len, end_id)), seq_len, grain)
+    pieces = stored(tokenize(docs, tokenizer, seq_len, end_id).withColumn("piece", F.monotonically_increasing_id()))
+    placed = assign(pieces.drop("ids"), seq_len, grain)  # ids are shuffled once, not with every step of the plan
+    return placed.join(pieces.select("piece", "ids"), "piece").select("doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset")
