@@ -6,17 +6,18 @@ joined to components (see neardup). Since a passage may be pasted into the middl
 text is also cut into short blocks at words whose hash is least among SPACING neighbours, so a
 passage is cut alike wherever it stands; blocks are too short to be similar without being equal
 (one changed word in them leaves less than 0.8), so equality decides. Neighbouring repeated
-paragraphs make a span; spans of min_words or more are reported.
+paragraphs make a run; runs of min_words or more are reported, as a span for each part of one verdict.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -92,12 +93,64 @@ def _lines(min_line: int):
     return lines
 
 
+def spans_of(doc: int, start: np.ndarray, n_words: np.ndarray, cluster: np.ndarray, lo: np.ndarray, min_words: int) -> list[tuple[int, int, int, int]]:
+    """(first word, words, cluster, first document) of the spans of one document; its repeated paragraphs come in order of start.
+
+    Neighbouring paragraphs are a run, and a run of min_words or more is reported in parts of one
+    verdict each. Words of any paragraph that has its first copy here stay, so a component never
+    loses that copy to another one; the other words go. A part is named after its longest paragraph.
+    """
+    end = start + n_words
+    reach = np.maximum.accumulate(end)
+    begin = np.concatenate([[0], np.flatnonzero(start[1:] >= reach[:-1] + LEAST) + 1, [len(start)]])
+    out = []
+    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+        base, size = int(start[a]), int(reach[b - 1] - start[a])
+        if size < min_words:
+            continue
+        runs = list(zip((start[a:b] - base).tolist(), (end[a:b] - base).tolist(), cluster[a:b].tolist(), lo[a:b].tolist(), strict=True))
+        stays = np.zeros(size, dtype=np.int8)
+        for s, e, _, first in runs:
+            if first != doc:
+                stays[s:e] = 1
+        for s, e, _, first in runs:
+            if first == doc:
+                stays[s:e] = 2
+        edge = np.concatenate([[0], np.flatnonzero(stays[1:] != stays[:-1]) + 1, [size]]).tolist()
+        parts: list[list[int]] = []  # first word, end, verdict
+        for s, e in zip(edge[:-1], edge[1:], strict=True):
+            verdict = int(stays[s])
+            if verdict and parts and parts[-1][2] == verdict:
+                parts[-1][1] = e  # over a gap
+            elif verdict:
+                parts.append([s, e, verdict])
+        firsts = [p[0] for p in parts]
+        best: dict[int, tuple] = {}
+        for s, e, name, first in runs:
+            at = max(0, bisect.bisect_right(firsts, s) - 1)
+            while at < len(parts) and parts[at][0] < e:
+                if parts[at][1] > s and (parts[at][2] == 2) == (first == doc):
+                    best[at] = max(best.get(at, (0,)), (e - s, -first, -s, name))
+                at += 1
+        out += [(base + s, e - s, best[at][3], -best[at][1]) for at, (s, e, _) in enumerate(parts)]
+    return out
+
+
+def _spans(min_words: int):
+    @F.pandas_udf("array<struct<start_word: long, n_words: long, cluster: long, first_doc_id: long>>")
+    def spans(doc: pd.Series, start: pd.Series, n_words: pd.Series, cluster: pd.Series, lo: pd.Series) -> pd.Series:
+        names = ("start_word", "n_words", "cluster", "first_doc_id")
+        return pd.Series([[dict(zip(names, x, strict=True)) for x in spans_of(*row, min_words)] for row in zip(doc, start, n_words, cluster, lo, strict=True)])
+
+    return spans
+
+
 def repeated_passages(docs: DataFrame, min_words: int = 16, min_line: int = 20, percent: int = 80, recall: float = 0.99) -> DataFrame:
     """A row per repeated span of docs(doc_id, text): doc_id, start_word, n_words, cluster, first_doc_id, removed.
 
-    Counted in words [^\\x20\\x09-\\x0D]+, A-Z lower-cased. cluster names the component of the span's
-    longest paragraph; first_doc_id is the smallest document with that paragraph; removed is true in
-    all others. Documents without a repeated span, and null, empty or blank texts, have no row.
+    Counted in words [^\\x20\\x09-\\x0D]+, A-Z lower-cased. A span has one verdict (see spans_of).
+    cluster names the component of its longest paragraph; first_doc_id is the smallest document with
+    that paragraph; removed is true in all others. Every component keeps the copy in its first document. Documents without a repeated span, and null, empty or blank texts, have no row.
     Rows that repeat a doc_id are one document; repeats inside one document alone do not count.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
@@ -111,9 +164,6 @@ def repeated_passages(docs: DataFrame, min_words: int = 16, min_line: int = 20,
     named = units.join(stored(alike.withColumn("kind", F.lit(LINE))), ["kind", "hash"], "left").withColumn("cluster", F.coalesce("to", "hash")).drop("to")
     first = named.groupBy("kind", "cluster").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi")
     hit = stored(named.join(first, ["kind", "cluster"]).select("doc_id", "start", "n_words", "cluster", "lo"))
-    in_order = Window.partitionBy("doc_id").orderBy("start", F.desc("n_words"))
-    reach = F.max(F.col("start") + F.col("n_words")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = hit.withColumn("reach", reach).withColumn("new", (F.col("reach").isNull() | (F.col("start") >= F.col("reach") + LEAST)).cast("int"))
-    runs = runs.withColumn("run", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start_word"), (F.max(F.col("start") + F.col("n_words")) - F.min("start")).alias("n_words"), F.max_by(F.struct("cluster", "lo"), F.struct("n_words", -F.col("lo"), -F.col("start"))).alias("longest"))
-    return spans.filter(F.col("n_words") >= min_words).select("doc_id", "start_word", "n_words", "longest.cluster", F.col("longest.lo").alias("first_doc_id")).withColumn("removed", F.col("doc_id") != F.col("first_doc_id"))
+    near = F.sort_array(F.collect_list(F.struct("start", "n_words", "cluster", "lo"))).alias("ps")
+    of_doc = hit.groupBy("doc_id").agg(near).select("doc_id", F.explode(_spans(min_words)("doc_id", "ps.start", "ps.n_words", "ps.cluster", "ps.lo")).alias("s"))
+    return of_doc.select("doc_id", "s.*").withColumn("removed", F.col("doc_id") != F.col("first_doc_id"))

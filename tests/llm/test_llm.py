@@ -191,6 +191,33 @@ def test_passages(spark, corpus):
     assert substring.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_passages_from_two_places_keep_their_first_copies(spark):
+    rng = random.Random(31)
+    line = lambda n: sentence(rng, n, 10**6)
+    for p_words, q_words in ((60, 40), (40, 60)):  # either may be the longer one
+        p, q = line(p_words), line(q_words)
+        texts = {2: f"{p}\n{line(50)}", 9: f"{line(50)}\n{p}\n{q}\n{line(50)}", 20: f"{line(50)}\n{q}"}
+        rows = substring.repeated_passages(docs_of(spark, texts)).collect()
+
+        def share(doc, at, n, removed):
+            covered = {w for r in rows if r.doc_id == doc and r.removed == removed for w in range(r.start_word, r.start_word + r.n_words)}
+            return len(covered & set(range(at, at + n))) / n
+
+        # P stays in 2 and goes from 9, Q stays in 9 and goes from 20; a block over the seam belongs to neither
+        assert share(2, 0, p_words, False) == 1 and share(2, 0, p_words, True) == 0
+        assert share(9, 50, p_words, True) == 1 and share(9, 50, p_words, False) == 0
+        assert share(9, 50 + p_words, q_words, False) == 1 and share(9, 50 + p_words, q_words, True) == 0
+        assert share(20, 50, q_words, True) == 1 and share(20, 50, q_words, False) == 0
+
+
+def test_spans_keep_first_copies():
+    spans = lambda doc, ps, n=16: substring.spans_of(doc, *map(np.array, zip(*ps, strict=True)), n)
+    # a short gap joins paragraphs of one verdict, a long one does not; short runs have no row
+    assert spans(9, [(0, 20, 1, 2), (23, 20, 3, 4), (60, 20, 5, 9), (100, 8, 6, 2)]) == [(0, 43, 1, 2), (60, 20, 5, 9)]
+    # a first copy inside a line that goes stays, and the line goes around it
+    assert spans(9, [(0, 50, 1, 2), (20, 10, 7, 9)]) == [(0, 20, 1, 2), (20, 10, 7, 9), (30, 20, 1, 2)]
+
+
 def test_band_tuning():
     bands, rows = neardup.bands_for(0.8, 0.99, 48)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.99
