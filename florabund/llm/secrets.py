@@ -1,8 +1,8 @@
 """Secret scan: a random forest over candidate strings removes false positives. DataFrame and SQL functions only.
 
-Candidates are words with a run of 16 or more key characters. Features: length, transitions
+Candidates are the values and other runs of 16 or more key characters of every word. Features: length, transitions
 between character classes, spread of characters, coverage by a dictionary of frequent words, the
-document's path or source, and the words before and after. The forest is trained on labelled
+document's path or source, and the words, or text of the same word, before and after. The forest is trained on labelled
 findings, a bounded sample of `max_labelled` rows by hash (documented parameter).
 """
 
@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from .common import stored
 
 RUN = "[A-Za-z0-9+/_=-]{16,}"
+#: Of "name=value" the value.
+VALUE = "([=:]\"?'?)([A-Za-z0-9+/_-]{16,}={0,2})"
+MARK = "\x01"
 FEATURES = (
     "length digits uppers lowers hexes distinct dashes lower_digit digit_lower upper_digit digit_upper lower_upper upper_lower turns vowels "
     "covered path_length path_test before_credential before_sign inside_credential inside_sign before_digest after_digest quoted"
@@ -34,20 +37,34 @@ def dictionary(texts: DataFrame, size: int = 300) -> list[str]:
     return [r[0] for r in texts.select(word).groupBy("w").count().orderBy(F.desc("count"), "w").limit(size).collect()]
 
 
+def _cut(word: Column) -> Column:
+    """Text, candidate, text, candidate, ..., text: all values of a word and all runs of what is left, in their order."""
+    parts = F.split(F.regexp_replace(F.translate(word, MARK, "\x02"), VALUE, f"$1{MARK}$2{MARK}"), MARK)
+    each = F.transform(parts, lambda p, k: F.when(k % 2 == 1, F.concat(F.lit(MARK), p, F.lit(MARK))).otherwise(F.regexp_replace(p, f"({RUN})", f"{MARK}$1{MARK}")))
+    return F.split(F.array_join(each, ""), MARK)
+
+
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """doc_id, path, word_index, candidate, the word around it, and two words before and one after, for every candidate of docs(doc_id, text, source).
+    """A row for every candidate of docs(doc_id, text, source): doc_id, path, word_index, match_index, candidate, lead, trail, before2, before, after.
 
-    Null, empty and blank texts have none; a repeated document repeats its rows. Whole texts are read, at any length.
+    match_index counts the candidates of a word; lead and trail are the word's text up to the
+    candidates beside it. Two words before and one after are its neighbours; between two candidates
+    of a word the text there takes their place. Null, empty and blank texts have none; a repeated
+    document repeats its rows. Whole texts are read, at any length.
     """
     source = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
     rows = docs.select("doc_id", source.alias("path"), F.split(F.col("text").cast("string"), "[ \\t\\n\\x0B\\f\\r]+").alias("ws")).filter(F.exists("ws", lambda w: (F.length(w) >= 16) & w.rlike(RUN)))
     at = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: (F.length(F.get("ws", i)) >= 16) & F.get("ws", i).rlike(RUN))
     word = lambda d: F.coalesce(F.get("ws", F.col("i") + d), F.lit(""))
     out = rows.select("doc_id", "path", "ws", F.explode(at).alias("i"))
-    out = out.select("doc_id", "path", F.col("i").cast("long").alias("word_index"), word(0).alias("word"), word(-2).alias("before2"), word(-1).alias("before"), word(1).alias("after"))
-    # of "name=value" the value, else the run
-    value = F.regexp_extract("word", "[=:]\"?'?([A-Za-z0-9+/_-]{16,}={0,2})", 1)
-    return out.withColumn("candidate", F.when(value != "", value).otherwise(F.regexp_extract("word", RUN, 0)))
+    out = out.select("doc_id", "path", F.col("i").cast("long").alias("word_index"), _cut(word(0)).alias("ms"), word(-2).alias("w2"), word(-1).alias("w1"), word(1).alias("w3"))
+    # the cut word is not carried on: a long one would be copied to every match
+    match = lambda m: F.struct(m.cast("long").alias("match_index"), F.get("ms", 2 * m + 1).alias("candidate"), F.get("ms", 2 * m).alias("lead"), F.get("ms", 2 * m + 2).alias("trail"), (2 * m + 3 == F.size("ms")).alias("last"))
+    ms = F.transform(F.sequence(F.lit(0), F.floor((F.size("ms") - 3) / 2).cast("int")), match)
+    out = out.select("doc_id", "path", "word_index", F.explode(ms).alias("m"), "w2", "w1", "w3").select("doc_id", "path", "word_index", "m.*", "w2", "w1", "w3")
+    first = F.col("match_index") == 0
+    near = {"before2": F.when(first, F.col("w2")).otherwise(""), "before": F.when(first, F.col("w1")).otherwise(F.col("lead")), "after": F.when(F.col("last"), F.col("w3")).otherwise(F.col("trail"))}
+    return out.withColumns(near).drop("last", "w2", "w1", "w3")
 
 
 def _share(pattern: str) -> Column:
@@ -66,11 +83,11 @@ def features(found: DataFrame, known: list[str]) -> DataFrame:
         "path_test": F.col("path").rlike("(?i)(test|example|sample|fixture|mock|docs?/)"),
         "before_credential": near.rlike(CREDENTIAL),
         "before_sign": F.col("before").rlike("[=:]$"),
-        "inside_credential": F.expr("substring_index(word, candidate, 1)").rlike(CREDENTIAL),
-        "inside_sign": F.expr("substring_index(word, candidate, 1)").rlike("[=:]"),
+        "inside_credential": F.col("lead").rlike(CREDENTIAL),
+        "inside_sign": F.col("lead").rlike("[=:]"),
         "before_digest": near.rlike(DIGEST),
         "after_digest": F.col("after").rlike(DIGEST),
-        "quoted": F.col("word").rlike("[\"'`]"),
+        "quoted": F.concat("lead", "trail").rlike("[\"'`]"),
     }
     return out.withColumns(
         {"turns": sum((F.col(n) for n in steps), F.lit(0.0)), "distinct": F.size(F.array_distinct(F.split("candidate", ""))) / F.col("length"), "covered": 1 - F.length(F.regexp_replace(F.lower("candidate"), any_known, "")) / F.col("length"), "path_length": F.length("path").cast("double")}
@@ -82,14 +99,14 @@ def weak_labels(found: DataFrame) -> DataFrame:
     """Findings labelled where the form alone decides: issued key formats and quoted assignments are secrets (1), plain words and plain numbers are not (0)."""
     whole = F.col("candidate")
     hexes = whole.rlike("^[0-9a-fA-F]{16,}$") & whole.rlike("[0-9]") & whole.rlike("[A-Fa-f]")
-    secret = whole.rlike("^(AKIA|ASIA)[0-9A-Z]{16}$") | (hexes & F.expr("substring_index(word, candidate, 1)").rlike("(?i)(password|secret|token)=")) | (hexes & F.concat_ws(" ", "before2", "before").rlike("(?i)(password|secret|token) =$"))
+    secret = whole.rlike("^(AKIA|ASIA)[0-9A-Z]{16}$") | (hexes & F.col("lead").rlike("(?i)(password|secret|token)=")) | (hexes & F.concat_ws(" ", "before2", "before").rlike("(?i)(password|secret|token) =$"))
     plain = whole.rlike("^[A-Za-z]+$") & ~whole.rlike("^[A-Z]+$") | whole.rlike("^[0-9]+$")
     return found.withColumn("label", F.when(secret, 1.0).when(plain, 0.0)).filter("label is not null")
 
 
 def train(labelled: DataFrame, max_labelled: int = 20_000, trees: int = 20, depth: int = 6, seed: int = 7) -> Model | float:
     """A forest from labelled(FEATURES, label): half of max_labelled rows of either label at most, least hash first. Where only one label occurs, that label; without labels 1."""
-    order = F.xxhash64("doc_id", "word_index", "candidate")
+    order = F.xxhash64("doc_id", "word_index", "match_index", "candidate")
     sample = stored(labelled.filter("label = 1").orderBy(order).limit(max_labelled // 2).union(labelled.filter("label = 0").orderBy(order).limit(max_labelled // 2)).select("label", *FEATURES))
     kinds = [r[0] for r in sample.select("label").distinct().collect()]  # two at most
     if len(kinds) < 2:
@@ -107,14 +124,14 @@ def score(found: DataFrame, model: Model | float, threshold: float = 0.5) -> Dat
 
 
 def scan(docs: DataFrame, words_from: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """Every candidate of docs with its probability and verdict: doc_id, word_index, candidate, before, after, probability, is_secret.
+    """Every candidate of docs with its probability and verdict: doc_id, word_index, match_index, candidate, before, after, probability, is_secret.
 
     labelled: findings with a label column besides those of candidates(); by default weak_labels() of the candidates themselves.
     """
     known = dictionary(words_from)
     found = stored(features(candidates(docs), known))
     model = train(features(labelled, known) if labelled is not None else weak_labels(found))
-    return score(found, model, threshold).select("doc_id", "word_index", "candidate", "before", "after", "probability", "is_secret")
+    return score(found, model, threshold).select("doc_id", "word_index", "match_index", "candidate", "before", "after", "probability", "is_secret")
 
 
 def redact(docs: DataFrame, findings: DataFrame, mask: str = "<secret>") -> DataFrame:

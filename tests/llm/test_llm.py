@@ -253,6 +253,31 @@ def test_secrets(spark):
     assert {r.doc_id for r in plain.collect()} == {203}
 
 
+def test_every_secret_of_a_word(spark):
+    rng = random.Random(32)
+    hexes = lambda n=40: "a1" + "".join(rng.choice("0123456789abcdef") for _ in range(n - 2))
+    a, b, c = hexes(), hexes(), hexes()
+    texts = {
+        1: f'x {{"id":"{a}","token":"{b}"}} y',
+        2: f"https://localhost/some/long/path?token={a}&sha={b}",
+        3: f"{a},{b};password={c}",
+        4: f"secret={a}={b}",
+    }
+    rows = secrets.candidates(docs_of(spark, texts)).orderBy("doc_id", "word_index", "match_index").collect()
+    got = {i: [r.candidate for r in rows if r.doc_id == i] for i in texts}
+    assert got == {1: [a, b], 2: ["//localhost/some/long/path", a, b], 3: [a, b, c], 4: [a + "=", b]}
+    assert [r.match_index for r in rows if r.doc_id == 3] == [0, 1, 2]
+    first, second = (r for r in rows if r.doc_id == 1)
+    assert (first.before, first.after, second.before, second.after) == ("x", '","token":"', '","token":"', "y")
+    # a name belongs to its own value only
+    labels = {r.candidate: r.label for r in secrets.weak_labels(secrets.candidates(docs_of(spark, {5: f"password={a}&sha={b}&token={c}"}))).collect()}
+    assert labels == {a: 1.0, c: 1.0}
+    many = {i: ";".join(f"password={hexes()}" for _ in range(3)) + f" thisisaverylongordinaryword {rng.randrange(10**15, 10**16)}" for i in range(20)}
+    df = docs_of(spark, many)
+    clean = secrets.redact(df, secrets.scan(df, df)).collect()
+    assert all(r.text.startswith("password=<secret>;password=<secret>;password=<secret> this") for r in clean)
+
+
 # --- 5 language model -----------------------------------------------------------------------
 
 
