@@ -1,14 +1,15 @@
-"""Benchmark decontamination by CGK embedding (Chakraborty, Goldenberg and Koucky 2016).
-
-The CGK random walk reads a string with a pointer that stays or moves on as a random function of
-step and character says; edit distance becomes Hamming distance of what was read. Windows of one
-item size start at words picked by local minima of a content hash, so an item and a passage taken
-from it pick the same starts. Each window is embedded by several walks and sampled bits of the
-embedding form LSH keys; the number of repetitions follows from the recall wanted. Windows that
-meet an item's key are verified: exact edit distance of the whole item against the passage around.
-
-Documents are only mapped, so nothing is shuffled. Items are a stated list, taken in blocks whose
-keys are broadcast.
+"""Benchmark decontamination by seeds on diagonals and exact edit distance.
+
+Keys of whole windows, as of a CGK embedding, meet at few edits only: at a fifth of the length a
+key that still meets is so short that it meets everything. So an item is sought by its grams: the
+runs of characters that edits leave whole lie, in a passage taken from it, on neighbouring
+diagonals (place in the text less place in the item). Diagonals are counted in bins of BIN; where
+two neighbouring bins hold enough grams of an item, the exact edit distance of the whole item to
+the text there decides. How many are enough follows from the share of edits that is accepted, so
+that recall is the same promise at every share up to it. Everything is counted in characters.
+
+Documents are only mapped, so nothing is shuffled. Items are a stated list, taken in blocks that
+are broadcast.
 """
 
 from __future__ import annotations
@@ -23,14 +24,18 @@ from pyspark.sql import functions as F
 
 from .common import together
 
-#: Items whose keys are broadcast at once; a longer list is taken in blocks of this many by hash.
+#: Items that are broadcast at once; a longer list is taken in blocks of this many by hash.
 ITEMS_AT_ONCE = 20_000
-#: One of this many neighbouring words is a window start at least.
-SPACING = 4
-#: Symbols of the embedding in a key.
-BITS = 12
-#: Bytes of text taken together, so that numpy works on long arrays.
-TOGETHER = 4 << 20
+#: (least length of an item, characters of its grams); a shorter one takes the longest gram that some accepted edit leaves whole for sure.
+GRAMS = ((64, 6), (24, 4))
+#: Diagonals counted together.
+BIN_BITS = 4
+BIN = 1 << BIN_BITS
+#: An item is checked where this share of the grams expected at the most edits is found.
+ENOUGH = 0.35
+#: Bytes of text taken together, so that numpy works on long arrays that fit the processor's cache.
+TOGETHER = 1 << 18
+TABLE_BITS = 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,63 +44,31 @@ def clean(text: str | None) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "surrogatepass").split()) if text else b""
 
 
-def repetitions(recall: float, bits: int, steps: int, edits: int) -> int:
-    """Keys needed so that a window with `edits` edits meets its twin with probability `recall`.
-
-    An edit disturbs about 2 * edits steps in expectation of the walks' realignment."""
-    hit = max(1e-3, 1 - min(0.95, 4 * edits / steps)) ** bits
-    return max(2, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
-
-
-class Walks:
-    """Walks over windows of `width` bytes and the positions sampled for keys; fixed by the seed."""
-
-    CHUNK = 1 << 15
-
-    def __init__(self, width: int, bits: int = BITS, keys: int = 4, walks: int = 2, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        self.width, self.steps, self.n = width, 2 * width, keys
-        self.moves = rng.integers(0, 2, (walks, self.steps, 256)).astype(np.int32)
-        #: Per walk: step -> keys that sample it.
-        self.wanted: list[dict[int, list[int]]] = [{} for _ in range(walks)]
-        for k in range(keys):
-            for step in rng.choice(self.steps, bits, replace=False):
-                self.wanted[k % walks].setdefault(int(step), []).append(k)
-
-    def keys(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """A row per key over starts. `text` needs 2 * width bytes of padding at its end."""
-        out = np.empty((self.n, len(starts)), dtype=np.uint64)
-        for lo in range(0, len(starts), self.CHUNK):  # small enough for the processor's cache
-            first = starts[lo : lo + self.CHUNK].astype(np.int32)
-            part = np.empty((self.n, len(first)), dtype=np.uint64)
-            part[:] = (np.arange(1, self.n + 1, dtype=np.uint64) * _MULT)[:, None]
-            for moves, wanted in zip(self.moves, self.wanted, strict=True):
-                at = first.copy()
-                for step in range(max(wanted, default=-1) + 1):
-                    read = text.take(at)
-                    for k in wanted.get(step, ()):
-                        part[k] = (part[k] ^ read) * _MULT
-                        part[k] ^= part[k] >> np.uint64(29)
-                    at += moves[step].take(read)
-            out[:, lo : lo + self.CHUNK] = part
-        return out
-
-
-def starts_of(text: np.ndarray, n: int) -> np.ndarray:
-    """Word starts of text[:n] that have the least hash among SPACING neighbouring word starts."""
-    if not n:
-        return np.empty(0, dtype=np.int64)
-    s = np.concatenate([[0], np.flatnonzero((text[: n - 1] == 32) | (text[: n - 1] == 10)) + 1])
-    h = np.zeros(len(s), dtype=np.uint64)
-    for k in range(6):
-        h = (h << np.uint64(8)) | text.take(s + k)
-    h = (h * _MULT) >> np.uint64(20)
-    if len(s) <= SPACING:
-        return s[[int(h.argmin())]]
-    picked = np.zeros(len(s), dtype=bool)
-    view = np.lib.stride_tricks.sliding_window_view(h, SPACING)
-    picked[view.argmin(axis=1) + np.arange(len(view))] = True
-    return s[picked]
+def decoded(raw: bytes) -> str:
+    return raw.decode("utf-8", "surrogatepass")
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def gram_of(length: int, share: float) -> tuple[int, int]:
+    """(characters of a gram, grams to be found) for an item of that length."""
+    for least, q in GRAMS:
+        if length >= least:
+            return q, max(2, int(ENOUGH * (1 - share) ** q * (length - q + 1)))
+    return max(1, length // (int(share * length) + 1)), 1  # one of edits + 1 parts is whole
+
+
+def slots(text: np.ndarray, q: int) -> np.ndarray:
+    """Place in a table of 2**TABLE_BITS of every gram of q characters."""
+    n = max(0, len(text) - q + 1)
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(q):
+        h += text[k : k + n]
+        h *= _MULT
+        h ^= h >> np.uint64(32)
+    return ((h * _MULT) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
 def edit_search(pattern: str, text: str) -> tuple[int, int]:
@@ -122,99 +95,117 @@ def edit_search(pattern: str, text: str) -> tuple[int, int]:
 
 
 class Items:
-    """Keys of a block of items, ready to look up."""
-
-    def __init__(self, items: list[tuple[int, bytes]], walks: Walks):
-        self.items, self.walks = items, walks
-        keys, owner, where = [], [], []
-        for n, (_, raw) in enumerate(items):
-            text = padded(raw, walks.width)
-            # a start needs a full window in the item, or none but the first would fit
-            at = starts_of(text, len(raw))
-            fit = at[at + walks.width <= len(raw)]
-            fit = fit if len(fit) else at[:1]
-            keys.append(walks.keys(text, fit).ravel())
-            owner.append(np.full(walks.n * len(fit), n)), where.append(np.tile(fit, walks.n))
-        k = np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64)
-        order = np.argsort(k, kind="stable")
-        self.keys = k[order]
-        self.owner = np.concatenate(owner)[order] if keys else k
-        self.where = np.concatenate(where)[order] if keys else k
-        self.filter = np.zeros(1 << 20, dtype=bool)
-        self.filter[self.keys >> np.uint64(44)] = True
-
-    def candidates(self, text: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
-        """(place in text, item number, offset of the item's window) of equal keys."""
-        found = set()
-        for k in self.walks.keys(text, starts):
-            maybe = np.flatnonzero(self.filter[(k >> np.uint64(44)).view(np.int64)])
-            lo, hi = np.searchsorted(self.keys, k[maybe], "left"), np.searchsorted(self.keys, k[maybe], "right")
-            hit = hi > lo
-            for at, a, b in zip(starts[maybe[hit]].tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True):
-                found.update((at, int(self.owner[x]), int(self.where[x])) for x in range(a, b))
-        return sorted(found)
-
-
-def padded(raw: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(raw + b"\0" * (2 * width + 8), dtype=np.uint8)
-
-
-def verify(raw: bytes, found: list[tuple[int, int, int]], items: Items, share: float) -> list[tuple[int, int, int, int]]:
-    """(item id, edit distance, first byte, last byte) of every item that is at one of the found places, the best place of each."""
-    best: dict[int, tuple[int, int, int]] = {}
-    tried: set[tuple[int, int]] = set()
-    for at, n, offset in found:
-        item = items.items[n][1]
-        guess = at - offset
-        slack = max(8, int(share * len(item)) + 4)
-        # places within half the slack of each other see the same part of the text
-        cell = (n, 2 * guess // slack)
-        if cell in tried or (n in best and best[n][0] == 0):
+    """Grams of a block of items, ready to look up."""
+
+    def __init__(self, items: list[tuple[int, bytes]], share: float):
+        self.ids, self.share = [i for i, _ in items], share
+        self.texts = [decoded(raw) for _, raw in items]
+        self.sizes = [len(raw) for _, raw in items]
+        self.longest = max(map(len, self.texts), default=0)
+        self.off_bits = self.longest.bit_length()
+        by_q: dict[int, list[int]] = {}
+        self.enough = np.zeros(len(items), dtype=np.int64)
+        for n, t in enumerate(self.texts):
+            q, self.enough[n] = gram_of(len(t), share)
+            by_q.setdefault(q, []).append(n)
+        self.tables = []
+        for q, members in sorted(by_q.items()):
+            grams = [slots(codes(self.texts[n]), q) for n in members]
+            slot = np.concatenate(grams)
+            owner = np.repeat(members, [len(g) for g in grams])
+            off = np.concatenate([np.arange(len(g)) for g in grams])
+            order = np.argsort(slot, kind="stable")
+            count = np.bincount(slot, minlength=1 << TABLE_BITS).astype(np.int32)
+            self.tables.append((q, count, (np.cumsum(count) - count).astype(np.int32), owner[order], off[order]))
+
+    def places(self, text: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(document, item number, least and greatest diagonal) where an item may be; documents begin at `first`."""
+        diagonal_bits = (len(text) + self.longest).bit_length()
+        found = []
+        for q, count, start, owner, off in self.tables:
+            slot = slots(text, q)
+            n = count.take(slot)
+            at = np.flatnonzero(n)
+            n = n[at]
+            of = np.repeat(start.take(slot[at]) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            offset = off.take(of)
+            # item, diagonal, place in the item
+            found.append((((owner.take(of) << diagonal_bits) + (np.repeat(at, n) - offset + self.longest)) << self.off_bits) + offset)
+        hits = np.sort(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)
+        if not len(hits):
+            return []
+        cell = hits >> (self.off_bits + BIN_BITS)
+        edge = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+        n, cell = np.diff(edge), cell[edge[:-1]]
+        pair = (cell[1:] == cell[:-1] + 1) & (n[1:] + n[:-1] >= self._enough(cell[1:], diagonal_bits))
+        high = n >= self._enough(cell, diagonal_bits)
+        high[1:] |= pair
+        high[:-1] |= pair
+        hits = hits[np.repeat(high, n)]
+        owner = hits >> (self.off_bits + diagonal_bits)
+        diagonal = ((hits >> self.off_bits) & ((1 << diagonal_bits) - 1)) - self.longest
+        doc = np.searchsorted(first, diagonal + (hits & ((1 << self.off_bits) - 1)), "right") - 1
+        order = np.lexsort((diagonal, owner, doc))
+        owner, diagonal, doc = owner[order], diagonal[order], doc[order]
+        new = (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1]) | (diagonal[1:] > diagonal[:-1] + 2 * BIN)
+        edge = np.concatenate([[0], np.flatnonzero(new) + 1, [len(owner)]]) if len(owner) else np.zeros(1, dtype=np.int64)
+        a, b = edge[:-1], edge[1:]
+        full = b - a >= self.enough[owner[a]]
+        a, b = a[full], b[full]
+        return list(zip(doc[a].tolist(), owner[a].tolist(), diagonal[a].tolist(), diagonal[b - 1].tolist(), strict=True))
+
+    def _enough(self, cell: np.ndarray, diagonal_bits: int) -> np.ndarray:
+        return self.enough[cell >> (diagonal_bits - BIN_BITS)]
+
+
+def verify(text: str, found: list[tuple[int, int, int]], items: Items) -> list[tuple[int, int, int, int]]:
+    """(item id, edit distance, first byte, last byte) of every item that is at one of the found (item number, least and greatest diagonal), the best place of each."""
+    best: dict[int, tuple[int, int]] = {}
+    for n, low, high in found:
+        if n in best and best[n][0] == 0:
             continue
-        tried.add(cell)
-        lo, hi = max(0, guess - 2 * slack), guess + len(item) + 2 * slack
-        pattern = item.decode("utf-8", "replace")
-        part = raw[lo : max(hi, 0)].decode("utf-8", "ignore")
-        distance, end = edit_search(pattern, part)
-        if distance <= share * len(pattern) and (n not in best or distance < best[n][0]):
-            stop = lo + len(part[:end].encode())
-            best[n] = (distance, max(0, stop - len(item)), stop)
-    return [(items.items[n][0], *v) for n, v in sorted(best.items())]
-
-
-def matches(texts: list[bytes], items: Items, share: float) -> list[list[tuple[int, int, int, int]]]:
-    """verify() of each cleaned text; texts are joined by line feeds and embedded together."""
-    joined = b"\n".join(texts)
-    text = padded(joined, items.walks.width)
-    first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        item = items.texts[n]
+        # a gram left whole is off its item's start by the edits before it at most
+        edits = int(items.share * len(item))
+        lo = max(0, low - edits)
+        distance, end = edit_search(item, text[lo : max(0, high + len(item) + 2 * edits)])
+        if distance <= items.share * len(item) and (n not in best or distance < best[n][0]):
+            best[n] = (distance, lo + end)
+    out = []
+    for n, (distance, end) in sorted(best.items()):
+        stop = len(text[:end].encode("utf-8", "surrogatepass"))
+        out.append((items.ids[n], distance, max(0, stop - items.sizes[n]), stop))
+    return out
+
+
+def matches(texts: list[bytes], items: Items) -> list[list[tuple[int, int, int, int]]]:
+    """verify() of each cleaned text; texts are joined by line feeds, which no item has, and looked up together."""
+    read = [decoded(t) for t in texts]
+    first = np.cumsum([0, *(len(t) + 1 for t in read)])
     per: dict[int, list[tuple[int, int, int]]] = {}
-    for at, n, offset in items.candidates(text, starts_of(text, len(joined))):
-        d = int(np.searchsorted(first, at, "right")) - 1
-        per.setdefault(d, []).append((at - int(first[d]), n, offset))
-    return [verify(t, per[d], items, share) if d in per else [] for d, t in enumerate(texts)]
+    for d, n, low, high in items.places(codes("\n".join(read)), first):
+        per.setdefault(d, []).append((n, low - int(first[d]), high - int(first[d])))
+    return [verify(t, per[d], items) if d in per else [] for d, t in enumerate(read)]
 
 
 FOUND = "array<struct<item_id: long, edit_distance: long, first_byte: long, last_byte: long>>"
 
 
-def _finders(benchmark: DataFrame, share: float, recall: float) -> list:
+def _finders(benchmark: DataFrame, share: float) -> list:
     """A function of texts for each block of at most about ITEMS_AT_ONCE items: the matches in a text."""
     sc = benchmark.sparkSession.sparkContext
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     blocks = max(1, math.ceil(bench.count() / ITEMS_AT_ONCE))
 
     def finder(items: list[tuple[int, bytes]]):
-        # half of the shortest item, so that every item holds several windows
-        width = max(8, min([96, *(len(t) for _, t in items)]) // 2)
-        held = sc.broadcast((items, width, repetitions(recall, BITS, 2 * width, 1)))
+        held = sc.broadcast(items)
 
         @F.pandas_udf(FOUND)
         def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            known, width, keys = held.value
-            ready = Items(known, Walks(width, keys=keys))
+            ready = Items(held.value, share)
             names = ("item_id", "edit_distance", "first_byte", "last_byte")
             for texts in batches:
-                found = [m for part in together([clean(t) for t in texts], TOGETHER) for m in matches(part, ready, share)]
+                found = [m for part in together([clean(t) for t in texts], TOGETHER) for m in matches(part, ready)]
                 yield pd.Series([[dict(zip(names, m, strict=True)) for m in of] for of in found])
 
         return find.asNondeterministic()  # else a filter would run it a second time
@@ -223,24 +214,23 @@ def _finders(benchmark: DataFrame, share: float, recall: float) -> list:
     return [finder(sorted((r[0], t) for r in part if (t := clean(r[1])))) for part in parts]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.99) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) -> DataFrame:
     """docs(doc_id, text) x benchmark(item_id, text) -> doc_id, item_id, edit_distance, first_byte, last_byte of each item found.
 
     An item is found where its edit distance to a part of the document is at most `share` of its
     length, both lower-cased with single spaces. Null, empty and blank texts and items match
-    nothing; repeated rows are taken each for itself. Windows have half the size of the shortest
-    item, 48 bytes at most, and a longer item is covered by several.
+    nothing; repeated rows are taken each for itself. Recall at every share of edits is in the README.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [docs.select("doc_id", F.explode(find("text")).alias("m")).select("doc_id", "m.*") for find in _finders(benchmark, share, recall)]
+    parts = [docs.select("doc_id", F.explode(find("text")).alias("m")).select("doc_id", "m.*") for find in _finders(benchmark, share)]
     out = parts[0]
     for more in parts[1:]:
         out = out.union(more)
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.99) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) -> DataFrame:
     """The rows of docs without any benchmark item, with all their columns; texts are not shuffled."""
-    for find in _finders(benchmark, share, recall):
+    for find in _finders(benchmark, share):
         docs = docs.select(F.struct("*").alias("row"), find(F.col("text").cast("string")).alias("found")).filter(F.size("found") == 0).select("row.*")
     return docs

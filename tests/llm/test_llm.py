@@ -555,6 +555,27 @@ def test_decontamination(spark):
     assert decontam.contamination(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n_words", [3, 6, 16, 40])
+def test_items_are_found_at_every_accepted_share_of_edits(n_words):
+    rng = random.Random(33)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 10)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    raw = [text(n_words) for _ in range(40)]
+    items = decontam.Items([(k, t.encode()) for k, t in enumerate(raw)], 0.2)
+    for share in (0.05, 0.1, 0.15, 0.2):
+        docs, want = [], []
+        for k, t in enumerate(raw * 2):
+            w = list(t)
+            for at in rng.sample(range(len(w)), int(share * len(w))):
+                w[at] = rng.choice(["", "q", w[at] + "z"])
+            docs.append(decontam.clean(f"{text(20)} {''.join(w)} {text(20)}"))
+            if decontam.edit_search(raw[k % 40], docs[-1].decode())[0] <= 0.2 * len(raw[k % 40]):
+                want.append((len(docs) - 1, k % 40))
+        got = {(d, m[0]): m[1] for d, of in enumerate(decontam.matches(docs, items)) for m in of}
+        assert sum(w in got for w in want) >= 0.99 * len(want) > 70
+        assert all(got[d, k] == decontam.edit_search(raw[k], docs[d].decode())[0] for d, k in want if (d, k) in got)
+
+
 def test_long_item_lists_go_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "ITEMS_AT_ONCE", 2)
     rng = random.Random(14)
