@@ -1,96 +1,152 @@
-"""Repeated passages: paragraphs that occur in several documents, exactly or nearly.
-
-Two kinds of paragraph are taken. Lines of `min_line` words or more are compared by MinHash
-bands tuned for the recall wanted, verified by exact Jaccard similarity of their word shingles and
-joined to components (see neardup). Since a passage may be pasted into the middle of a line, every
-text is also cut into short blocks at words whose hash is least among SPACING neighbours, so a
-passage is cut alike wherever it stands; blocks are too short to be similar without being equal
-(one changed word in them leaves less than 0.8), so equality decides. Neighbouring repeated
-paragraphs make a run; runs of min_words or more are reported, as a span for each part of one verdict.
+"""Repeated passages: paragraphs that occur in several documents, exactly or nearly, by MinHash bands.
+
+Paragraphs are the lines of a text and, since a passage may be pasted into the middle of a line or
+run over several, its word windows: a window of WINDOW words begins wherever the hash of five
+words is the least among SPACING neighbours (winnowing, Schleimer, Wilkerson and Aiken 2003), so
+a passage has the same windows wherever it stands. A run of WINDOW + SPACING - 1 words that two texts
+share holds a common window for certain.
+
+Flow, the same for both kinds: (1) a paragraph gets few keys of one MinHash row each: a window the
+five words it begins with, a line as many as the recall wanted asks for. Keys that only one
+document has are dropped by a partial aggregate, before any join and without a text. (2) What is
+left meets in MinHash bands tuned to the recall, candidates are verified by the exact Jaccard similarity
+of their word shingles, and links become components (near_duplicates); equal paragraphs are one
+row there. (3) A component that two documents have is a repeat; its paragraphs become spans, of
+which all but those in the first document go.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .neardup import WordHash, bands_for, mix, near_duplicates, short_signature
+from .common import stored, vectorized
+from .neardup import WordHash, _texts_of, bands_for, mix, near_duplicates, short_signature
 
-#: A block ends within this many words.
-SPACING = 16
-#: Blocks of fewer words say nothing; a span runs on over such a gap.
-LEAST = 5
-SAMPLE = 48
-LINE, BLOCK = 0, 1
+WINDOW, SPACING, SHINGLE = 24, 27, 5
+#: A span runs on over a gap of fewer words.
+GAP = 5
+#: Size of the MinHash sample for bands.
+SAMPLE = 44
 _P = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = pow(int(_P), -1, 1 << 64)
+_rng = np.random.default_rng(7)
+_A = _rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
+_B = _rng.integers(0, 2**63, 16, dtype=np.uint64)
+_SALT = np.arange(1, 17, dtype=np.uint64) * _P
 
 
-def cuts(h: np.ndarray) -> np.ndarray:
-    """Positions, besides 0, at which blocks begin: least mixed hash of three words among SPACING neighbours."""
-    if len(h) < SPACING + 2:
+def anchors(g: np.ndarray, spacing: int = SPACING) -> np.ndarray:
+    """Positions of the least value among any `spacing` neighbours; of equal values that follow each other within `spacing` the first."""
+    if len(g) < spacing:
         return np.empty(0, dtype=np.int64)
-    g = mix(h[:-2] * _P + h[1:-1] * np.uint64(31) + h[2:])
-    # where the same three words go on and on, only each SPACING-th place from the first counts, else every one would tie
-    place = np.arange(len(g))
-    begin = np.maximum.accumulate(np.where(np.concatenate([[True], g[1:] != g[:-1]]), place, 0))
-    g = np.where((place - begin) % SPACING == 0, g, np.uint64(2**64 - 1))
-    view = np.lib.stride_tricks.sliding_window_view(g, SPACING)
-    return np.unique(view.argmin(axis=1) + np.arange(len(view)))
-
-
-def paragraphs_of(text: str, known: WordHash, min_line: int) -> list[tuple[int, int, int, int]]:
-    """(kind, first word, words, hash) of the lines and blocks of a text."""
-    out, every, at = [], [], 0
-    for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n"):
-        found = line.split()
-        if len(found) >= min_line:
-            out.append((LINE, at, len(found), np.int64(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(found))).view(np.int64))))
-        every += found
-        at += len(found)
-    if every:
-        h = np.fromiter(map(known.__getitem__, every), dtype=np.uint64, count=len(every))
-        edge = np.concatenate([[0], cuts(h), [len(h)]])
-        edge = np.unique(edge)
-        powers = np.cumprod(np.full(len(h), _P, dtype=np.uint64))
-        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(h) * powers)])  # all unsigned: a signed zero would make them doubles
-        # prefix sums differ by the block's sum times a power of its position; dividing by it (odd, so invertible) makes equal blocks equal
-        inverse = np.cumprod(np.full(len(h) + 1, pow(int(_P), -1, 1 << 64), dtype=np.uint64))
-        a, b = edge[:-1], edge[1:]
-        code = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64)).view(np.int64)
-        long = b - a >= LEAST
-        out += zip([BLOCK] * int(long.sum()), a[long].tolist(), (b - a)[long].tolist(), code[long].tolist(), strict=True)
-    return out
-
 
-def _paragraphs(min_line: int):
-    @F.pandas_udf("array<struct<kind: int, start: long, n_words: long, hash: long>>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def sliding(x: np.ndarray, f: np.ufunc) -> np.ndarray:
+        wide, out = 1, x
+        while 2 * wide <= spacing:
+            out = f(out[:-wide], out[wide:])
+            wide *= 2
+        rest = spacing - wide
+        return f(out[: len(out) - rest], out[rest:]) if rest else out
+
+    low = sliding(g, np.minimum)
+    edge = np.zeros(spacing - 1, dtype=g.dtype)
+    at = np.flatnonzero(sliding(np.concatenate([edge, low, edge]), np.maximum) == g)  # the least of some window that holds it
+    value = g[at]
+    if (value[1:] == value[:-1]).any():
+        keep, last = np.ones(len(at), dtype=bool), 0
+        for k in range(1, len(at)):
+            if value[k] == value[last] and at[k] - at[last] < spacing:
+                keep[k] = False
+            else:
+                last = k
+        at = at[keep]
+    return at
+
+
+def line_keys(threshold: float, recall: float) -> int:
+    """Keys of one MinHash row with which a pair at the threshold shares one with probability `recall`."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold) - 1e-9))
+
+
+def paragraphs_of(text: str, known: WordHash, n_keys: int) -> tuple[np.ndarray, ...]:
+    """(key, first word, words, code), a row per key: the windows of a text, then the lines of five words or more with n_keys each.
+
+    code names the words of a paragraph. A text of fewer than five words has none.
+    """
+    lines = [x.split() for x in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
+    size = np.array([len(x) for x in lines], dtype=np.int64)
+    n = int(size.sum())
+    if n < SHINGLE:
+        return tuple(np.empty(0, dtype=np.int64) for _ in range(4))
+    h = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(lines)), dtype=np.uint64, count=n)
+    g = h[: n - SHINGLE + 1].copy()
+    for k in range(1, SHINGLE):
+        g = g * _P + h[k : n - SHINGLE + 1 + k]
+    g = mix(g + np.uint64(SHINGLE))
+    at = anchors(g)
+    if not len(at) or at[0]:
+        at = np.concatenate([[0], at])
+    end = np.minimum(at + WINDOW, n)
+    first = np.cumsum(size) - size
+    long = size >= SHINGLE
+    a, b = first[long], (first + size)[long]
+    keys = [g[at]]
+    if len(a):
+        inside = np.column_stack([a, b - SHINGLE + 1]).ravel()  # the last one may be the end of g, which reduceat does not take
+        padded = np.append(g, np.uint64(2**64 - 1))
+        keys += [mix(np.minimum.reduceat((padded ^ _B[k]) * _A[k], inside)[::2] + _SALT[k]) for k in range(n_keys)]
+    start = np.concatenate([at] + [a] * n_keys)
+    stop = np.concatenate([end] + [b] * n_keys)
+    powers = np.cumprod(np.full(n, _P, dtype=np.uint64))
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(h) * powers)])  # all unsigned: a signed zero would make them doubles
+    # prefix sums differ by the paragraph's sum times a power of its position; dividing by it (odd, so invertible) makes equal paragraphs equal
+    inverse = np.cumprod(np.full(n + 1, _INVERSE, dtype=np.uint64))
+    code = mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64))
+    return np.concatenate(keys).view(np.int64), start, stop - start, code.view(np.int64)
+
+
+def paragraphs(docs: DataFrame, n_keys: int) -> DataFrame:
+    """docs(doc_id, text) -> paragraphs_of() each text: key, doc_id, start, n_words, code."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
-        names = ("kind", "start", "n_words", "hash")
-        for texts in batches:
-            yield pd.Series([[dict(zip(names, p, strict=True)) for p in paragraphs_of(t, known, min_line)] if t else [] for t in texts])
+        for batch in batches:
+            out: list[tuple] = []
+            held = 0
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                key, start, n, code = paragraphs_of(text.as_py() or "", known, n_keys)
+                out.append((key, np.full(len(key), i, dtype=np.int64), start.astype(np.int32), n.astype(np.int32), code))
+                held += len(key)
+                if held > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
 
-    return cut
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("code", pa.int64())])
+    return docs.select("doc_id", "text").mapInArrow(cut, "key long, doc_id long, start int, n_words int, code long")
 
 
-def _lines(min_line: int):
-    @F.pandas_udf("array<struct<doc_id: long, text: string>>")
-    def lines(texts: pd.Series) -> pd.Series:
-        def of(t: str) -> list[dict]:
-            found = [x.split() for x in t.encode("utf-8", "surrogatepass").lower().split(b"\n")]
-            joined = [b" ".join(x) for x in found if len(x) >= min_line]
-            return [{"doc_id": np.uint64(xxhash.xxh3_64_intdigest(x)).view(np.int64), "text": x.decode("utf-8", "replace")} for x in joined]
+@vectorized("array<struct<doc_id: long, text: string>>")
+def _cut_out(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+    """The paragraphs of a text at the given places, under their code; a place that holds other words (a repeated doc_id) gives none."""
+    known = WordHash()
 
-        return pd.Series([of(t) if t else [] for t in texts])
+    def of(text: str | None, places: list) -> list[dict]:
+        raw = (text or "").encode("utf-8", "surrogatepass").lower()
+        found, have = raw.split(), {(s, n, c) for _, s, n, c in zip(*paragraphs_of(text or "", known, 1), strict=True)}
+        return [{"doc_id": p["code"], "text": b" ".join(found[p["start"] : p["start"] + p["n_words"]]).decode("utf-8", "replace")} for p in places if (p["start"], p["n_words"], p["code"]) in have]
 
-    return lines
+    return pd.Series([of(t, w) for t, w in zip(texts, wanted, strict=True)])
 
 
 def spans_of(doc: int, start: np.ndarray, n_words: np.ndarray, cluster: np.ndarray, lo: np.ndarray, min_words: int) -> list[tuple[int, int, int, int]]:
@@ -102,7 +158,7 @@ def spans_of(doc: int, start: np.ndarray, n_words: np.ndarray, cluster: np.ndarr
     """
     end = start + n_words
     reach = np.maximum.accumulate(end)
-    begin = np.concatenate([[0], np.flatnonzero(start[1:] >= reach[:-1] + LEAST) + 1, [len(start)]])
+    begin = np.concatenate([[0], np.flatnonzero(start[1:] >= reach[:-1] + GAP) + 1, [len(start)]])
     out = []
     for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
         base, size = int(start[a]), int(reach[b - 1] - start[a])
@@ -145,25 +201,41 @@ def _spans(min_words: int):
     return spans
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 16, min_line: int = 20, percent: int = 80, recall: float = 0.99) -> DataFrame:
+def linked_paragraphs(docs: DataFrame, percent: int = 80, recall: float = 0.99) -> DataFrame:
+    """doc_id, start, n_words, code, cluster of the paragraphs of docs(doc_id, text) that share a key with another document.
+
+    cluster is the component of a paragraph: the least code it is linked to, over chains of links.
+    Two lines at the similarity `percent` are linked with probability `recall`, more alike ones more surely;
+    equal paragraphs always are (64-bit codes stand for their words).
+    """
+    each = math.sqrt(recall)  # keys and bands, one after the other
+    keyed = stored(paragraphs(docs, line_keys(percent / 100, each)))
+    shared = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key"))
+    found = stored(keyed.join(shared, "key", "left_semi").select("doc_id", "start", "n_words", "code"))
+    # each distinct paragraph once, cut out of the first text that has it
+    once = found.groupBy("code").agg(F.min(F.struct("doc_id", "start", "n_words")).alias("at")).select("code", "at.*")
+    wanted = stored(once.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("code", "start", "n_words")).alias("wanted")))
+    texts = _texts_of(docs, wanted.select("id")).join(wanted, "id").select(F.explode(_cut_out("text", "wanted")).alias("p")).select("p.*")
+    _, width = bands_for(percent / 100, each, SAMPLE)
+    alike = near_duplicates(texts, percent, SAMPLE, width, short_signature).filter("not kept").select(F.col("doc_id").alias("code"), F.col("component_id").alias("to")).distinct()
+    return found.join(stored(alike), "code", "left").withColumn("cluster", F.coalesce("to", "code")).drop("to")
+
+
+def repeated_passages(docs: DataFrame, min_words: int = 16, percent: int = 80, recall: float = 0.99) -> DataFrame:
     """A row per repeated span of docs(doc_id, text): doc_id, start_word, n_words, cluster, first_doc_id, removed.
 
     Counted in words [^\\x20\\x09-\\x0D]+, A-Z lower-cased. A span has one verdict (see spans_of).
     cluster names the component of its longest paragraph; first_doc_id is the smallest document with
-    that paragraph; removed is true in all others. Every component keeps the copy in its first document. Documents without a repeated span, and null, empty or blank texts, have no row.
-    Rows that repeat a doc_id are one document; repeats inside one document alone do not count.
+    that paragraph; removed is true in all others. Every component keeps the copy in its first document.
+    Runs of fewer than min_words words have no row, nor have documents without a repeat, null, empty or blank texts and
+    those under five words. Rows that repeat a doc_id are one document, and repeats inside one document alone do
+    not count. Rows with a null doc_id have no row, since no copy could be named by it. An empty
+    table gives no rows; other columns are ignored, whatever their names; texts of any length are read whole.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    units = stored(docs.select("doc_id", F.explode(_paragraphs(min_line)("text")).alias("p")).select("doc_id", "p.*"))
-    if min_line < 5:
-        raise ValueError("lines need the words of a shingle")
-    _, width = bands_for(percent / 100, recall, SAMPLE)
-    # lines that are one component get one name
-    lines = docs.select(F.explode(_lines(min_line)("text")).alias("l")).select("l.*")
-    alike = near_duplicates(lines, percent, SAMPLE, width, short_signature).filter("not kept").select(F.col("doc_id").alias("hash"), F.col("component_id").alias("to")).distinct()
-    named = units.join(stored(alike.withColumn("kind", F.lit(LINE))), ["kind", "hash"], "left").withColumn("cluster", F.coalesce("to", "hash")).drop("to")
-    first = named.groupBy("kind", "cluster").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi")
-    hit = stored(named.join(first, ["kind", "cluster"]).select("doc_id", "start", "n_words", "cluster", "lo"))
-    near = F.sort_array(F.collect_list(F.struct("start", "n_words", "cluster", "lo"))).alias("ps")
-    of_doc = hit.groupBy("doc_id").agg(near).select("doc_id", F.explode(_spans(min_words)("doc_id", "ps.start", "ps.n_words", "ps.cluster", "ps.lo")).alias("s"))
+    named = stored(linked_paragraphs(docs, percent, recall))
+    first = named.groupBy("cluster").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi")
+    hit = named.join(first, "cluster").select("doc_id", "start", "n_words", "cluster", "lo")
+    near = F.sort_array(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"), "cluster", "lo"))).alias("ps")
+    of_doc = stored(hit.groupBy("doc_id").agg(near)).select("doc_id", F.explode(_spans(min_words)("doc_id", "ps.start", "ps.n_words", "ps.cluster", "ps.lo")).alias("s"))
     return of_doc.select("doc_id", "s.*").withColumn("removed", F.col("doc_id") != F.col("first_doc_id"))

@@ -189,6 +189,13 @@ def test_passages(spark, corpus):
     assert {r.first_doc_id for r in rows if r.doc_id in (90, 91, 92)} == {90}
     assert all(r.removed == (r.doc_id != r.first_doc_id) for r in rows)
     assert substring.repeated_passages(df.limit(0)).count() == 0
+    # rows that repeat a doc_id are one document, null ones none
+    again = df.filter("doc_id = 400").union(df.filter("doc_id = 400")).union(df.filter("doc_id = 300").withColumn("doc_id", F.lit(None).cast("long"))).union(df.filter("doc_id = 300"))
+    assert substring.repeated_passages(again).count() == 0
+    long = {1: sentence(rng, 30_000, 10**6), 3: "short"}
+    long[2] = " ".join(long[1].split()[15_000:15_300])
+    rows = substring.repeated_passages(docs_of(spark, long)).collect()
+    assert {(r.doc_id, r.removed) for r in rows} == {(1, False), (2, True)} and all(r.n_words >= 250 for r in rows)
 
 
 def test_passages_from_two_places_keep_their_first_copies(spark):
@@ -210,6 +217,76 @@ def test_passages_from_two_places_keep_their_first_copies(spark):
         assert share(20, 50, q_words, True) == 1 and share(20, 50, q_words, False) == 0
 
 
+def test_anchors():
+    rng = np.random.default_rng(5)
+    for spacing in (2, 5, 16, 27):
+        g = rng.integers(0, 2**63, 900, dtype=np.uint64)
+        view = np.lib.stride_tricks.sliding_window_view(g, spacing)
+        assert (substring.anchors(g, spacing) == np.unique(view.argmin(axis=1) + np.arange(len(view)))).all()
+    assert len(substring.anchors(np.ones(270, dtype=np.uint64))) == 10  # the same words on and on
+    assert len(substring.anchors(np.ones(9, dtype=np.uint64))) == 0
+
+
+def units_brute(texts):
+    """doc -> {(first word, words): shingle set} of all lines of five words or more and all windows."""
+    known, out = neardup.WordHash(), {}
+    for i, t in texts.items():
+        w = t.encode().lower().split()
+        _, start, n, _ = substring.paragraphs_of(t, known, 4)
+        out[i] = {(a, k): frozenset(tuple(w[j : j + 5]) for j in range(a, a + k - 4)) for a, k in zip(start.tolist(), n.tolist(), strict=True) if k >= 5}
+    return out
+
+
+def test_paragraphs_against_all_pairs(spark):
+    """Links of paragraphs against all pairs by exact Jaccard: none that is not one, and at least 0.99 of the pairs of lines at each step of similarity."""
+    rng = random.Random(34)
+    texts, pairs = {}, 0
+    for i in range(0, 240, 2):
+        words = sentence(rng, rng.randrange(30, 70), 10**6).split()
+        other = words.copy()
+        for _ in range(rng.randrange(0, 3)):
+            other[rng.randrange(len(other))] = rng.choice(["new", "", "two words"])
+        texts[i], texts[i + 1] = (f"{sentence(rng, 20, 10**6)}\n{' '.join(x)}\n{sentence(rng, 20, 10**6)}" for x in (words, other))
+    rows = substring.linked_paragraphs(docs_of(spark, texts).select("doc_id", "text")).collect()
+    cluster = {(r.doc_id, r.start, r.n_words): r.cluster for r in rows}
+    sets = units_brute(texts)
+    linked = 0
+    for i in range(0, 240, 2):
+        lines = [{(a, k) for (a, k) in sets[d] if k >= 25} for d in (i, i + 1)]  # windows have 24 words
+        for x, y in itertools.product(*lines):
+            a, b = sets[i][x], sets[i + 1][y]
+            if 100 * len(a & b) >= 80 * len(a | b):
+                pairs += 1
+                linked += (i, *x) in cluster and cluster[(i, *x)] == cluster.get((i + 1, *y))
+    assert linked >= 0.99 * pairs > 60
+    by = collections.defaultdict(list)
+    for (d, a, k), c in cluster.items():
+        by[c].append(sets[d][a, k])
+    for group in by.values():  # every paragraph of a component is alike to some other one, or equal to all
+        for k, a in enumerate(group):
+            assert len(group) == 1 or any(100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(group) if j != k)
+
+
+def test_every_passage_of_fifty_words_is_found(spark):
+    """Passages pasted at any place of a line and over line ends, exact and with one word changed."""
+    rng = random.Random(35)
+    texts, exact, changed = {}, [], []
+    for i in range(0, 400, 2):
+        p = sentence(rng, rng.randrange(51, 61), 10**6).split()
+        q = p.copy()
+        if i % 4:
+            q[rng.randrange(len(q))] = "changed"
+        cut = rng.randrange(1, len(p))
+        texts[i] = f"{sentence(rng, rng.randrange(5, 60), 10**6)} {' '.join(p)} {sentence(rng, rng.randrange(5, 60), 10**6)}"
+        texts[i + 1] = f"{sentence(rng, rng.randrange(5, 60), 10**6)} {' '.join(q[:cut])}\n{' '.join(q[cut:])} {sentence(rng, rng.randrange(5, 60), 10**6)}"
+        (changed if i % 4 else exact).append(i)
+    rows = substring.repeated_passages(docs_of(spark, texts)).collect()
+    found = {r.doc_id for r in rows}
+    assert all(i in found and i + 1 in found for i in exact)
+    assert sum(i in found and i + 1 in found for i in changed) >= 0.5 * len(changed)  # an edit may break all windows of so short a passage; README has the share
+    assert all(r.removed == (r.doc_id % 2 == 1) for r in rows)
+
+
 def test_spans_keep_first_copies():
     spans = lambda doc, ps, n=16: substring.spans_of(doc, *map(np.array, zip(*ps, strict=True)), n)
     # a short gap joins paragraphs of one verdict, a long one does not; short runs have no row
