@@ -58,7 +58,8 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, *by: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back: cuts lineage and survives a lost executor."""
     path = f"{shared_dir(df.sparkSession)}/corpus-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(*by) if by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

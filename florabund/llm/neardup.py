@@ -308,7 +308,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SAMPLE, widt
     signed = stored(docs.select("doc_id", sign("text", size, width).alias("s")).select("doc_id", "s.*"))
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(full.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
-    heads = full.join(classes.select("set_hash", F.col("id").alias("doc_id")), ["set_hash", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "bands", "sketch").dropDuplicates(["id"])
+    heads = full.join(classes.select("set_hash", F.col("id").alias("doc_id")), ["set_hash", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "bands", "sketch")
+    heads = stored(heads.groupBy("id").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     rows = heads.select("id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).filter("n > 1")
     members = stored(rows.join(shared, "key"))

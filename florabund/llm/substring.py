@@ -6,13 +6,14 @@ words is the least among SPACING neighbours (winnowing, Schleimer, Wilkerson and
 a passage has the same windows wherever it stands. A run of WINDOW + SPACING - 1 words that two texts
 share holds a common window for certain.
 
-Flow, the same for both kinds: (1) a paragraph gets few keys of one MinHash row each: a window the
-five words it begins with, a line as many as the recall wanted asks for. Keys that only one
-document has are dropped by a partial aggregate, before any join and without a text. (2) What is
-left meets in MinHash bands tuned to the recall, candidates are verified by the exact Jaccard similarity
-of their word shingles, and links become components (near_duplicates); equal paragraphs are one
-row there. (3) A component that two documents have is a repeat; its paragraphs become spans, of
-which all but those in the first document go.
+Flow, the same for both kinds: (1) a paragraph gets few keys: a line as many of one MinHash row as
+the recall wanted asks for, a window the hash of its first PREFIX words (in so short a window a
+changed word further on than that leaves a similarity over 0.8, one before it does not). Keys that only one
+document has are dropped by a partial aggregate, before any join and without a text. (2) Paragraphs that
+share a key with other words meet in MinHash bands tuned to the recall, candidates are verified by
+the exact Jaccard similarity of their word shingles, and links become components
+(near_duplicates); equal paragraphs are one row there. (3) A component that two documents have is
+a repeat; its paragraphs become spans, of which all but those in the first document go.
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ from pyspark.sql import functions as F
 from .common import stored, vectorized
 from .neardup import WordHash, _texts_of, bands_for, mix, near_duplicates, short_signature
 
-WINDOW, SPACING, SHINGLE = 24, 27, 5
+WINDOW, SPACING, SHINGLE, PREFIX = 24, 27, 5, 20
 #: A span runs on over a gap of fewer words.
 GAP = 5
 #: Size of the MinHash sample for bands.
-SAMPLE = 44
+SAMPLE = 24
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = pow(int(_P), -1, 1 << 64)
 _rng = np.random.default_rng(7)
@@ -99,18 +100,23 @@ def paragraphs_of(text: str, known: WordHash, n_keys: int) -> tuple[np.ndarray,
     first = np.cumsum(size) - size
     long = size >= SHINGLE
     a, b = first[long], (first + size)[long]
-    keys = [g[at]]
+    powers = np.cumprod(np.full(n, _P, dtype=np.uint64))
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(h) * powers)])  # all unsigned: a signed zero would make them doubles
+    inverse = np.cumprod(np.full(n + 1, _INVERSE, dtype=np.uint64))
+
+    def named(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        # prefix sums differ by the paragraph's sum times a power of its position; dividing by it (odd, so invertible) makes equal paragraphs equal
+        return mix((total[y] - total[x]) * inverse[x] + (y - x).astype(np.uint64))
+
+    keys, line_codes = [named(at, np.minimum(at + PREFIX, n))], []
     if len(a):
         inside = np.column_stack([a, b - SHINGLE + 1]).ravel()  # the last one may be the end of g, which reduceat does not take
         padded = np.append(g, np.uint64(2**64 - 1))
         keys += [mix(np.minimum.reduceat((padded ^ _B[k]) * _A[k], inside)[::2] + _SALT[k]) for k in range(n_keys)]
+        line_codes = [named(a, b)] * n_keys
     start = np.concatenate([at] + [a] * n_keys)
     stop = np.concatenate([end] + [b] * n_keys)
-    powers = np.cumprod(np.full(n, _P, dtype=np.uint64))
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(h) * powers)])  # all unsigned: a signed zero would make them doubles
-    # prefix sums differ by the paragraph's sum times a power of its position; dividing by it (odd, so invertible) makes equal paragraphs equal
-    inverse = np.cumprod(np.full(n + 1, _INVERSE, dtype=np.uint64))
-    code = mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64))
+    code = np.concatenate([named(at, end), *line_codes])
     return np.concatenate(keys).view(np.int64), start, stop - start, code.view(np.int64)
 
 
@@ -205,20 +211,21 @@ def linked_paragraphs(docs: DataFrame, percent: int = 80, recall: float = 0.99)
     """doc_id, start, n_words, code, cluster of the paragraphs of docs(doc_id, text) that share a key with another document.
 
     cluster is the component of a paragraph: the least code it is linked to, over chains of links.
-    Two lines at the similarity `percent` are linked with probability `recall`, more alike ones more surely;
-    equal paragraphs always are (64-bit codes stand for their words).
+    Two lines at the similarity `percent` share a key, and then a band, with probability `recall` each, more alike ones more surely;
+    equal paragraphs are always linked (64-bit codes stand for their words).
     """
-    each = math.sqrt(recall)  # keys and bands, one after the other
-    keyed = stored(paragraphs(docs, line_keys(percent / 100, each)))
+    keyed = stored(paragraphs(docs, line_keys(percent / 100, recall)))
     shared = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key"))
-    found = stored(keyed.join(shared, "key", "left_semi").select("doc_id", "start", "n_words", "code"))
-    # each distinct paragraph once, cut out of the first text that has it
-    once = found.groupBy("code").agg(F.min(F.struct("doc_id", "start", "n_words")).alias("at")).select("code", "at.*")
+    found = stored(keyed.join(shared, "key", "left_semi"))
+    # paragraphs of different words under one key, each once, cut out of the first text that has it
+    mixed = found.groupBy("key").agg(F.min("code").alias("lo"), F.max("code").alias("hi")).filter("lo < hi").select("key")
+    once = found.join(mixed, "key", "left_semi").groupBy("code").agg(F.min(F.struct("doc_id", "start", "n_words")).alias("at")).select("code", "at.*")
     wanted = stored(once.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("code", "start", "n_words")).alias("wanted")))
-    texts = _texts_of(docs, wanted.select("id")).join(wanted, "id").select(F.explode(_cut_out("text", "wanted")).alias("p")).select("p.*")
-    _, width = bands_for(percent / 100, each, SAMPLE)
+    texts = stored(_texts_of(docs, wanted.select("id")).join(wanted, "id").select(F.explode(_cut_out("text", "wanted")).alias("p")).select("p.*"))
+    _, width = bands_for(percent / 100, recall, SAMPLE)
     alike = near_duplicates(texts, percent, SAMPLE, width, short_signature).filter("not kept").select(F.col("doc_id").alias("code"), F.col("component_id").alias("to")).distinct()
-    return found.join(stored(alike), "code", "left").withColumn("cluster", F.coalesce("to", "code")).drop("to")
+    places = found.select("doc_id", "start", "n_words", "code").distinct()
+    return places.join(stored(alike), "code", "left").withColumn("cluster", F.coalesce("to", "code")).drop("to")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 16, percent: int = 80, recall: float = 0.99) -> DataFrame:
