@@ -5,8 +5,8 @@ its bands, and an odd sketch, the parity bitmap of the sample. Documents with eq
 class first, so groups of copies count once. Classes that share a band key are candidates; the
 XOR population count of two odd sketches estimates their similarity and drops the unlike ones;
 the rest are confirmed on full sets. Candidates are taken in two steps, so that a large group of
-near copies never gives all its pairs: first each member of a bucket against its smallest and
-its most central member, then only pairs of members that are still in different components, which a larger sketch
+near copies never gives all its pairs: first each document against the most central member of its largest
+bucket and the smallest member of all its buckets, then only pairs of members that are still in different components, which a larger sketch
 estimates more precisely before sets are fetched.
 """
 
@@ -25,13 +25,18 @@ from pyspark.sql import functions as F
 from .common import stored, together, vectorized
 from .components import components
 
-SAMPLE, ROWS, SKETCH_BITS = 128, 4, 512
+#: 21 bands of 6: a pair at 0.85 shares none with probability 5e-5, a pair at 0.5 shares one with 0.28.
+SAMPLE, ROWS, SKETCH_BITS = 128, 6, 512
 #: The larger sample and sketch of documents in unsettled buckets.
 FINE_SAMPLE, FINE_BITS = 1024, 4096
 #: Up to this many ids are broadcast to pick texts; more of them are joined with a shuffle.
 FEW_IDS = 200_000
 #: Members of an unsettled bucket that one task compares with each other or with another block.
 BLOCK = 512
+#: Members of small unsettled buckets that one task takes.
+TASK_ROWS = 4096
+#: Pairs that a task looks at together, and those whose sketches it holds at once.
+PAIRS, STEP = 1 << 20, 1 << 13
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 2**32, FINE_SAMPLE, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 2**32, FINE_SAMPLE, dtype=np.uint64).astype(np.uint32)
@@ -263,36 +268,38 @@ def _across(members: DataFrame, most: int, most_fine: int) -> DataFrame:
     own = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "bands", "sketch", "fine")
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for (key, i, j), g in group.groupby(["key", "i", "j"], sort=False):
-            left, right = g[g.own == i], g[g.own == j]
-            a, b = _bits(left.sketch), _bits(right.sketch)
-            apart = np.zeros((len(a), len(b)), dtype=np.int64)
-            for k in range(a.shape[1]):
-                apart += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
-            x, y = left.id.to_numpy()[:, None], right.id.to_numpy()[None, :]
-            ok = (apart <= most) & (left.component.to_numpy()[:, None] != right.component.to_numpy()[None, :])
-            if i == j:
-                ok &= x < y
-            p, q = np.nonzero(ok)
-            bands_a, bands_b = np.stack(left.bands.to_numpy()), np.stack(right.bands.to_numpy())
-            here = np.zeros(len(p), dtype=bool)
-            for at in range(0, len(p), 4096):
-                part = slice(at, at + 4096)
-                own = bands_a[p[part]]
-                here[part] = own[np.arange(len(own)), (own == bands_b[q[part]]).argmax(axis=1)] == key
-            p, q = p[here], q[here]
-            fine_a, fine_b = _bits(left.fine), _bits(right.fine)
-            near = np.zeros(len(p), dtype=bool)
-            for at in range(0, len(p), 4096):
-                part = slice(at, at + 4096)
-                near[part] = np.bitwise_count(fine_a[p[part]] ^ fine_b[q[part]]).sum(axis=1) <= most_fine
-            p, q = p[near], q[near]
-            found.append(pd.DataFrame({"a": np.minimum(x[p, 0], y[0, q]), "b": np.maximum(x[p, 0], y[0, q])}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-    # small buckets share tasks; a pair of blocks of a large one is a task by itself
-    small = F.pmod(F.xxhash64("key"), F.lit(4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        # the buckets of a task one after the other, in each the left block first
+        group = group.sort_values(["key", "i", "j", "own"], kind="stable")
+        key, i, j, own, ids, component = (group[c].to_numpy() for c in ("key", "i", "j", "own", "id", "component"))
+        sketch, fine, bands = _bits(group.sketch), _bits(group.fine), np.stack(group.bands.to_numpy())
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(key)))
+        place, end = np.arange(len(key)), np.repeat(begin + size, size)
+        # a row meets those after it in its bucket, or the right block if it is in the left one
+        right = np.repeat(begin + np.add.reduceat((own == i).astype(np.int64), begin), size)
+        low = np.where(i == j, place + 1, np.where(own == i, right, end))
+        n = end - low
+        found_a, found_b = [ids[:0]], [ids[:0]]
+        edge = [0, *np.searchsorted(np.cumsum(n), np.arange(PAIRS, int(n.sum()), PAIRS)).tolist(), len(n)]
+        for x, y in itertools.pairwise(edge):
+            part = n[x:y]
+            p = np.repeat(place[x:y], part)
+            q = np.repeat(low[x:y] - (np.cumsum(part) - part), part) + np.arange(int(part.sum()))
+            for ok in (
+                lambda p, q: component[p] != component[q],
+                lambda p, q: np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64) <= most,
+                lambda p, q: bands[p, (bands[p] == bands[q]).argmax(axis=1)] == key[p],  # the first common band is this one
+                lambda p, q: np.bitwise_count(fine[p] ^ fine[q]).sum(axis=1, dtype=np.int64) <= most_fine,
+            ):
+                keep = np.concatenate([ok(p[k : k + STEP], q[k : k + STEP]) for k in range(0, len(p), STEP)]) if len(p) else np.empty(0, dtype=bool)
+                p, q = p[keep], q[keep]
+            found_a.append(np.minimum(ids[p], ids[q])), found_b.append(np.maximum(ids[p], ids[q]))
+        return pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)}, dtype="int64")
+
+    # small buckets share tasks, of about TASK_ROWS members each; a pair of blocks of a large one is a task by itself
+    tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(members.count() / TASK_ROWS))
+    small = F.pmod(F.xxhash64("key"), F.lit(tasks))
     own = own.select(F.when((F.col("i") == 0) & (F.col("j") == 0), small).otherwise(F.xxhash64("key", "i", "j")).alias("task"), "key", "i", "j", "own", "id", "component", "bands", "sketch", "fine")
     return own.groupBy("task").applyInPandas(pairs, "a long, b long").distinct()
 
@@ -302,7 +309,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SAMPLE, widt
 
     Linked documents share component_id, the smallest doc_id reachable; kept marks that one.
     Null, empty and blank texts have no shingles and are linked with nothing. Rows that repeat a
-    doc_id are one document. Rows with a null doc_id are never linked and are kept.
+    doc_id are one document. Rows with a null doc_id are never linked and are kept. A pair exactly
+    at `percent` is linked; of equal sets the smallest doc_id stays. Texts of any length are read
+    whole, other columns are ignored, whatever their names, and an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(docs.select("doc_id", sign("text", size, width).alias("s")).select("doc_id", "s.*"))
@@ -316,7 +325,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SAMPLE, widt
     sketches = stored(heads.join(members.select("id").distinct(), "id", "left_semi").select("id", "sketch", "bands"))
     weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
     hubs = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
-    star = members.join(hubs, "key").select("id", F.explode(F.array_distinct(F.array("hub", "low"))).alias("hub")).filter("id != hub")
+    # one hub, that of the largest bucket, and the smallest member met, so that pairs grow with the members and not with their bands
+    centres = members.join(hubs, "key").groupBy("id").agg(F.max_by("hub", F.struct("n", "key")).alias("hub"), F.min("low").alias("low"))
+    star = centres.select("id", F.explode(F.array_distinct(F.array("hub", "low"))).alias("hub")).filter("id != hub")
     most = most_different(percent / 100, size)
     first = stored(_alike(star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), sketches, most))
     links = stored(confirm(first, docs, percent))
@@ -325,7 +336,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SAMPLE, widt
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
     unsettled = stored(placed.join(open_keys, "key", "left_semi"))
     fine = stored(_texts_of(docs, unsettled).select("id", fine_sketch("text").alias("fine")).dropDuplicates(["id"]))
-    both = unsettled.join(sketches.join(fine, "id"), "id")
+    both = stored(unsettled.join(sketches.join(fine, "id"), "id"))
     second = stored(_across(both, most, most_different(percent / 100, FINE_SAMPLE, FINE_BITS)).join(first, ["a", "b"], "left_anti"))
     more = stored(confirm(second, docs, percent))
     if not more.isEmpty():
@@ -335,5 +346,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SAMPLE, widt
     multi = classes.filter("n > 1").select("set_hash").union(classes.join(names.select(F.col("node").alias("id")), "id", "left_semi").select("set_hash")).distinct()
     of_class = stored(of_class.join(multi, "set_hash", "left_semi"))
     of_class = F.broadcast(of_class) if of_class.count() <= FEW_IDS else of_class  # a hot class then stays where its rows are
-    out = signed.join(of_class, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # texts without words are in no class: they would all meet under one null key
+    out = signed.filter("set_hash is not null").join(of_class, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.union(signed.filter("set_hash is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -498,6 +498,22 @@ def test_blocks_of_large_buckets_meet(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == [(2 * k, 2 * k + 1) for k in range(15)]
 
 
+@pytest.mark.parametrize("block", [3, 512])
+def test_unsettled_pairs_against_all_pairs(spark, monkeypatch, block):
+    """Buckets of many sizes, cut to blocks or not: every pair that shares a band, is in two components and has alike sketches comes once."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "PAIRS", 50)
+    rng = np.random.default_rng(36)
+    bits = rng.integers(-(2**63), 2**63, (4, 8), dtype=np.int64)
+    nodes = [(k, int(rng.integers(0, 9)), [int(x) for x in rng.integers(0, 6, 2) + [0, 100]], (bits[rng.integers(0, 4)] ^ (1 << int(rng.integers(0, 3)))).tolist()) for k in range(60)]
+    rows = [(key, i, c, bands, sketch, sketch * 8) for i, c, bands, sketch in nodes for key in bands]
+    df = spark.createDataFrame(rows, "key long, id long, component long, bands array<long>, sketch array<long>, fine array<long>")
+    apart = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b, strict=True))
+    want = {(a[0], b[0]) for a, b in itertools.combinations(nodes, 2) if a[1] != b[1] and any(x == y for x, y in zip(a[2], b[2], strict=True)) and apart(a[3], b[3]) <= 16}
+    got = [tuple(r) for r in neardup._across(df, 16, 8 * 16).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(2)
     for share in (0.95, 0.85, 0.7):
