@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from florabund.llm import decontam, neardup, packing, quality, secrets
-from florabund.llm.common import keep_ids, shared_dir, table
+from florabund.llm.common import shared_dir, table
+from florabund.llm.idfilter import drop_ids
 from florabund.llm.queries import TOKENIZER
 
 
@@ -18,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest doc_id."""
-    return keep_ids(docs, neardup.near_duplicates(docs).filter("kept"))
+    return drop_ids(docs, neardup.near_duplicates(docs).filter("not kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; what each returns is written as Parquet in the shared folder and read again."""
+    """Applies STAGES to documents; what each returns is written as Parquet in the shared folder and read again.
+
+    Null, empty and blank texts fail the base rule of the first stage, so none is packed; rows that repeat a doc_id are one
+    document to the second and are kept or dropped together, each packed for itself; a null doc_id is judged, scanned and packed
+    like others and linked with nothing. Texts of any length are read whole. An empty table gives no rows. Columns
+    besides those of documents pass through all stages but the last, whatever their names.
+    """
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):

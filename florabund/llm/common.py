@@ -46,29 +46,27 @@ def fold(key: str | Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a new one, but only if all is one machine."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
 def stored(df: DataFrame, *by: str) -> DataFrame:
-    """Writes df once as Parquet in the shared folder and reads it back: cuts lineage and survives a lost executor."""
+    """Writes df once as Parquet in the shared folder and reads it back: cuts lineage and survives a lost executor.
+
+    Results are lazy and read these tables, so they stay as long as the folder, which belongs to one application."""
     path = f"{shared_dir(df.sparkSession)}/corpus-{uuid.uuid4().hex}"
     out = df.write.option("compression", "zstd")
     (out.partitionBy(*by) if by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids(doc_id); a null id matches a null id. All columns stay as they are."""
-    wanted = ids.select(F.col("doc_id").alias("__wanted_id")).distinct()
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__wanted_id"]), "left_semi")
-
-
 def together(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
     """Neighbouring texts in lists of about `size` bytes."""
     part: list[bytes] = []

@@ -25,11 +25,13 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, vectorized
 from .wordpiece import byte_table
 
 #: Distinct words kept in a worker's memory with their ids; the memory is emptied when full.
 CACHE_WORDS = 400_000
+#: Slices of a class that are ranked apart; a fixed number, so that the places do not depend on the session.
+SLICES = 64
 #: Words for which lower-casing, composition and the split into letters, digits and signs are the same in Python and in the tokenizer.
 PLAIN = re.compile("[\\x21-\\x7e\u00c0-\u012f\u0131-\u024f]+")
 
@@ -127,10 +129,12 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def tokenize(docs: DataFrame, tokenizer: str, seq_len: int = 4096, end_id: int = 2) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str, seq_len: int = 4096, end_id: int = 2, narrow: bool = False) -> DataFrame:
     """docs(doc_id, text) -> a row per piece: doc_id, start, length, doc_tokens, ids (binary, little-endian unsigned 32-bit).
 
-    Null and empty texts give the end id alone. Repeated doc_ids give pieces each. Other columns are ignored.
+    narrow: pieces whose ids are all below 65,536 have them in 16 bits; widened() undoes that. Null and
+    empty texts give the end id alone. Repeated doc_ids give pieces each. Texts of any length are read
+    whole and cut. Other columns are ignored.
     """
     width = 4 * seq_len
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -143,10 +147,11 @@ def tokenize(docs: DataFrame, tokenizer: str, seq_len: int = 4096, end_id: int =
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = known.ids(text.as_py()) + end
                 for at in range(0, len(ids), width):
-                    part = ids[at : at + width]
-                    for k, v in zip(rows, (i, at // 4, len(part) // 4, len(ids) // 4, part), strict=True):
+                    part = np.frombuffer(ids[at : at + width], dtype="<u4")
+                    small = part.astype("<u2") if narrow and part.max() < 1 << 16 else part
+                    for k, v in zip(rows, (i, at // 4, len(part), len(ids) // 4, small.tobytes()), strict=True):
                         rows[k].append(v)
-                    held += len(part)
+                    held += small.nbytes
                 if held > 8 << 20:
                     yield pa.RecordBatch.from_pydict(rows, schema=schema)
                     rows, held = {k: [] for k in rows}, 0
@@ -156,6 +161,12 @@ def tokenize(docs: DataFrame, tokenizer: str, seq_len: int = 4096, end_id: int =
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
+@vectorized("binary")
+def widened(ids: pd.Series, length: pd.Series) -> pd.Series:
+    """ids of narrow pieces as 32-bit ones."""
+    return pd.Series([x if len(x) == 4 * n else np.frombuffer(x, dtype="<u2").astype("<u4").tobytes() for x, n in zip(ids, length, strict=True)])
+
+
 def knapsack(prices: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     """Best unbounded knapsack: the value and how many of each size."""
     best, took = np.zeros(room + 1), np.full(room + 1, -1)
@@ -229,12 +240,12 @@ def assign(pieces: DataFrame, seq_len: int = 4096, grain: int = 16) -> DataFrame
     """pieces(doc_id, start, length, ...) -> the same columns with sequence_id and offset, sequences filled up to seq_len.
 
     `pieces` is read several times, so store it first. Only the histogram over classes
-    (at most seq_len / grain rows) reaches the driver.
+    (at most seq_len / grain rows) reaches the driver. Pieces of one class take places in the order of a hash slice, then
+    doc_id and start; rows that repeat both take neighbouring places. An empty table gives no rows.
     """
     spark = pieces.sparkSession
     room = seq_len // grain
-    slices = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sized = pieces.withColumn("__class", F.ceil(F.col("length") / grain).cast("int")).withColumn("__slice", F.pmod(F.xxhash64("doc_id", "start"), F.lit(slices)).cast("int"))
+    sized = pieces.withColumn("__class", F.ceil(F.col("length") / grain).cast("int")).withColumn("__slice", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SLICES)).cast("int"))
     counts = stored(sized.groupBy("__class", "__slice").agg(F.count("*").alias("__n")))
     histogram = {r[0]: r[1] for r in counts.groupBy("__class").agg(F.sum("__n")).collect()}
     plan = cutting_plan(histogram, room)
@@ -261,6 +272,6 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = 4096, end_id: int = 2,
 
     An empty table gives no pieces. Every id of every document lies in exactly one piece.
     """
-    pieces = stored(tokenize(docs, tokenizer, seq_len, end_id).withColumn("piece", F.monotonically_increasing_id()))
+    pieces = stored(tokenize(docs, tokenizer, seq_len, end_id, narrow=True).withColumn("piece", F.monotonically_increasing_id()))
     placed = assign(pieces.drop("ids"), seq_len, grain)  # ids are shuffled once, not with every step of the plan
-    return placed.join(pieces.select("piece", "ids"), "piece").select("doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset")
+    return placed.join(pieces.select("piece", "ids"), "piece").select("doc_id", "start", "length", "doc_tokens", widened("ids", "length").alias("ids"), "sequence_id", "offset")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
+from .idfilter import split_by_ids
 
 RUN = "[A-Za-z0-9+/_=-]{16,}"
 #: Of "name=value" the value.
@@ -135,11 +136,15 @@ def scan(docs: DataFrame, words_from: DataFrame, labelled: DataFrame | None = No
 
 
 def redact(docs: DataFrame, findings: DataFrame, mask: str = "<secret>") -> DataFrame:
-    """docs with the secrets of findings(doc_id, candidate, is_secret) masked in text and n_chars counted anew; all rows and columns stay."""
-    held = findings.filter("is_secret").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("candidate").alias("__secrets"))
-    out = docs.join(held, docs["doc_id"].eqNullSafe(held["__id"]), "left")
+    """docs with the secrets of findings(doc_id, candidate, is_secret) masked in text and n_chars counted anew; all rows and columns stay.
+
+    Only rows that may have a secret are joined; the others pass through without a shuffle.
+    """
+    held = stored(findings.filter("is_secret").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("candidate").alias("__secrets")))
+    maybe, rest = split_by_ids(docs, held.select(F.col("__id").alias("doc_id")))
+    out = maybe.join(held, maybe["doc_id"].eqNullSafe(held["__id"]), "left")
     clean = F.aggregate(F.reverse(F.array_sort("__secrets")), F.col("text"), lambda t, s: F.replace(t, s, F.lit(mask)))
     out = out.withColumn("text", F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return rest.union(out.select(*docs.columns))

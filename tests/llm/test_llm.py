@@ -14,7 +14,8 @@ from tokenizers import Tokenizer
 
 from florabund.llm import components as comp
 from florabund.llm import decontam, neardup, packing, ppm, quality, secrets, substring, toxicity, urls, wordpiece
-from florabund.llm.common import fold, keep_ids, stored
+from florabund.llm.common import fold, stored
+from florabund.llm.idfilter import drop_ids, split_by_ids
 from florabund.llm.queries import ORACLES, QUERIES, TOKENIZER, VOCABULARY
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -51,7 +52,14 @@ def corpus():
 
 def test_common(spark):
     df = docs_of(spark, [(1, "a"), (2, "b")]).union(spark.createDataFrame([(None, "c", None, None, None)], SCHEMA))
-    assert keep_ids(df, df.filter("doc_id is null or doc_id = 2")).count() == 2
+    assert {r.doc_id for r in drop_ids(df, df.filter("doc_id is null or doc_id = 2")).collect()} == {1}
+    assert {r.doc_id for r in drop_ids(df, df.limit(0)).collect()} == {1, 2, None}
+    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.col("id").alias("__key"))
+    for blocks in (1, 200):  # a full filter lets all rows pass on to the exact join
+        maybe, rest = split_by_ids(many, many.filter("doc_id % 7 = 0"), max_blocks=blocks)
+        assert maybe.columns == many.columns and maybe.count() + rest.count() == 4000
+        assert rest.filter("doc_id % 7 = 0").count() == 0
+    assert sorted(r.doc_id for r in drop_ids(many.union(many), many.filter("doc_id % 7 = 0")).collect()) == sorted([k for k in range(4000) if k % 7] * 2)
     got = df.select("doc_id", fold("doc_id", 10).alias("f")).collect()
     assert [r.f for r in got] == [zlib.crc32(str(r.doc_id).encode()) % 10 if r.doc_id else 0 for r in got]
     assert stored(df.limit(0)).columns == df.columns
@@ -148,11 +156,40 @@ def test_base_counts(spark, corpus):
 
 
 def test_binomial_tail():
-    for k, n, p in [(0, 100, 0.02), (1, 500, 0.02), (5, 1000, 0.02), (0, 0, 0.02), (40, 100, 0.02)]:
-        want = sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) if k < n * p else 1.0
+    for k, n, p in [(0, 100, 0.02), (1, 500, 0.02), (5, 1000, 0.02), (0, 0, 0.02), (40, 100, 0.02), (5990, 30_000, 0.2)]:
+        want = sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)) for j in range(k + 1)) if k < n * p else 1.0
         assert quality.binomial_tail(np.array([k]), np.array([n]), p)[0] == pytest.approx(want)
 
 
+def test_cutoffs_against_trying_every_verdict(spark):
+    """Proposals, the sequence of joint verdicts and their certification, tried one by one in Python."""
+    rng = random.Random(16)
+    rows = [(i, rng.choice(["lang a", "lang b", "no lang"]), 100, int(rng.expovariate(1 / 500)), int(rng.expovariate(1 / 9)), int(rng.expovariate(1 / 2)), rng.randrange(45), rng.random() < 0.03) for i in range(6000)]
+    names = ["doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, ["long", "string", "long", "long", "long", "long", "long", "boolean"], strict=True)))
+    labels = df.filter("doc_id % 5 > 0").select("doc_id", F.lit(1).alias("quality"))
+    half = {r.doc_id: r.half for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half")).collect()}
+    value = {"symbols_per_word": lambda r: r[4] / r[2], "dup_lines_per_word": lambda r: r[5] / r[2], "repeat_share": lambda r: r[6] / r[2], "long_words": lambda r: r[3] / r[2], "short_words": lambda r: -r[3] / r[2]}
+    for risk in (0.02, 0.2):
+        want = {}
+        for stratum in ("lang a", "lang b", "no lang"):
+            good = [r for r in rows if r[1] == stratum and r[0] % 5 > 0 and not r[7]]
+            one, two = ([r for r in good if half[r[0]] == h] for h in (0, 1))
+            at = {}
+            for rule, (_, ladder) in quality.RULES.items():
+                within = [k for k, c in enumerate(ladder) if sum(value[rule](r) > c for r in one) * len(quality.RULES) <= risk * len(one)]
+                if within:
+                    at[rule] = max(within)
+            for back in range(12):  # from the strict end
+                cut = {rule: quality.RULES[rule][1][k - back] for rule, k in at.items() if k >= back}
+                k = sum(any(value[rule](r) > c for rule, c in cut.items()) for r in two)
+                if sum(math.comb(len(two), j) * risk**j * (1 - risk) ** (len(two) - j) for j in range(k + 1)) <= 0.05 / 3:
+                    want |= {(stratum, rule): c for rule, c in cut.items()}
+                    break
+        got = {(r.stratum, r.rule): r.cutoff for r in quality.cutoffs(df, labels, risk).collect()}
+        assert got == want and got
+
+
 def test_quality_verdicts(spark):
     rng = random.Random(6)
     good = {i: sentence(rng, 80, 10**6) for i in range(1200)}
