@@ -85,8 +85,8 @@ def order_within_category(groups: DataFrame) -> DataFrame:
 
 
 def top_tags(tags: DataFrame, n: int | None = None) -> DataFrame:
-    """By p-value, then group; the first n if given."""
-    out = tags.orderBy("pvalue", "group_id")
+    """By p-value, then group, then genome where there is one; the first n if given."""
+    out = tags.orderBy("pvalue", "group_id", *[c for c in ("genome_id",) if c in tags.columns])
     return out.limit(n) if n is not None else out
 
 
@@ -100,12 +100,20 @@ def scale_columns(rows: DataFrame, by: str, value: str) -> DataFrame:
     return rows.join(s, by).withColumn("z", F.when(F.col("__s") > 0, (F.col(value) - F.col("__m")) / F.col("__s"))).drop("__m", "__s")
 
 
-def pairwise_distance(rows: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """Distances of all pairs of groups over genomes, rows(genome_id, group_id, value) without gaps; 'mismatch' is the share of genomes that differ. For filtered groups: the output is quadratic in them."""
-    a, b = rows.select("genome_id", F.col("group_id").alias("g1"), F.col("value").alias("v1")), rows.select("genome_id", F.col("group_id").alias("g2"), F.col("value").alias("v2"))
-    pairs = a.join(b, "genome_id").filter("g1 < g2")
-    d = F.sqrt(F.sum((F.col("v1") - F.col("v2")) * (F.col("v1") - F.col("v2")))) if metric == "euclidean" else F.avg((F.col("v1") != F.col("v2")).cast("double"))
-    return pairs.groupBy("g1", "g2").agg(d.alias("distance"))
+def pairwise_distance(rows: DataFrame, metric: str = "euclidean", block: int = 256) -> DataFrame:
+    """Distances of all pairs of groups over genomes, rows(genome_id, group_id, value) without gaps; 'mismatch' is the share of genomes that differ. For filtered groups: the output is quadratic in them.
+
+    A group's values are one array in the order of genomes, and every two blocks of about `block` groups meet under a key of their own.
+    """
+    vectors = rows.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("genome_id", "value"))), lambda x: x["value"]).alias("v"))  # one number per genome
+    blocks = max(1, -(-rows.select("group_id").distinct().count() // block))
+    own = vectors.withColumn("own", F.pmod(F.xxhash64("group_id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    keyed = own.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "group_id", "v")
+    a, b = keyed.select("i", "j", F.col("own").alias("oa"), F.col("group_id").alias("g1"), F.col("v").alias("v1")), keyed.select("i", "j", F.col("own").alias("ob"), F.col("group_id").alias("g2"), F.col("v").alias("v2"))
+    pairs = a.join(b, ["i", "j"]).filter("g1 < g2 and (i = j or oa <> ob)")
+    total = lambda f: F.aggregate(F.zip_with("v1", "v2", f), F.lit(0.0), lambda s, x: s + x)
+    d = F.sqrt(total(lambda x, y: ((x - y) * (x - y)).cast("double"))) if metric == "euclidean" else total(lambda x, y: (x != y).cast("double")) / F.size("v1")
+    return pairs.select("g1", "g2", d.alias("distance"))
 
 
 def melt(wide: DataFrame, keys: list[str], values: list[str], name: str = "column", value: str = "value") -> DataFrame:

@@ -153,11 +153,21 @@ def set_genome(da: DataFrame, new: DataFrame, genomes: DataFrame, groups: DataFr
     return da.join(known, ["genome_id", "group_id"], "left_anti").select("genome_id", "group_id", "code").unionByName(known), refused
 
 
-def bad_codes(da: DataFrame, genomes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Cells of the full grid with a code outside the domain, or none (problem 'unset')."""
-    bad = da.filter(~F.col("code").isin(*CODES) | F.col("code").isNull()).select("genome_id", "group_id", F.lit("bad code").alias("problem"))
-    grid = genomes.select("genome_id").crossJoin(groups.select("group_id"))
-    return bad.unionByName(grid.join(da, ["genome_id", "group_id"], "left_anti").withColumn("problem", F.lit("unset")))
+def bad_codes(da: DataFrame) -> DataFrame:
+    """Stored cells with a code outside the domain or none. A cell that is not stored is absent, which is a valid code."""
+    return da.filter(~F.col("code").isin(*CODES) | F.col("code").isNull()).select("genome_id", "group_id", F.lit("bad code").alias("problem"))
+
+
+def unset_cells(dense: DataFrame, genomes: DataFrame, groups: DataFrame) -> DataFrame:
+    """genome_id, n_unset: how many groups of the catalog a matrix that should be dense leaves out; by counts, without the grid."""
+    held = dense.join(groups.select("group_id"), "group_id", "left_semi").groupBy("genome_id").agg(F.count_distinct("group_id").alias("held"))
+    n = groups.select("group_id").distinct().count()
+    return genomes.select("genome_id").join(held, "genome_id", "left").select("genome_id", (F.lit(n) - F.coalesce("held", F.lit(0))).alias("n_unset")).filter("n_unset > 0")
+
+
+def annotation_na_filter(annotation: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of annotation(group_id, ...) with a group of the catalog; NA is none. See unknown_groups for the report of the others."""
+    return annotation.filter("group_id is not null and group_id <> 'NA'").join(groups.select("group_id"), "group_id", "left_semi")
 
 
 def combine_up_down(up: DataFrame, down: DataFrame) -> DataFrame:

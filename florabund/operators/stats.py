@@ -19,6 +19,8 @@ from .da import UNDETECTED, da_code
 TRIM_M, TRIM_A = 0.3, 0.05
 #: Steps of delta = phi / (1 + phi) on which the likelihood is taken.
 GRID = 20
+#: Sums up to this are tested by all their outcomes.
+LARGE = 1 << 20
 
 
 def tmm_factors(counts: DataFrame, libraries: DataFrame) -> DataFrame:
@@ -133,23 +135,52 @@ def common_dispersion(rows: DataFrame, levels: int = 3) -> DataFrame:
     return best.select("genome_id", (F.col("delta") / (1 - F.col("delta"))).alias("phi"))
 
 
-def tagwise_dispersion(rows: DataFrame, prior_n: float = 10.0, reach: int = 10) -> DataFrame:
-    """genome_id, group_id, phi: own likelihood plus prior_n times the mean one of the `reach` neighbours by abundance on either side; ties take the smaller."""
+def tagwise_dispersion(rows: DataFrame, prior_df: float = 10.0, reach: int = 10) -> DataFrame:
+    """genome_id, group_id, phi: own likelihood plus the prior's weight times the mean one of the `reach` neighbours by abundance on either side; ties take the smaller.
+
+    The weight is prior_df over the degrees of freedom, samples less two classes.
+    """
     deltas = [k / (GRID + 1) for k in range(1, GRID + 1)]
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
-    with_abundance = rows.withColumn("abundance", F.round(total("base") + total("other"), 6))
+    with_abundance = rows.withColumns({"abundance": F.round(total("base") + total("other"), 6), "prior_n": prior_df / F.greatest(F.lit(1), F.size("base") + F.size("other") - 2)})
     points = likelihood_grid(with_abundance, deltas)
     w = Window.partitionBy("genome_id", "delta").orderBy("abundance", "group_id").rowsBetween(-reach, reach)
-    points = points.withColumn("score", F.round(F.col("ll") + prior_n * F.avg("ll").over(w), 8))
+    points = points.withColumn("score", F.round(F.col("ll") + F.col("prior_n") * F.avg("ll").over(w), 8))
     best = points.groupBy("genome_id", "group_id").agg(F.max_by("delta", F.struct("score", -F.col("delta"))).alias("delta"))
     return best.select("genome_id", "group_id", (F.col("delta") / (1 - F.col("delta"))).alias("phi"))
 
 
+def beta_cdf(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function by continued fraction (Lentz)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    swap = x > (a + 1) / (a + b + 2)
+    if swap:
+        a, b, x = b, a, 1 - x
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
+    h = d
+    for m in range(1, 20_000):  # about the root of a and b
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + num * d or tiny)
+            c = 1 + num / c or tiny
+            h *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return 1 - front * h if swap else front * h
+
+
 def _exact(z1: int, z2: int, n1: int, n2: int, phi: float, rule: str) -> float:
     """P-value of the split z1 + z2 of a sum among n1 and n2 samples."""
     s = z1 + z2
     if s == 0 or not n1 or not n2:
         return 1.0
+    if s > LARGE:  # the share of the first class is nearly beta distributed
+        mu = s / (n1 + n2)
+        a = n1 * mu / (1 + phi * mu)
+        b = a * n2 / n1
+        return min(1.0, 2 * min(beta_cdf((z1 + 0.5) / s, a, b), 1 - beta_cdf((z1 - 0.5) / s, a, b)))
     a = np.arange(s)
     if phi > 0:
         k1, k2 = n1 / phi, n2 / phi
@@ -164,11 +195,12 @@ def _exact(z1: int, z2: int, n1: int, n2: int, phi: float, rule: str) -> float:
     return float(min(1.0, p[p <= p[z1] * (1 + 1e-7)].sum()))
 
 
-def nb_exact_test(rows: DataFrame, dispersion: float | None = None, rule: str = "smallp") -> DataFrame:
+def nb_exact_test(rows: DataFrame, dispersion: float | None = None, rule: str = "doubletail") -> DataFrame:
     """rows of equalised(), with a phi column unless dispersion is given (0: binomial) -> genome_id, group_id, z1, z2, pvalue.
 
-    z1, z2 are the classes' rounded sums. rule 'smallp' sums all outcomes that are no likelier than the observed, 'doubletail' doubles the
-    smaller tail. A null phi gives a null p-value.
+    z1, z2 are the classes' rounded sums. rule 'doubletail' doubles the smaller tail, 'smallp' sums all outcomes that are no likelier
+    than the observed. A null phi gives a null p-value. Sums over LARGE take doubled tails of the beta distribution
+    with the same mean in place of as many terms, under either rule.
     """
     phi = F.lit(float(dispersion)) if dispersion is not None else F.col("phi")
 
@@ -214,28 +246,8 @@ def da_pipeline(
 
 
 def _t_tail(t: float, df: float) -> float:
-    """Two-sided p-value of Student's t: the regularised incomplete beta function by continued fraction (Lentz)."""
-    if not (t == t and df == df) or df <= 0:
-        return float("nan")
-    x = df / (df + t * t)
-    a, b = df / 2, 0.5
-    if x in (0.0, 1.0):
-        return x
-    swap = x > (a + 1) / (a + b + 2)
-    if swap:
-        a, b, x = b, a, 1 - x
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny = 1e-300
-    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
-    h = d
-    for m in range(1, 500):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + num * d or tiny)
-            c = 1 + num / c or tiny
-            h *= c * d
-        if abs(c * d - 1) < 1e-15:
-            break
-    return 1 - front * h if swap else front * h
+    """Two-sided p-value of Student's t."""
+    return beta_cdf(df / (df + t * t), df / 2, 0.5) if t == t and df == df and df > 0 else float("nan")
 
 
 def welch_t_test(rows: DataFrame, value: str, by: Column, keys: list[str] | None = None) -> DataFrame:

@@ -118,15 +118,15 @@ def f9_sample_projection(s: Star) -> DataFrame:
     return counts.sample_projection(s.counts(), s.conditions().filter("not is_other")).select("genome_id", "gene_id", "sample_id", "count")
 
 
-@query("SELECT genome_id, gene_id, sample_id, count, split_part(group_raw, ',', 1) AS group_id FROM counts JOIN annotation USING (gene_id) WHERE gene_id % 3 <> 0")
+@query("SELECT genome_id, gene_id, sample_id, count, split_part(group_raw, ',', 1) AS group_id FROM counts JOIN annotation USING (gene_id) WHERE NOT contains(group_raw, ',')")
 def j1_counts_join_groups(s: Star) -> DataFrame:
-    known = counts.first_group_wins(s.annotation().filter("gene_id % 3 <> 0"))
+    known = counts.first_group_wins(s.annotation().filter("not contains(group_raw, ',')"))
     return counts.counts_join_groups(s.counts(), known).select("genome_id", "gene_id", "sample_id", "count", "group_id")
 
 
-@query("SELECT DISTINCT genome_id, gene_id FROM counts WHERE gene_id % 3 = 0")
+@query("SELECT DISTINCT genome_id, gene_id FROM counts WHERE gene_id NOT IN (SELECT gene_id FROM annotation WHERE NOT contains(group_raw, ','))")
 def j1_genes_without_group(s: Star) -> DataFrame:
-    return counts.genes_without_group(s.counts(), counts.first_group_wins(s.annotation().filter("gene_id % 3 <> 0")))
+    return counts.genes_without_group(s.counts(), counts.first_group_wins(s.annotation().filter("not contains(group_raw, ',')")))
 
 
 @query("SELECT genome_id, sample_id FROM genomes CROSS JOIN libraries")
@@ -232,17 +232,25 @@ def f8_missing_groups(s: Star) -> DataFrame:
     return da.subset_groups(s.da(), _names(s))[1]
 
 
-@query("SELECT genome_id, group_id, gene_id FROM cluster_map WHERE gene_id % 4 <> 0 AND group_id NOT LIKE '%ECONOMY'")
+_NAMED = "SELECT genome_id, gene_id, CASE WHEN contains(group_raw, ',') THEN 'NA' ELSE c.group_id END AS group_id FROM cluster_map c JOIN annotation USING (gene_id)"
+
+
+def _named(s: Star) -> DataFrame:
+    """Clusters of genes, NA for genes with a list of groups."""
+    rows = s.cluster_map().join(s.annotation(), "gene_id")
+    return rows.withColumn("group_id", F.when(F.contains("group_raw", F.lit(",")), "NA").otherwise(F.col("group_id")))
+
+
+@query(f"SELECT genome_id, group_id, gene_id FROM ({_NAMED}) WHERE group_id <> 'NA' AND group_id NOT LIKE '%ECONOMY'")
 def f11_annotation_na_filter(s: Star) -> DataFrame:
-    rows = s.cluster_map().withColumn("group_id", F.when(F.col("gene_id") % 4 != 0, F.col("group_id")).otherwise("NA"))
     catalog = s.cluster_groups().filter(~F.col("group_id").endswith("ECONOMY"))
-    return rows.filter("group_id <> 'NA'").join(catalog, "group_id", "left_semi").select("genome_id", "group_id", "gene_id")
+    return da.annotation_na_filter(_named(s), catalog).select("genome_id", "group_id", "gene_id")
 
 
-@query("SELECT genome_id, group_id, gene_id FROM cluster_map WHERE gene_id % 4 <> 0 AND group_id LIKE '%ECONOMY'")
+@query(f"SELECT genome_id, group_id, gene_id FROM ({_NAMED}) WHERE group_id <> 'NA' AND group_id LIKE '%ECONOMY'")
 def f11_groups_outside_catalog(s: Star) -> DataFrame:
     catalog = s.cluster_groups().filter(~F.col("group_id").endswith("ECONOMY"))
-    return da.unknown_groups(s.cluster_map().filter("gene_id % 4 <> 0"), catalog).select("genome_id", "group_id", "gene_id")
+    return da.unknown_groups(_named(s).filter("group_id <> 'NA'"), catalog).select("genome_id", "group_id", "gene_id")
 
 
 @query("SELECT DISTINCT genome_id, group_id FROM cluster_map WHERE group_id IN (SELECT group_id FROM cluster_groups WHERE group_id NOT LIKE 'Brand#1%')")
@@ -319,10 +327,14 @@ def u11_refused_rows(s: Star) -> DataFrame:
     return da.set_genome(s.da(), _new(s), s.genomes(), s.cluster_groups())[1]
 
 
-@query("SELECT genome_id, group_id, 'bad code' AS problem FROM da WHERE code = 1 AND genome_id = 4 UNION ALL SELECT genome_id, group_id, 'unset' FROM dense WHERE code = -3")
+@query("SELECT genome_id, group_id, 'bad code' AS problem FROM da WHERE code = 1")
 def v9_unset_or_bad_codes(s: Star) -> DataFrame:
-    broken = s.da().withColumn("code", F.when((F.col("code") == 1) & (F.col("genome_id") == 4), 4).otherwise(F.col("code")))
-    return da.bad_codes(broken, s.genomes(), s.cluster_groups())
+    return da.bad_codes(s.da().withColumn("code", F.when(F.col("code") == 1, 4).otherwise(F.col("code"))))
+
+
+@query("SELECT genome_id, count(*) AS n_unset FROM dense WHERE code IN (-1, -3) GROUP BY 1")
+def v9_unset_cells_of_dense(s: Star) -> DataFrame:
+    return da.unset_cells(s.da().filter("code <> -1"), s.genomes(), s.cluster_groups())
 
 
 @query("SELECT genome_id, group_id, CASE WHEN NOT fdr < 0.7 THEN 0 WHEN log_fc > 0 THEN 1 ELSE -1 END AS code FROM tags")
@@ -480,14 +492,14 @@ def a12_tags_per_gene_wide(s: Star) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT p_partkey % 25 AS genome_id, p_partkey % 500 AS gene_id, CASE WHEN p_partkey % 3 = 0 THEN 'cog' WHEN p_partkey % 3 = 1 THEN 'kog' ELSE 'go' END AS ann_type, p_brand AS value, p_partkey AS ord FROM part),
-  g AS (SELECT DISTINCT l_partkey % 25 AS genome_id, l_partkey % 500 AS gene_id FROM lineitem WHERE l_partkey % 4 = 0),
+  g AS (SELECT DISTINCT l_partkey % 25 AS genome_id, l_partkey % 500 AS gene_id FROM lineitem),
   w AS (SELECT genome_id, gene_id, arg_max(value, ord) FILTER (ann_type = 'cog') AS cog, arg_max(value, ord) FILTER (ann_type = 'kog') AS kog, arg_max(value, ord) FILTER (ann_type = 'go') AS go FROM v GROUP BY 1, 2)
   SELECT genome_id, gene_id, coalesce(cog, 'NA') AS cog, coalesce(kog, 'NA') AS kog, coalesce(go, 'NA') AS go FROM w FULL JOIN g USING (genome_id, gene_id)""")
 def j5_annotation_outer_join(s: Star) -> DataFrame:
     k = F.col("p_partkey")
     kind = F.when(k % 3 == 0, "cog").when(k % 3 == 1, "kog").otherwise("go")
     values = s.table("part").select((k % 25).alias("genome_id"), (k % 500).alias("gene_id"), kind.alias("ann_type"), F.col("p_brand").alias("value"), k.alias("ord"))
-    genes = s.table("lineitem").filter("l_partkey % 4 = 0").select((F.col("l_partkey") % 25).alias("genome_id"), (F.col("l_partkey") % 500).alias("gene_id")).distinct()
+    genes = s.table("lineitem").select((F.col("l_partkey") % 25).alias("genome_id"), (F.col("l_partkey") % 500).alias("gene_id")).distinct()
     return annotate.annotation_outer_join(genes, values, ["cog", "kog", "go"])
 
 
@@ -564,9 +576,12 @@ def h1_first_of_list(s: Star) -> DataFrame:
     return s.annotation().select("gene_id", T.first_of_list("group_raw").alias("group_id"))
 
 
-@query(f"SELECT genome_id, ord, array_to_string(list_sort(list_distinct({_TAG_LIST})), ',') AS tags FROM ({_CDS})")
+_ATTRS = "SELECT genome_id, ord, i, trim(regexp_extract(x, '^\\s*([^=\\s]+)=', 1)) AS k, regexp_extract(x, '^\\s*[^=\\s]+=(.*)$', 1) AS v FROM (SELECT genome_id, ord, unnest(string_split(f[9], ';')) AS x, unnest(range(len(string_split(f[9], ';')))) AS i FROM ({0}))"
+
+
+@query(f"WITH a AS ({_ATTRS.format(_CDS)}), l AS (SELECT genome_id, ord, k, arg_max(v, i) AS v FROM a WHERE k <> '' GROUP BY 1, 2, 3) SELECT genome_id, ord, k AS tag, v AS value FROM l")
 def h3_parse_attributes(s: Star) -> DataFrame:
-    return _cds(s).select("genome_id", "ord", F.array_join(F.array_sort(F.map_keys(T.parse_attributes("attributes"))), ",").alias("tags"))
+    return _cds(s).select("genome_id", "ord", F.explode(T.parse_attributes("attributes")).alias("tag", "value"))
 
 
 @query(f"SELECT genome_id, ord, nullif(regexp_extract(f[9], '(^|;)\\s*ID=([^;]*)', 2), '') AS gene_id FROM ({_CDS})")
@@ -610,20 +625,21 @@ def u6_melt(s: Star) -> DataFrame:
     return analysis.melt(wide, ["grp_id", "size"], ["cheap", "dear"], "name", "value")
 
 
-_PIVOT = ", ".join(f"max(code) FILTER (genome_id = {g}) AS \"{g}\"" for g in range(5))
+_PIVOT = ", ".join(f"max(code) FILTER (genome_id = {g}) AS \"{g}\"" for g in range(25))
 
 
-@query(f"SELECT group_id, {_PIVOT} FROM da WHERE genome_id < 5 GROUP BY 1")
+@query(f"SELECT group_id, {_PIVOT} FROM da GROUP BY 1")
 def u7_pivot_matrix(s: Star) -> DataFrame:
-    return analysis.pivot_matrix(s.da().filter("genome_id < 5"), "group_id", "genome_id", "code", list(range(5)))
+    return analysis.pivot_matrix(s.da(), "group_id", "genome_id", "code", list(range(25)))
 
 
-_BRANDS = [f"Brand#{b} {t}" for b in (1, 2) for t in ("ECONOMY", "PROMO")]
+#: All clusters, the columns of a transposed matrix.
+_BRANDS = sorted(f"Brand#{b} {t}" for b in range(1, 26) for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"))
 
 
-@query("SELECT genome_id, " + ", ".join(f"max(code) FILTER (group_id = '{b}') AS \"{b}\"" for b in _BRANDS) + " FROM da WHERE group_id IN (" + ", ".join(f"'{b}'" for b in _BRANDS) + ") GROUP BY 1")
+@query("SELECT genome_id, " + ", ".join(f"max(code) FILTER (group_id = '{b}') AS \"{b}\"" for b in _BRANDS) + " FROM da GROUP BY 1")
 def u8_transpose(s: Star) -> DataFrame:
-    return analysis.pivot_matrix(s.da().filter(F.col("group_id").isin(*_BRANDS)), "genome_id", "group_id", "code", _BRANDS)
+    return analysis.pivot_matrix(s.da(), "genome_id", "group_id", "code", _BRANDS)
 
 
 @query("SELECT d.genome_id, d.group_id, d.code, l.category FROM da d JOIN letters l USING (group_id) WHERE category <> ''")
@@ -712,7 +728,7 @@ def o5_order_within_category(s: Star) -> DataFrame:
 
 @query("SELECT group_id, fdr AS pvalue, genome_id FROM tags ORDER BY fdr, group_id, genome_id LIMIT 25")
 def o4_top_tags(s: Star) -> DataFrame:
-    return s.tags().select("group_id", F.col("fdr").alias("pvalue"), "genome_id").orderBy("pvalue", "group_id", "genome_id").limit(25)
+    return analysis.top_tags(s.tags().select("group_id", F.col("fdr").alias("pvalue"), "genome_id"), 25)
 
 
 @query("SELECT gene_id FROM (SELECT DISTINCT gene_id FROM features)")
@@ -730,12 +746,11 @@ def n13_scale_columns(s: Star) -> DataFrame:
     return analysis.scale_columns(s.group_counts(), "genome_id", "count").select("genome_id", "group_id", "sample_id", r6("z"))
 
 
-_VALUES = "SELECT genome_id, group_id, code AS value FROM dense WHERE group_id LIKE '%ECONOMY'"
+_VALUES = "SELECT genome_id, group_id, code AS value FROM dense"
 
 
 def _distance(s: Star, metric: str) -> DataFrame:
-    wanted = s.cluster_groups().filter(F.col("group_id").endswith("ECONOMY"))
-    dense = da.densify(s.da().join(wanted, "group_id", "left_semi"), s.genomes(), wanted)
+    dense = da.densify(s.da(), s.genomes(), s.cluster_groups())
     return analysis.pairwise_distance(dense.withColumnRenamed("code", "value"), metric).withColumn("distance", F.round("distance", 6))
 
 
@@ -767,12 +782,13 @@ _PLAIN = _EQUAL.format(factor="1.0", join="")
 _NORMAL = _EQUAL.format(factor="f.factor", join="JOIN factors f USING (genome_id, sample_id)")
 
 
-def _exact(phi: float, source: str = "z") -> str:
+def _exact(phi: float | str, source: str = "z", rule: str = "doubletail") -> str:
     """CTES terms, test: the exact test of the rows of a table."""
+    tail = {"smallp": "sum(CASE WHEN p <= o * (1 + 1e-7) THEN p ELSE 0 END)", "doubletail": "2 * least(sum(p) FILTER (a <= z1), sum(p) FILTER (a >= z1))"}[rule]
     one = f"lgamma(a + n1 / {phi}) - lgamma(a + 1) - lgamma(n1 / {phi}) + lgamma(z1 + z2 - a + n2 / {phi}) - lgamma(z1 + z2 - a + 1) - lgamma(n2 / {phi})" if phi else "- lgamma(a + 1) - lgamma(z1 + z2 - a + 1) + a * ln(n1) + (z1 + z2 - a) * ln(n2)"
     return f"""terms AS (SELECT genome_id, group_id, z1, z2, a, {one} AS f FROM (SELECT *, unnest(generate_series(0, z1 + z2)) AS a FROM {source})),
       peak AS (SELECT *, exp(f - max(f) OVER (PARTITION BY genome_id, group_id)) AS p FROM terms),
-      test AS (SELECT genome_id, group_id, z1, z2, least(1, sum(CASE WHEN p <= o * (1 + 1e-7) THEN p ELSE 0 END) / sum(p)) AS pvalue FROM (SELECT *, max(CASE WHEN a = z1 THEN p END) OVER (PARTITION BY genome_id, group_id) AS o FROM peak) GROUP BY 1, 2, 3, 4)"""
+      test AS (SELECT genome_id, group_id, z1, z2, least(1, {tail} / sum(p)) AS pvalue FROM (SELECT *, max(CASE WHEN a = z1 THEN p END) OVER (PARTITION BY genome_id, group_id) AS o FROM peak) GROUP BY 1, 2, 3, 4)"""
 
 
 _BH = "SELECT *, least(1, min(pvalue * n / k) OVER (PARTITION BY genome_id ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS fdr FROM (SELECT *, row_number() OVER (PARTITION BY genome_id ORDER BY pvalue) AS k, count(*) OVER (PARTITION BY genome_id) AS n FROM {0})"
@@ -792,14 +808,28 @@ _GRID = """grid_ AS (SELECT unnest(generate_series(1, 20)) / 21.0 AS delta),
   ll AS (SELECT genome_id, group_id, delta, sum(CASE WHEN n > 1 THEN a + lgamma(n * r) - lgamma(t + n * r) - n * lgamma(r) ELSE 0 END) AS ll FROM side GROUP BY 1, 2, 3)"""
 
 
-@query(f"WITH {_PLAIN}, {_GRID} SELECT genome_id, round(arg_max(delta, (ll, -delta)) / (1 - arg_max(delta, (ll, -delta))), 6) AS phi FROM (SELECT genome_id, delta, round(sum(ll), 6) AS ll FROM ll GROUP BY 1, 2) GROUP BY 1")
+def _refined(level: int, step: float) -> str:
+    """CTES best<level>: the best delta of the one before, looked for again on a finer grid around it."""
+    fine = step * 2 / 21
+    before, at = f"best{level - 1}", f"({{0}} + (k - 10.5) * {fine!r})"
+    return f"""near{level} AS (SELECT genome_id, k, greatest(1e-6, least(1 - 1e-6, {at.format('delta')})) AS delta FROM {before} CROSS JOIN (SELECT unnest(generate_series(1, 20)) AS k)),
+      side{level} AS (SELECT genome_id, group_id, is_other, k, delta, (1 - delta) / delta AS r, sum(lgamma(y + (1 - delta) / delta)) AS a, count(*) AS n, sum(y) AS t FROM eq JOIN near{level} USING (genome_id) GROUP BY 1, 2, 3, 4, 5, 6),
+      best{level} AS (SELECT genome_id, arg_max(delta, (ll, -delta)) AS delta FROM (SELECT genome_id, delta, round(sum(CASE WHEN n > 1 THEN a + lgamma(n * r) - lgamma(t + n * r) - n * lgamma(r) ELSE 0 END), 8) AS ll FROM side{level} GROUP BY 1, 2) GROUP BY 1)"""
+
+
+_COMMON = f"""best1 AS (SELECT genome_id, arg_max(delta, (ll, -delta)) AS delta FROM (SELECT genome_id, delta, round(sum(ll), 8) AS ll FROM ll GROUP BY 1, 2) GROUP BY 1),
+  {_refined(2, 1 / 21)}, {_refined(3, 1 / 21 * 2 / 21)}"""
+_TAGWISE = """ab AS (SELECT genome_id, group_id, round(sum(y), 6) AS abundance, 10.0 / greatest(1, count(*) - 2) AS prior_n FROM eq GROUP BY 1, 2),
+  score AS (SELECT genome_id, group_id, delta, round(ll + prior_n * avg(ll) OVER (PARTITION BY genome_id, delta ORDER BY abundance, group_id ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), 8) AS score FROM ll JOIN ab USING (genome_id, group_id)),
+  tagwise AS (SELECT genome_id, group_id, arg_max(delta, (score, -delta)) AS delta FROM score GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_PLAIN}, {_GRID}, {_COMMON} SELECT genome_id, round(delta / (1 - delta), 6) AS phi FROM best3")
 def n3_common_dispersion(s: Star) -> DataFrame:
-    return stats.common_dispersion(_equal(s), levels=1).withColumn("phi", F.round("phi", 6))
+    return stats.common_dispersion(_equal(s)).withColumn("phi", F.round("phi", 6))
 
 
-@query(f"""WITH {_PLAIN}, {_GRID}, ab AS (SELECT genome_id, group_id, round(sum(y), 6) AS abundance FROM eq GROUP BY 1, 2),
-  s AS (SELECT genome_id, group_id, delta, round(ll + 10.0 * avg(ll) OVER (PARTITION BY genome_id, delta ORDER BY abundance, group_id ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), 6) AS score FROM ll JOIN ab USING (genome_id, group_id))
-  SELECT genome_id, group_id, round(arg_max(delta, (score, -delta)) / (1 - arg_max(delta, (score, -delta))), 6) AS phi FROM s GROUP BY 1, 2""")
+@query(f"WITH {_PLAIN}, {_GRID}, {_TAGWISE} SELECT genome_id, group_id, round(delta / (1 - delta), 6) AS phi FROM tagwise")
 def n4_tagwise_dispersion(s: Star) -> DataFrame:
     return stats.tagwise_dispersion(_equal(s)).withColumn("phi", F.round("phi", 6))
 
@@ -809,6 +839,11 @@ def n5_nb_exact_test(s: Star) -> DataFrame:
     return stats.nb_exact_test(_equal(s), 0.05).withColumn("pvalue", F.round("pvalue", 6))
 
 
+@query(f"WITH {_PLAIN}, {_exact(0.05, rule='smallp')} SELECT genome_id, group_id, z1, z2, round(pvalue, 6) AS pvalue FROM test")
+def n5_nb_exact_test_smallp(s: Star) -> DataFrame:
+    return stats.nb_exact_test(_equal(s), 0.05, "smallp").withColumn("pvalue", F.round("pvalue", 6))
+
+
 @query(f"WITH {_PLAIN}, {_exact(0)} SELECT genome_id, group_id, z1, z2, round(pvalue, 6) AS pvalue FROM test")
 def n5_binomial_test(s: Star) -> DataFrame:
     return stats.nb_exact_test(_equal(s), 0.0).withColumn("pvalue", F.round("pvalue", 6))
@@ -833,15 +868,19 @@ def n8_da_pipeline(s: Star) -> DataFrame:
     return out.select("genome_id", "group_id", (F.round("log_fc", 5) + 0.0).alias("log_fc"), F.round("pvalue", 5).alias("pvalue"), "code")
 
 
-@query()
+@query(f"""WITH {_TMM}, {_NORMAL.replace("eq AS (", "eq_all AS (").replace("FROM eq GROUP", "FROM eq_all GROUP")}, enough AS (SELECT genome_id, group_id FROM eff WHERE count / e * 1e6 > 0.03 GROUP BY 1, 2 HAVING count(*) > 3), eq AS (SELECT eq_all.* FROM eq_all JOIN enough USING (genome_id, group_id)),
+  {_GRID}, {_TAGWISE}, tested AS (SELECT z.*, delta / (1 - delta) AS phi FROM z JOIN tagwise USING (genome_id, group_id)), {_exact("phi", "tested")}, adj AS ({_BH.format("test")})
+  SELECT g.genome_id, g.group_id, round(log2((m2 + 0.125) / (m1 + 0.125)), 5) + 0.0 AS log_fc, round(pvalue, 5) AS pvalue, CASE WHEN fdr IS NULL THEN -2 WHEN NOT fdr < 0.05 THEN 0 WHEN m2 > m1 THEN 1 ELSE -1 END AS code
+  FROM (SELECT DISTINCT genome_id, group_id FROM group_counts) g LEFT JOIN tested USING (genome_id, group_id) LEFT JOIN adj USING (genome_id, group_id)""")
 def n8_da_pipeline_estimated(s: Star) -> DataFrame:
-    return stats.da_pipeline(s.group_counts(), s.libraries(), s.conditions())
+    out = stats.da_pipeline(s.group_counts(), s.libraries(), s.conditions())
+    return out.select("genome_id", "group_id", (F.round("log_fc", 5) + 0.0).alias("log_fc"), F.round("pvalue", 5).alias("pvalue"), "code")
 
 
-@query(f"""WITH c AS ({_COPIED}), s AS (SELECT genome_id, count(*) FILTER (code = 1) AS n1, count(*) FILTER (code = 0) AS n0, avg(copies) FILTER (code = 1) AS m1, avg(copies) FILTER (code = 0) AS m0, var_samp(copies) FILTER (code = 1) / count(*) FILTER (code = 1) AS e1, var_samp(copies) FILTER (code = 0) / count(*) FILTER (code = 0) AS e0 FROM c WHERE code IN (0, 1) AND genome_id % 2 = 0 GROUP BY 1)
+@query(f"""WITH c AS ({_COPIED}), s AS (SELECT genome_id, count(*) FILTER (code = 1) AS n1, count(*) FILTER (code = 0) AS n0, avg(copies) FILTER (code = 1) AS m1, avg(copies) FILTER (code = 0) AS m0, var_samp(copies) FILTER (code = 1) / count(*) FILTER (code = 1) AS e1, var_samp(copies) FILTER (code = 0) / count(*) FILTER (code = 0) AS e0 FROM c WHERE code IN (0, 1) GROUP BY 1)
   SELECT genome_id, n1, n0, round((m1 - m0) / sqrt(e1 + e0), 6) + 0.0 AS t, round((e1 + e0) * (e1 + e0) / (e1 * e1 / (n1 - 1) + e0 * e0 / (n0 - 1)), 6) AS df FROM s WHERE n1 > 1 AND n0 > 1""")
 def n11_welch_t_test(s: Star) -> DataFrame:
-    rows = analysis.copy_number_join(s.da(), s.copies()).filter("code in (0, 1) and genome_id % 2 = 0")
+    rows = analysis.copy_number_join(s.da(), s.copies()).filter("code in (0, 1)")
     out = stats.welch_t_test(rows, "copies", F.col("code") == 1, ["genome_id"]).filter("n1 > 1 and n0 > 1")
     return out.select("genome_id", "n1", "n0", r6("t"), F.round("df", 6).alias("df"))
 
@@ -872,24 +911,20 @@ def k5_wide_filtered_da_table(s: Star) -> DataFrame:
     return writers.wide_filtered_da_table(s.da(), _catalog(s), da.da_percent_filter(s.da(), {1: (20, True)}, _n(s)), list(range(25)))
 
 
-@query("SELECT genome_id, " + ", ".join(f"max(code) FILTER (group_id = '{b}') AS \"{b}\"" for b in _BRANDS) + " FROM dense WHERE group_id IN (" + ", ".join(f"'{b}'" for b in _BRANDS) + ") GROUP BY 1")
+_KEPT = f"SELECT group_id FROM da GROUP BY 1 HAVING count(*) FILTER (abs(code) = 1) > 0 AND count(*) FILTER (abs(code) = 1) * 100.0 / ({_N}) >= 50"
+
+
+@query(f"WITH kept AS ({_KEPT}) SELECT genome_id, " + ", ".join(f"max(code) FILTER (group_id = '{b}') AS \"{b}\"" for b in _BRANDS) + " FROM dense WHERE group_id IN (SELECT group_id FROM kept) GROUP BY 1")
 def k8_wide_cluster_matrix(s: Star) -> DataFrame:
-    kept = s.cluster_groups().filter(F.col("group_id").isin(*_BRANDS))
+    kept = da.keep_da_clusters(s.da(), _n(s), 50.0)
     return writers.wide_cluster_matrix(da.densify(s.da().join(kept, "group_id", "left_semi"), s.genomes(), kept), _BRANDS)
 
 
-@query(f"WITH u AS ({_SIG.format(c=1)}), d AS ({_SIG.format(c=-1)}), b AS (SELECT genome_id, category, u.sig + 2 * d.sig AS code FROM u JOIN d USING (genome_id, category)) SELECT category, " + ", ".join(f"max(code) FILTER (genome_id = {g}) AS \"{g}\"" for g in range(5)) + " FROM b WHERE genome_id < 5 GROUP BY 1")
+@query(f"WITH u AS ({_SIG.format(c=1)}), d AS ({_SIG.format(c=-1)}), b AS (SELECT genome_id, category, u.sig + 2 * d.sig AS code FROM u JOIN d USING (genome_id, category)) SELECT category, " + ", ".join(f"max(code) FILTER (genome_id = {g}) AS \"{g}\"" for g in range(25)) + " FROM b GROUP BY 1")
 def k9_wide_enrichment(s: Star) -> DataFrame:
-    rows = analysis.group_category_join(s.da().filter("genome_id < 5"), s.categories())
+    rows = analysis.group_category_join(s.da(), s.categories())
     sig = lambda c: rows.groupBy("genome_id", "category").agg(F.when(F.count_if(F.col("code") == c) >= 5, 1).otherwise(0).alias("sig"))
-    return writers.wide_enrichment(da.combine_up_down(sig(1), sig(-1)), list(range(5)))
-
-
-@query("SELECT genome_id, group_id, gene_id FROM cluster_map WHERE genome_id IN (SELECT genome_id FROM cluster_map GROUP BY 1 HAVING count(*) > 10)")
-def k12_cluster_map_by_genome(s: Star) -> DataFrame:
-    rows = s.cluster_map()
-    large = rows.groupBy("genome_id").agg(F.count("*").alias("n")).filter("n > 10")
-    return rows.join(large, "genome_id", "left_semi").select("genome_id", "group_id", "gene_id")
+    return writers.wide_enrichment(da.combine_up_down(sig(1), sig(-1)), list(range(25)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,8 +124,8 @@ class Star:
         return self.table("customer").select(F.col("c_custkey").alias("sample_id"), F.col("c_nationkey").alias("genome_id"), F.col("c_mktsegment").alias("fraction"), F.floor(F.abs("c_acctbal")).cast("long").alias("reads"))
 
     def copies(self) -> DataFrame:
-        """Copy numbers: parts of a cluster in a nation, for nations of even key."""
-        return self.cluster_map().filter("genome_id % 2 = 0").groupBy("genome_id", "group_id").agg(F.count("*").alias("copies"))
+        """Copy numbers: parts of a cluster in a nation."""
+        return self.cluster_map().groupBy("genome_id", "group_id").agg(F.count("*").alias("copies"))
 
 
 #: SQL twins, each after those it needs.
@@ -154,5 +154,5 @@ CTES: dict[str, str] = {
     "gff_rows": "SELECT genome_id, ord, string_split(line, chr(9)) AS f FROM gff WHERE NOT regexp_matches(line, '^\\s*#')",
     "fasta": "SELECT p_partkey % 25 AS genome_id, p_partkey AS ord, CASE WHEN p_partkey % 2 = 0 THEN '>s' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN ' ' || p_type ELSE '' END ELSE 'ACGT' END AS line FROM part",
     "samples": "SELECT c_custkey AS sample_id, c_nationkey AS genome_id, c_mktsegment AS fraction, CAST(floor(abs(c_acctbal)) AS BIGINT) AS reads FROM customer",
-    "copies": "SELECT genome_id, group_id, count(*) AS copies FROM cluster_map WHERE genome_id % 2 = 0 GROUP BY 1, 2",
+    "copies": "SELECT genome_id, group_id, count(*) AS copies FROM cluster_map GROUP BY 1, 2",
 }

@@ -11,15 +11,23 @@ PATH = "_metadata.file_path"
 
 
 def _genome() -> Column:
-    """The folder a file lies in."""
-    return F.element_at(F.split(F.col(PATH), "/"), -2)
+    """The folder a file lies in, <genome> or genome_id=<genome>."""
+    return F.regexp_replace(F.element_at(F.split(F.col(PATH), "/"), -2), "^genome_id=", "")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """genome_id, ord, line of small text files (one genome each): a file is one row, cut into lines."""
-    files = spark.read.text(path, wholetext=True).select(_genome().alias("genome_id"), "value")
-    cut = files.select("genome_id", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("ord", "line"))
-    return cut.select("genome_id", F.col("ord").cast("long").alias("ord"), "line")
+    """genome_id, ord, line of text files, one for each genome, read in splits. ord grows along a file, from 0 in one read alone and by 1 within a split.
+
+    It is the split's first byte and the row's number in the task (27 bits, enough for the lines of 128 MB).
+    """
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 27) - 1)
+    ord_ = F.shiftleft(F.col("_metadata.file_block_start"), 27) + row
+    return spark.read.text(path, recursiveFileLookup=True).select(_genome().alias("genome_id"), ord_.alias("ord"), F.col("value").alias("line"))
+
+
+def _heads(rows: DataFrame) -> DataFrame:
+    """genome_id, head_ord, head: the first line of each file; only the first split of a file has it."""
+    return rows.filter(f"ord < {1 << 27}").groupBy("genome_id").agg(F.min("ord").alias("head_ord"), F.min_by("f", "ord").alias("head"))
 
 
 def _cells(rows: DataFrame, sep: str = "\t") -> DataFrame:
@@ -29,7 +37,7 @@ def _cells(rows: DataFrame, sep: str = "\t") -> DataFrame:
 def read_gene_counts(spark: SparkSession, path: str) -> DataFrame:
     """genome_id, gene_id, sample_id, count, ord; lines whose first cell has 'name' in it are headers, and reading stops at the first with 'feature' in it. Each file's own header names its samples."""
     rows = _cells(lines(spark, path)).withColumn("id", F.col("f")[0])
-    head = rows.filter("ord = 0").select("genome_id", F.col("f").alias("head"))
+    head = _heads(rows)
     stop = rows.filter(F.col("id").rlike("(?i)feature")).groupBy("genome_id").agg(F.min("ord").alias("stop"))
     body = rows.join(head, "genome_id").join(stop, "genome_id", "left").filter(~F.col("id").rlike("(?i)name") & (F.col("stop").isNull() | (F.col("ord") < F.col("stop"))))
     pairs = F.arrays_zip(F.slice("head", 2, F.size("head")).alias("s"), F.slice("f", 2, F.size("f")).alias("n"))
@@ -52,9 +60,9 @@ def _headed(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
 def read_annotation(spark: SparkSession, path: str, gene_column: str, group_column: str) -> DataFrame:
     """genome_id, gene_id, group_raw, ord; columns are found by header whatever its case."""
     rows = _cells(lines(spark, path))
-    head = rows.filter("ord = 0").select("genome_id", F.transform("f", lambda x: F.lower(F.trim(x))).alias("head"))
+    head = _heads(rows).withColumn("head", F.transform("head", lambda x: F.lower(F.trim(x))))
     at = lambda c: F.get("f", F.array_position("head", c.lower()).cast("int") - 1)
-    body = rows.filter("ord > 0").join(head, "genome_id")
+    body = rows.join(head, "genome_id").filter("ord > head_ord")
     return body.select("genome_id", at(gene_column).alias("gene_id"), at(group_column).alias("group_raw"), "ord").filter("gene_id is not null")
 
 
@@ -64,12 +72,12 @@ def read_group_catalog(spark: SparkSession, path: str, column: str | None = None
     if column is None:
         out = rows.select(F.col("f")[0].alias("group_id"), "ord")
     else:
-        head = rows.filter("ord = 0").first()
+        head = rows.orderBy("ord").select("ord", "f").first()
         cells = list(head["f"]) if head else []
         place = next((k for k, c in enumerate(cells) if column.lower() in c.lower()), None)
         if place is None:
             raise ValueError(f"no column like {column!r} in {path}")
-        out = rows.filter("ord > 0").select(F.get("f", F.lit(place)).alias("group_id"), "ord").filter(~F.lower("group_id").contains(column.lower()))
+        out = rows.filter(F.col("ord") > head["ord"]).select(F.get("f", F.lit(place)).alias("group_id"), "ord").filter(~F.lower("group_id").contains(column.lower()))
     out = out.filter("trim(group_id) <> ''")
     if out.isEmpty():
         raise ValueError(f"no groups in {path}")
@@ -126,7 +134,8 @@ def read_annotation_pairs(spark: SparkSession, root: str, gene_column: str = "pr
 def read_tags(spark: SparkSession, path: str) -> DataFrame:
     """genome_id, group_id, log_fc, fdr of space-separated tables with a header; fields 0, 1 and 4 count."""
     f = F.split(F.translate("line", '"', ""), r"\s+")
-    return lines(spark, path).filter("ord > 0").select("genome_id", f[0].alias("group_id"), f[1].cast("double").alias("log_fc"), f[4].cast("double").alias("fdr"))
+    rows = _cells(lines(spark, path))
+    return rows.join(_heads(rows), "genome_id").filter("ord > head_ord").select("genome_id", f[0].alias("group_id"), f[1].cast("double").alias("log_fc"), f[4].cast("double").alias("fdr"))
 
 
 def read_da_table(spark: SparkSession, path: str) -> DataFrame:
@@ -148,10 +157,10 @@ def read_categories(spark: SparkSession, path: str, group_column: str, func_colu
 
 
 def read_matrix(spark: SparkSession, path: str, sep: str = "\t", row: str = "row") -> DataFrame:
-    """A headed numeric matrix -> row, column, value."""
+    """A headed numeric matrix -> row, column, value; NA and empty cells are null."""
     wide = _headed(spark, path, sep)
     first = wide.columns[0]
-    return wide.unpivot([f"`{first}`"], [f"`{c}`" for c in wide.columns[1:]], "column", "value").select(F.col(first).alias(row), "column", F.col("value").cast("double").alias("value"))
+    return wide.unpivot([f"`{first}`"], [f"`{c}`" for c in wide.columns[1:]], "column", "value").select(F.col(first).alias(row), "column", na_to_null(F.col("value")).cast("double").alias("value"))
 
 
 def read_copy_number(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.annotate import TYPES
+from ..operators.da import densify
+
 
 def write_by_genome(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Group counts, tests, code vectors or annotations: Parquet, a folder per genome."""
@@ -15,6 +18,32 @@ def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).csv(path, sep="\t", header=True, nullValue="NA", emptyValue="")
 
 
+def write_tsv_by_genome(df: DataFrame, path: str) -> None:
+    """A headed tab-separated file per genome in <path>/genome_id=<genome>/."""
+    df.repartition("genome_id").write.partitionBy("genome_id").csv(path, sep="\t", header=True, nullValue="NA", emptyValue="")
+
+
+def write_gene_count_table(wide: DataFrame, path: str, samples: list[str]) -> None:
+    """Gene by sample table per genome, its first column called name."""
+    write_tsv_by_genome(wide.select("genome_id", F.col("gene_id").alias("name"), *[f"`{s}`" for s in samples]), path)
+
+
+def write_da_columns(da: DataFrame, genomes: DataFrame, groups: DataFrame, passed: DataFrame, path: str) -> None:
+    """Per genome the code of every group in <path>/full and of the groups that passed a filter in <path>/filtered, -3 where nothing is stored."""
+    write_by_genome(densify(da, genomes, groups), f"{path}/full")
+    write_by_genome(densify(da.join(passed, "group_id", "left_semi"), genomes, groups.join(passed, "group_id", "left_semi")), f"{path}/filtered")
+
+
+def write_cluster_summary(summary: DataFrame, path: str) -> None:
+    """Headed table of counts per cluster, first column grp_id."""
+    write_tsv(summary.select(F.col("group_id").alias("grp_id"), "n_genomes", "da_count", "da_up", "da_dn", "pa_count"), path)
+
+
+def write_annotation(wide: DataFrame, path: str) -> None:
+    """Joined annotation: gene_id, then the types in their fixed order, Parquet by genome."""
+    write_by_genome(wide.select("genome_id", "gene_id", *TYPES), path)
+
+
 def wide_group_counts(counts: DataFrame, groups: DataFrame, samples: list[str], name: str = "group") -> DataFrame:
     """Group by sample table in catalog order, zeros included, first column <name>Id."""
     wide = counts.groupBy("genome_id", "group_id").pivot("sample_id", samples).agg(F.sum("count").cast("long")).na.fill(0, samples)
@@ -50,3 +79,8 @@ def split_cluster_map(cluster_map: DataFrame, path: str) -> None:
 def ordered(rows: DataFrame, order: DataFrame, key: str = "genome_id") -> DataFrame:
     """Metadata or ids in tree order."""
     return rows.join(order.select(key, "ord"), key).orderBy("ord").drop("ord")
+
+
+def write_ordered(rows: DataFrame, order: DataFrame, path: str, key: str = "genome_id") -> None:
+    """Metadata or ids in tree order, one headed file: a row per leaf of a tree."""
+    write_tsv(ordered(rows, order, key).coalesce(1), path)

@@ -98,7 +98,7 @@ def test_matrix_upsert_and_bad_codes(spark, matrix, catalog):
     new = table(spark, "genome_id string, group_id string, code int", ("10001", "KOG01", 4), ("10003", "KOG01", 1), ("10001", "KOG09", 1))
     out, refused = da.set_genome(matrix, new, genomes, catalog)
     assert pairs(refused, "genome_id", "group_id") == {("10003", "KOG01"), ("10001", "KOG09")}
-    assert pairs(da.bad_codes(out, genomes, catalog), "genome_id", "group_id", "problem") == {("10001", "KOG01", "bad code")}
+    assert pairs(da.bad_codes(out), "genome_id", "group_id", "problem") == {("10001", "KOG01", "bad code")}
     with pytest.raises(KeyError):
         da.get_genome(matrix, genomes, "10009")
     with pytest.raises(KeyError):

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import florabund.plans.layouts  # noqa: F401
 from florabund.plans.queries import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
