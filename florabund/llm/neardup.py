@@ -254,9 +254,31 @@ def _bits(sketches: pd.Series) -> np.ndarray:
     return np.stack(sketches.to_numpy()).view(np.uint64)
 
 
-def _across(members: DataFrame, most: int, most_fine: int) -> DataFrame:
+def linking(pairs: np.ndarray) -> np.ndarray:
+    """Those rows of pairs that link what the rows before them have not linked yet."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    keep = []
+    for k, (a, b) in enumerate(pairs.tolist()):
+        a, b = find(a), find(b)
+        if a != b:
+            root[a] = b
+            keep.append(k)
+    return pairs[keep]
+
+
+def _across(members: DataFrame, most: int, most_fine: int, percent: int | None = None) -> DataFrame:
     """Pairs inside the buckets of members(key, id, component, bands, sketch, fine) with different components and alike sketches of both kinds.
 
+    percent: members have a column shingles too, sets short enough to be carried; pairs are then tested on them
+    as well, and of the links of a task only those are given that join what others do not.
+
     A pair that shares several buckets is taken in that of its first common band.
 
     Large buckets are cut into blocks of about BLOCK members by hash and every two blocks meet in
@@ -265,7 +287,8 @@ def _across(members: DataFrame, most: int, most_fine: int) -> DataFrame:
     size = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = members.join(size, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "bands", "sketch", "fine")
+    more = ["id", "component", "bands", "sketch", "fine"] + (["shingles"] if percent else [])
+    own = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *more)
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         # the buckets of a task one after the other, in each the left block first
@@ -273,6 +296,13 @@ def _across(members: DataFrame, most: int, most_fine: int) -> DataFrame:
         key, i, j, own, ids, component = (group[c].to_numpy() for c in ("key", "i", "j", "own", "id", "component"))
         sketch, fine, bands = _bits(group.sketch), _bits(group.fine), np.stack(group.bands.to_numpy())
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in group.shingles] if percent else []
+
+        def alike(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+            both = ((sets[x], sets[y]) for x, y in zip(p.tolist(), q.tolist(), strict=True))
+            same = ((len(np.intersect1d(a, b, assume_unique=True)), len(a) + len(b)) for a, b in both)
+            return np.fromiter((100 * n >= percent * (size - n) for n, size in same), dtype=bool, count=len(p))
+
         begin = np.flatnonzero(new)
         size = np.diff(np.append(begin, len(key)))
         place, end = np.arange(len(key)), np.repeat(begin + size, size)
@@ -291,26 +321,28 @@ def _across(members: DataFrame, most: int, most_fine: int) -> DataFrame:
                 lambda p, q: np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64) <= most,
                 lambda p, q: bands[p, (bands[p] == bands[q]).argmax(axis=1)] == key[p],  # the first common band is this one
                 lambda p, q: np.bitwise_count(fine[p] ^ fine[q]).sum(axis=1, dtype=np.int64) <= most_fine,
+                *([alike] if percent else []),
             ):
                 keep = np.concatenate([ok(p[k : k + STEP], q[k : k + STEP]) for k in range(0, len(p), STEP)]) if len(p) else np.empty(0, dtype=bool)
                 p, q = p[keep], q[keep]
             found_a.append(np.minimum(ids[p], ids[q])), found_b.append(np.maximum(ids[p], ids[q]))
-        return pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)}, dtype="int64")
+        out = np.column_stack([np.concatenate(found_a), np.concatenate(found_b)])
+        return pd.DataFrame(linking(out) if percent else out, columns=["a", "b"], dtype="int64")
 
     # small buckets share tasks, of about TASK_ROWS members each; a pair of blocks of a large one is a task by itself
     tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(members.count() / TASK_ROWS))
     small = F.pmod(F.xxhash64("key"), F.lit(tasks))
-    own = own.select(F.when((F.col("i") == 0) & (F.col("j") == 0), small).otherwise(F.xxhash64("key", "i", "j")).alias("task"), "key", "i", "j", "own", "id", "component", "bands", "sketch", "fine")
+    own = own.select(F.when((F.col("i") == 0) & (F.col("j") == 0), small).otherwise(F.xxhash64("key", "i", "j")).alias("task"), "key", "i", "j", "own", *more)
     return own.groupBy("task").applyInPandas(pairs, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SAMPLE, width: int = ROWS, sign: Callable[[str, int, int], Column] = signature) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SAMPLE, width: int = ROWS, sign: Callable[[str, int, int], Column] = signature, short: bool = False) -> DataFrame:
     """A row for each row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Linked documents share component_id, the smallest doc_id reachable; kept marks that one.
     Null, empty and blank texts have no shingles and are linked with nothing. Rows that repeat a
     doc_id are one document. Rows with a null doc_id are never linked and are kept. A pair exactly
-    at `percent` is linked; of equal sets the smallest doc_id stays. Texts of any length are read
+    at `percent` is linked; with short, texts are paragraphs of so few words that their sets can be carried; of equal sets the smallest doc_id stays. Texts of any length are read
     whole, other columns are ignored, whatever their names, and an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -335,9 +367,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SAMPLE, widt
     placed = members.select("key", "id").join(names.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
     unsettled = stored(placed.join(open_keys, "key", "left_semi"))
-    fine = stored(_texts_of(docs, unsettled).select("id", fine_sketch("text").alias("fine")).dropDuplicates(["id"]))
+    # short texts carry their sets along, so that pairs are tested where they are found
+    sets = [shingle_set("text").alias("shingles")] if short else []
+    fine = stored(_texts_of(docs, unsettled).select("id", fine_sketch("text").alias("fine"), *sets).dropDuplicates(["id"]))
     both = stored(unsettled.join(sketches.join(fine, "id"), "id"))
-    second = stored(_across(both, most, most_different(percent / 100, FINE_SAMPLE, FINE_BITS)).join(first, ["a", "b"], "left_anti"))
+    second = stored(_across(both, most, most_different(percent / 100, FINE_SAMPLE, FINE_BITS), percent if short else None).join(first, ["a", "b"], "left_anti"))
     more = stored(confirm(second, docs, percent))
     if not more.isEmpty():
         names = components(links.union(more))

@@ -223,7 +223,7 @@ def linked_paragraphs(docs: DataFrame, percent: int = 80, recall: float = 0.99)
     wanted = stored(once.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("code", "start", "n_words")).alias("wanted")))
     texts = stored(_texts_of(docs, wanted.select("id")).join(wanted, "id").select(F.explode(_cut_out("text", "wanted")).alias("p")).select("p.*"))
     _, width = bands_for(percent / 100, recall, SAMPLE)
-    alike = near_duplicates(texts, percent, SAMPLE, width, short_signature).filter("not kept").select(F.col("doc_id").alias("code"), F.col("component_id").alias("to")).distinct()
+    alike = near_duplicates(texts, percent, SAMPLE, width, short_signature, short=True).filter("not kept").select(F.col("doc_id").alias("code"), F.col("component_id").alias("to")).distinct()
     places = found.select("doc_id", "start", "n_words", "code").distinct()
     return places.join(stored(alike), "code", "left").withColumn("cluster", F.coalesce("to", "code")).drop("to")
 

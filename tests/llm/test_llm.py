@@ -549,6 +549,14 @@ def test_unsettled_pairs_against_all_pairs(spark, monkeypatch, block):
     want = {(a[0], b[0]) for a, b in itertools.combinations(nodes, 2) if a[1] != b[1] and any(x == y for x, y in zip(a[2], b[2], strict=True)) and apart(a[3], b[3]) <= 16}
     got = [tuple(r) for r in neardup._across(df, 16, 8 * 16).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    # with sets at hand: true links only, and no more of them than join what is apart
+    sets = {k: np.unique(rng.integers(0, 9, 6).astype(np.uint64)) for k in range(60)}
+    true = {(a, b) for a, b in want if 100 * len(np.intersect1d(sets[a], sets[b])) >= 60 * len(np.union1d(sets[a], sets[b]))}
+    carried = spark.createDataFrame([(*r, sets[r[1]].tobytes()) for r in rows], "key long, id long, component long, bands array<long>, sketch array<long>, fine array<long>, shingles binary")
+    got = [tuple(r) for r in neardup._across(carried, 16, 8 * 16, 60).collect()]
+    assert set(got) <= true
+    both = [dict(comp.components(spark.createDataFrame(sorted(x), "a long, b long")).collect()) for x in (got, true)]
+    assert both[0] == both[1] and len(got) <= len(true)
 
 
 def test_odd_sketch_estimates():
