@@ -100,8 +100,7 @@ def paragraphs_of(text: str, known: WordHash, n_keys: int) -> tuple[np.ndarray,
     first = np.cumsum(size) - size
     long = size >= SHINGLE
     a, b = first[long], (first + size)[long]
-    powers = np.cumprod(np.full(n, _P, dtype=np.uint64))
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(h) * powers)])  # all unsigned: a signed zero would make them doubles
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(h) * np.cumprod(np.full(n, _P, dtype=np.uint64)))])  # all unsigned: a signed zero would make them doubles
     inverse = np.cumprod(np.full(n + 1, _INVERSE, dtype=np.uint64))
 
     def named(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -142,15 +141,23 @@ def paragraphs(docs: DataFrame, n_keys: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(cut, "key long, doc_id long, start int, n_words int, code long")
 
 
+def code_of(words: list[bytes], known: WordHash) -> int:
+    """The code that paragraphs_of() gives a paragraph of these words."""
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    powers = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(len(h) - 1, _P, dtype=np.uint64)]))
+    total = (mix(h) * powers).sum(dtype=np.uint64, keepdims=True)
+    return int(mix(total + np.uint64(len(h))).view(np.int64)[0])
+
+
 @vectorized("array<struct<doc_id: long, text: string>>")
 def _cut_out(texts: pd.Series, wanted: pd.Series) -> pd.Series:
     """The paragraphs of a text at the given places, under their code; a place that holds other words (a repeated doc_id) gives none."""
     known = WordHash()
 
     def of(text: str | None, places: list) -> list[dict]:
-        raw = (text or "").encode("utf-8", "surrogatepass").lower()
-        found, have = raw.split(), {(s, n, c) for _, s, n, c in zip(*paragraphs_of(text or "", known, 1), strict=True)}
-        return [{"doc_id": p["code"], "text": b" ".join(found[p["start"] : p["start"] + p["n_words"]]).decode("utf-8", "replace")} for p in places if (p["start"], p["n_words"], p["code"]) in have]
+        found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        cut = [(p["code"], found[p["start"] : p["start"] + p["n_words"]]) for p in places if p["start"] + p["n_words"] <= len(found)]
+        return [{"doc_id": code, "text": b" ".join(words).decode("utf-8", "replace")} for code, words in cut if code_of(words, known) == code]
 
     return pd.Series([of(t, w) for t, w in zip(texts, wanted, strict=True)])
 
