@@ -19,7 +19,7 @@ a repeat; its paragraphs become spans, of which all but those in the first docum
 from __future__ import annotations
 
 import bisect
-import itertools
+import functools
 import math
 from collections.abc import Iterator
 
@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, vectorized
-from .neardup import WordHash, _texts_of, bands_for, mix, near_duplicates, short_signature
+from .common import SPACE, stored, vectorized
+from .neardup import bands_for, mix, near_duplicates, short_signature
 
 WINDOW, SPACING, SHINGLE, PREFIX = 24, 27, 5, 20
 #: A span runs on over a gap of fewer words.
@@ -43,6 +43,10 @@ _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**63, 16, dtype=np.uint64)
 _SALT = np.arange(1, 17, dtype=np.uint64) * _P
+_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+_IS_SPACE = np.isin(np.arange(256), list(SPACE))
+#: Bytes of a text hashed at once, or one longer word.
+_BLOCK = 1 << 15
 
 
 def anchors(g: np.ndarray, spacing: int = SPACING) -> np.ndarray:
@@ -73,22 +77,55 @@ def anchors(g: np.ndarray, spacing: int = SPACING) -> np.ndarray:
     return at
 
 
+@functools.lru_cache(maxsize=64)
+def _table(base: int, size: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(size - 1, base, dtype=np.uint64)]))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1) modulo 2 ** 64; those of texts under 65,536 words are kept."""
+    return _table(base, 1 << n.bit_length())[:n] if n < 1 << 16 else _table.__wrapped__(base, n)
+
+
 def line_keys(threshold: float, recall: float) -> int:
     """Keys of one MinHash row with which a pair at the threshold shares one with probability `recall`."""
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold) - 1e-9))
 
 
-def paragraphs_of(text: str, known: WordHash, n_keys: int) -> tuple[np.ndarray, ...]:
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, 64-bit hash) of the words of a text: sums of a value per byte times a power of its place in the word."""
+    text = np.frombuffer(raw, dtype=np.uint8)
+    solid = np.zeros(len(text) + 2, dtype=np.int8)
+    solid[1:-1] = ~_IS_SPACE[text]
+    edge = np.flatnonzero(np.diff(solid))
+    start, end = edge[::2], edge[1::2]
+    out = np.empty(len(start), dtype=np.uint64)
+    i = 0
+    while i < len(start):
+        base = start[i]
+        j = max(i + 1, int(np.searchsorted(end, base + _BLOCK, "right")))
+        s, e = start[i:j] - base, end[i:j] - base
+        size = int(e[-1])
+        total = np.zeros(size + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[text[base : base + size]] * powers(int(_P), size), out=total[1:])
+        out[i:j] = (total[e] - total[s]) * powers(_INVERSE, size)[s]
+        i = j
+    return start, mix(out + (end - start).astype(np.uint64))
+
+
+def paragraphs_of(text: str, n_keys: int) -> tuple[np.ndarray, ...]:
     """(key, first word, words, code), a row per key: the windows of a text, then the lines of five words or more with n_keys each.
 
     code names the words of a paragraph. A text of fewer than five words has none.
     """
-    lines = [x.split() for x in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
-    size = np.array([len(x) for x in lines], dtype=np.int64)
-    n = int(size.sum())
+    raw = text.encode("utf-8", "surrogatepass").lower()
+    at_byte, h = word_hashes(raw)
+    n = len(h)
     if n < SHINGLE:
         return tuple(np.empty(0, dtype=np.int64) for _ in range(4))
-    h = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(lines)), dtype=np.uint64, count=n)
+    line = np.concatenate([[0], np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)])
+    first = np.searchsorted(at_byte, line)  # no word begins at a line feed
+    size = np.diff(first, append=n)
     g = h[: n - SHINGLE + 1].copy()
     for k in range(1, SHINGLE):
         g = g * _P + h[k : n - SHINGLE + 1 + k]
@@ -97,11 +134,10 @@ def paragraphs_of(text: str, known: WordHash, n_keys: int) -> tuple[np.ndarray,
     if not len(at) or at[0]:
         at = np.concatenate([[0], at])
     end = np.minimum(at + WINDOW, n)
-    first = np.cumsum(size) - size
     long = size >= SHINGLE
     a, b = first[long], (first + size)[long]
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(h) * np.cumprod(np.full(n, _P, dtype=np.uint64)))])  # all unsigned: a signed zero would make them doubles
-    inverse = np.cumprod(np.full(n + 1, _INVERSE, dtype=np.uint64))
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(h) * powers(int(_P), n + 1)[1:])])  # all unsigned: a signed zero would make them doubles
+    inverse = powers(_INVERSE, n + 2)[1:]
 
     def named(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         # prefix sums differ by the paragraph's sum times a power of its position; dividing by it (odd, so invertible) makes equal paragraphs equal
@@ -123,12 +159,11 @@ def paragraphs(docs: DataFrame, n_keys: int) -> DataFrame:
     """docs(doc_id, text) -> paragraphs_of() each text: key, doc_id, start, n_words, code."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
         for batch in batches:
             out: list[tuple] = []
             held = 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                key, start, n, code = paragraphs_of(text.as_py() or "", known, n_keys)
+                key, start, n, code = paragraphs_of(text.as_py() or "", n_keys)
                 out.append((key, np.full(len(key), i, dtype=np.int64), start.astype(np.int32), n.astype(np.int32), code))
                 held += len(key)
                 if held > 200_000:
@@ -141,23 +176,20 @@ def paragraphs(docs: DataFrame, n_keys: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(cut, "key long, doc_id long, start int, n_words int, code long")
 
 
-def code_of(words: list[bytes], known: WordHash) -> int:
-    """The code that paragraphs_of() gives a paragraph of these words."""
-    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-    powers = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(len(h) - 1, _P, dtype=np.uint64)]))
-    total = (mix(h) * powers).sum(dtype=np.uint64, keepdims=True)
+def code_of(words: bytes) -> int:
+    """The code that paragraphs_of() gives a paragraph of these words, A-Z lower-cased."""
+    _, h = word_hashes(words)
+    total = (mix(h) * powers(int(_P), len(h))).sum(dtype=np.uint64, keepdims=True)
     return int(mix(total + np.uint64(len(h))).view(np.int64)[0])
 
 
 @vectorized("array<struct<doc_id: long, text: string>>")
 def _cut_out(texts: pd.Series, wanted: pd.Series) -> pd.Series:
     """The paragraphs of a text at the given places, under their code; a place that holds other words (a repeated doc_id) gives none."""
-    known = WordHash()
-
     def of(text: str | None, places: list) -> list[dict]:
         found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        cut = [(p["code"], found[p["start"] : p["start"] + p["n_words"]]) for p in places if p["start"] + p["n_words"] <= len(found)]
-        return [{"doc_id": code, "text": b" ".join(words).decode("utf-8", "replace")} for code, words in cut if code_of(words, known) == code]
+        cut = [(p["code"], b" ".join(found[p["start"] : p["start"] + p["n_words"]])) for p in places]
+        return [{"doc_id": code, "text": words.decode("utf-8", "replace")} for code, words in cut if words and code_of(words) == code]
 
     return pd.Series([of(t, w) for t, w in zip(texts, wanted, strict=True)])
 
@@ -228,7 +260,7 @@ def linked_paragraphs(docs: DataFrame, percent: int = 80, recall: float = 0.99)
     mixed = found.groupBy("key").agg(F.min("code").alias("lo"), F.max("code").alias("hi")).filter("lo < hi").select("key")
     once = found.join(mixed, "key", "left_semi").groupBy("code").agg(F.min(F.struct("doc_id", "start", "n_words")).alias("at")).select("code", "at.*")
     wanted = stored(once.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("code", "start", "n_words")).alias("wanted")))
-    texts = stored(_texts_of(docs, wanted.select("id")).join(wanted, "id").select(F.explode(_cut_out("text", "wanted")).alias("p")).select("p.*"))
+    texts = stored(docs.join(wanted, docs["doc_id"] == wanted["id"]).select(F.explode(_cut_out("text", "wanted")).alias("p")).select("p.*"))
     _, width = bands_for(percent / 100, recall, SAMPLE)
     alike = near_duplicates(texts, percent, SAMPLE, width, short_signature, short=True).filter("not kept").select(F.col("doc_id").alias("code"), F.col("component_id").alias("to")).distinct()
     places = found.select("doc_id", "start", "n_words", "code").distinct()

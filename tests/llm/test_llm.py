@@ -264,12 +264,25 @@ def test_anchors():
     assert len(substring.anchors(np.ones(9, dtype=np.uint64))) == 0
 
 
+@pytest.mark.parametrize("block", [1, 7, 1 << 15])
+def test_word_hashes(monkeypatch, block):
+    """Equal words have equal hashes wherever they stand and however a text is blocked; other words have others."""
+    monkeypatch.setattr(substring, "_BLOCK", block)
+    raw = (" a b ab ba a\n\taa \x0b" + "long" * 20_000 + "\r\n a \u00e9\u00e9 ab").encode()
+    at, h = substring.word_hashes(raw)
+    found = raw.split()
+    assert len(at) == len(h) == len(found) and all(raw[i:].startswith(w) for i, w in zip(at.tolist(), found))
+    by = {w: substring.word_hashes(w)[1][0] for w in found}
+    assert h.tolist() == [by[w] for w in found] and len(set(by.values())) == len(by)
+    assert all(len(x) == 0 for x in substring.word_hashes(b" \n ") + substring.word_hashes(b""))
+
+
 def units_brute(texts):
     """doc -> {(first word, words): shingle set} of all lines of five words or more and all windows."""
-    known, out = neardup.WordHash(), {}
+    out = {}
     for i, t in texts.items():
         w = t.encode().lower().split()
-        _, start, n, _ = substring.paragraphs_of(t, known, 4)
+        _, start, n, _ = substring.paragraphs_of(t, 4)
         out[i] = {(a, k): frozenset(tuple(w[j : j + 5]) for j in range(a, a + k - 4)) for a, k in zip(start.tolist(), n.tolist(), strict=True) if k >= 5}
     return out
 
