@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,6 +68,15 @@ def stored(df: DataFrame, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the table of stored() that df reads, as soon as all that was made of it is stored itself."""
+    at = {m[0] for f in df.inputFiles() if (m := re.match(r".*/corpus-[0-9a-f]{32}(?=/)", f))}
+    sc = df.sparkSession.sparkContext
+    for path in at:
+        path = sc._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def together(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
     """Neighbouring texts in lists of about `size` bytes."""
     part: list[bytes] = []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, vectorized
+from .common import SPACE, discard, stored, vectorized
 from .neardup import bands_for, mix, near_duplicates, short_signature
 
 WINDOW, SPACING, SHINGLE, PREFIX = 24, 27, 5, 20
@@ -255,7 +255,9 @@ def linked_paragraphs(docs: DataFrame, percent: int = 80, recall: float = 0.99)
     """
     keyed = stored(paragraphs(docs, line_keys(percent / 100, recall)))
     shared = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key"))
-    found = stored(keyed.join(shared, "key", "left_semi"))
+    found = stored(keyed.join(shared.hint("shuffle_hash"), "key", "left_semi"))  # distinct keys, so its parts are even; rows need no sort
+    discard(keyed)
+    discard(shared)
     # paragraphs of different words under one key, each once, cut out of the first text that has it
     mixed = found.groupBy("key").agg(F.min("code").alias("lo"), F.max("code").alias("hi")).filter("lo < hi").select("key")
     once = found.join(mixed, "key", "left_semi").groupBy("code").agg(F.min(F.struct("doc_id", "start", "n_words")).alias("at")).select("code", "at.*")
