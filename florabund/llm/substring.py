@@ -254,13 +254,13 @@ def linked_paragraphs(docs: DataFrame, percent: int = 80, recall: float = 0.99)
     equal paragraphs are always linked (64-bit codes stand for their words).
     """
     keyed = stored(paragraphs(docs, line_keys(percent / 100, recall)))
-    shared = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key"))
-    found = stored(keyed.join(shared.hint("shuffle_hash"), "key", "left_semi"))  # distinct keys, so its parts are even; rows need no sort
+    of_key = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("code").alias("one"), F.max("code").alias("other"))
+    shared = stored(of_key.filter("lo < hi").select("key", (F.col("one") < F.col("other")).alias("mixed")))
+    found = stored(keyed.join(shared.hint("shuffle_hash"), "key"))  # distinct keys, so its parts are even; rows need no sort
     discard(keyed)
     discard(shared)
     # paragraphs of different words under one key, each once, cut out of the first text that has it
-    mixed = found.groupBy("key").agg(F.min("code").alias("lo"), F.max("code").alias("hi")).filter("lo < hi").select("key")
-    once = found.join(mixed, "key", "left_semi").groupBy("code").agg(F.min(F.struct("doc_id", "start", "n_words")).alias("at")).select("code", "at.*")
+    once = found.filter("mixed").groupBy("code").agg(F.min(F.struct("doc_id", "start", "n_words")).alias("at")).select("code", "at.*")
     wanted = stored(once.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("code", "start", "n_words")).alias("wanted")))
     texts = stored(docs.join(wanted, docs["doc_id"] == wanted["id"]).select(F.explode(_cut_out("text", "wanted")).alias("p")).select("p.*"))
     _, width = bands_for(percent / 100, recall, SAMPLE)
