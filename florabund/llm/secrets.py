@@ -33,7 +33,7 @@ DIGEST = "(?i)(sha|md5|commit|uuid|checksum|digest|hash|revision|etag)"
 
 
 def dictionary(texts: DataFrame, size: int = 300) -> list[str]:
-    """The `size` most frequent words of three letters or more in texts(text): a bounded list."""
+    """The `size` most frequent words of three letters or more in texts(text), of equal ones the first by name: a bounded list."""
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}]{3,}"), 0)).alias("w")
     return [r[0] for r in texts.select(word).groupBy("w").count().orderBy(F.desc("count"), "w").limit(size).collect()]
 
@@ -124,12 +124,16 @@ def score(found: DataFrame, model: Model | float, threshold: float = 0.5) -> Dat
     return out.drop("__features", "__p", "__raw", "__label").withColumn("is_secret", F.col("probability") >= threshold)
 
 
-def scan(docs: DataFrame, words_from: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, words_from: DataFrame | None = None, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """Every candidate of docs with its probability and verdict: doc_id, word_index, match_index, candidate, before, after, probability, is_secret.
 
+    words_from: texts whose frequent words are the dictionary; by default docs, all of them.
     labelled: findings with a label column besides those of candidates(); by default weak_labels() of the candidates themselves.
+    A candidate exactly at the threshold is a secret. Null, empty and blank texts have no candidate and a null source is an empty
+    path; rows that repeat a doc_id, or have none, are scanned each for itself. Texts of any length are read whole, other columns
+    are ignored, whatever their names, and an empty table gives no rows.
     """
-    known = dictionary(words_from)
+    known = dictionary(docs if words_from is None else words_from)
     found = stored(features(candidates(docs), known))
     model = train(features(labelled, known) if labelled is not None else weak_labels(found))
     return score(found, model, threshold).select("doc_id", "word_index", "match_index", "candidate", "before", "after", "probability", "is_secret")

@@ -366,7 +366,7 @@ def test_secrets(spark):
         texts[i] = f"{sentence(rng, 10)} {form} {sentence(rng, 5)} thisisaverylongordinaryword 4{rng.randrange(10**14, 10**15)}"
     texts |= {200: None, 201: "", 202: "plain words only incomprehensibilities", 203: texts[0], 204: "q" * 5000}
     df = docs_of(spark, texts, extra=True)
-    found = secrets.scan(df, df)
+    found = secrets.scan(df)
     rows = found.collect()
     assert {(r.doc_id, r.candidate) for r in rows if r.is_secret} == {(i, s) for i, s in real.items()} | {(203, real[0])}
     assert {r.doc_id for r in rows if not r.is_secret} >= {0, 202, 204}
@@ -375,7 +375,8 @@ def test_secrets(spark):
     out = {r.doc_id: r for r in clean.collect()}
     assert all(s not in out[i].text and "<secret>" in out[i].text and out[i].n_chars == len(out[i].text) for i, s in real.items())
     assert out[202].text == texts[202] and out[200].text is None and len(out) == len(texts)
-    assert secrets.scan(df.limit(0), df.limit(0)).count() == 0
+    assert secrets.scan(df.limit(0)).count() == 0
+    assert secrets.dictionary(docs_of(spark, {1: "abc abc Über abd abd", 2: None, 3: "", 4: "of of of 123", None: "abd"}), 3) == ["abd", "abc", "über"]
     plain = secrets.scan(df.filter("doc_id >= 202"), df, labelled=None).filter("is_secret")
     assert {r.doc_id for r in plain.collect()} == {203}
 
