@@ -29,7 +29,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in their documents, which stay."""
-    return secrets.redact(docs, secrets.scan(docs, table(spark, sf_dir, "benchmark")))
+    return secrets.redact(docs, secrets.scan(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
