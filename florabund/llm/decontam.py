@@ -219,7 +219,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) ->
 
     An item is found where its edit distance to a part of the document is at most `share` of its
     length, both lower-cased with single spaces. Null, empty and blank texts and items match
-    nothing; repeated rows are taken each for itself. Recall at every share of edits is in the README.
+    nothing, nor do items with a null item_id; documents with a null doc_id are searched like others, repeated rows each for itself. Of equally good places
+    the first is given. An item under five characters must occur as it is, one of any length is sought whole, and texts of
+    any length are read whole; other columns are ignored, whatever their names. An empty table on either side gives no
+    rows. Recall at every share of edits is in the README.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = [docs.select("doc_id", F.explode(find("text")).alias("m")).select("doc_id", "m.*") for find in _finders(benchmark, share)]

@@ -232,7 +232,8 @@ def score(docs: DataFrame) -> DataFrame:
     A-Z lower-cased. score: log10 probability of the text's bytes and its end under the model of
     the rows with train true; base_score: that of its words and end under smoothed word counts.
     Null texts are empty: one end. Without training rows every symbol is uniform over 256.
-    Repeated rows count and are scored each for itself.
+    Repeated rows count and are scored each for itself; a null doc_id is scored like others. Texts of any length are read whole,
+    other columns are ignored, whatever their names, and an empty table gives no rows.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.col("train"), F.lit(False)).alias("train"))
     size, ends = docs.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()

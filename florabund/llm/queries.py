@@ -97,7 +97,7 @@ ORACLES: dict[str, str] = {
           FROM named),
         spam AS (
           SELECT DISTINCT canonical_url FROM canon
-          WHERE list_has_any(string_split(host, '.'), ['spam-farm', 'cheap-pills', 'casino-win', 'free-bets', 'ads-track']) AND canonical_url <> ''),
+          WHERE list_has_any(string_split(host, '.'), ['spam-farm', 'cheap-pills', 'casino-win', 'free-bets', 'ads-track', 'adult-x']) AND canonical_url <> ''),
         ruled AS (
           SELECT c.*, s.canonical_url IS NOT NULL AS listed,
                  CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'

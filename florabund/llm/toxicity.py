@@ -66,6 +66,22 @@ def select_features(lists: list[np.ndarray], positive: np.ndarray, most: int) ->
     return np.sort(top[(z[top] > 3) & (p[top] >= 3)])
 
 
+def risk_step(f: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarray:
+    """What to descend by each row's logit f under the non-negative risk (Kiryo and others 2017) with logistic loss l.
+
+    The gradient of prior * E_P[l(f, 1)] + rest, where rest = E_U[l(f, -1)] - prior * E_P[l(f, -1)] estimates the risk of the
+    negatives; where that is below zero, it overfits, and the step is up its gradient alone.
+    """
+    n_p, n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
+    s = 1 / (1 + np.exp(-f))
+    loss = np.logaddexp(0, f)  # l(f, -1)
+    up = np.where(positive, -prior * (1 - s) / n_p, 0.0)  # of prior * E_P[l(f, 1)]
+    down = np.where(positive, -prior * s / n_p, s / n_u)  # of rest
+    rest = loss[~positive].sum() / n_u - prior * loss[positive].sum() / n_p
+    alone = positive.all() or not positive.any()
+    return up + down if rest >= 0 or alone else -down
+
+
 def fit(lists: list[np.ndarray], positive: np.ndarray, prior: float, features: int = 1024, steps: int = 600, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, np.ndarray, float]:
     """(feature ids, weights, bias) of a linear classifier with logistic loss under the non-negative risk."""
     chosen = select_features(lists, positive, features)
@@ -76,7 +92,6 @@ def fit(lists: list[np.ndarray], positive: np.ndarray, prior: float, features: i
     found = [at[at >= 0] for at in found]
     row = np.repeat(np.arange(len(lists)), [len(at) for at in found])
     at = np.concatenate(found) if found else np.empty(0, dtype=np.int64)
-    n_p, n_u = int(positive.sum()), int((~positive).sum())
     w = np.zeros(len(chosen) + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
 
@@ -85,12 +100,7 @@ def fit(lists: list[np.ndarray], positive: np.ndarray, prior: float, features: i
 
     for t in range(1, steps + 1):
         f = np.clip(np.bincount(row, weights=w[at], minlength=len(lists)) + w[-1], -40, 40)
-        s = 1 / (1 + np.exp(-f))
-        loss = np.logaddexp(0, f)  # l(f, -1)
-        up = np.where(positive, -prior * (1 - s) / max(1, n_p), 0.0)  # of prior * E_P[l(f, 1)]
-        down = np.where(positive, -prior * s / max(1, n_p), s / max(1, n_u))  # of E_U[l(f, -1)] - prior * E_P[l(f, -1)]
-        rest = loss[~positive].mean() - prior * loss[positive].mean() if n_p and n_u else 0.0
-        g = gradient(up + down if rest >= 0 else -down) + decay * np.append(w[:-1], 0)
+        g = gradient(risk_step(f, positive, prior)) + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return chosen, w[:-1], float(w[-1])
@@ -99,7 +109,9 @@ def fit(lists: list[np.ndarray], positive: np.ndarray, prior: float, features: i
 def train(docs: DataFrame, positives: DataFrame, prior: float, bags: int = 4, max_positive: int = 6000, max_unlabelled: int = 16_000) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """Classifiers from docs(doc_id, text): max_positive of positives(doc_id) and max_unlabelled of all of docs, the least hashes of either.
 
-    The models that come back have at most 1024 weights each.
+    The models that come back have at most 1024 weights each. Of rows with the same hash the smaller doc_id comes first;
+    rows that repeat a doc_id come in together, so each has a weight. Without positives the models have no
+    features and call nothing toxic; without documents there are no models.
     """
     order = F.xxhash64(F.col("doc_id"), F.lit(5))
     p = positives.select("doc_id").distinct().orderBy(order, "doc_id").limit(max_positive).withColumn("positive", F.lit(True))
@@ -118,7 +130,11 @@ def train(docs: DataFrame, positives: DataFrame, prior: float, bags: int = 4, ma
 
 
 def toxicity(docs: DataFrame, models: list[tuple[np.ndarray, np.ndarray, float]]) -> DataFrame:
-    """A row for each row of docs(doc_id, text): doc_id, score from 0 to 1. Null and empty texts get the score of no features; without models 0."""
+    """A row for each row of docs(doc_id, text): doc_id, score from 0 to 1.
+
+    Null and empty texts get the score of no features; without models all scores are 0. Repeated rows, and those without a doc_id,
+    are scored each for itself, texts of any length whole; other columns are ignored, whatever their names, and an empty table gives no rows.
+    """
     weights = np.zeros(1 << BITS, dtype=np.float32)
     bias = sum(b for _, _, b in models) / max(1, len(models))
     for ids, w, _ in models:

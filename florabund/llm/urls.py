@@ -16,7 +16,7 @@ from .common import stored
 #: (host, path, verdict): a rule fits a host and its subdomains where the path starts with the rule's path.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Labels of hosts whose pages make the default list.
-SPAM_LABELS = ["spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track"]
+SPAM_LABELS = ["spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x"]
 #: Queries' parameters that do not select content.
 TRACKING = "utm_[a-z]+|ref|fbclid|gclid"
 #: A hot URL's rows go to this many tasks in the exact join.
@@ -102,6 +102,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
 
     listed(url): URLs to block where no rule fits. Null URLs and those without :// have empty host
     and path, fit no rule, are never listed and so are allowed. Repeated rows are judged each for itself.
+    Of two rules of one length the one with the longer host decides. Texts of any length are read whole, other columns are
+    ignored, whatever their names; empty pages give no rows and an empty list blocks nothing.
     """
     urls = pages.select("page_id", "url", host_of("url").alias("host"), path_of("url").alias("path"), canonical("url").alias("canonical_url"))
     found = listed_hits(urls, listed.select(canonical("url").alias("canonical_url")), "canonical_url")

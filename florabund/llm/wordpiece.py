@@ -95,7 +95,9 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """A row for each row of docs(doc_id, text): doc_id, n_words, n_tokens, n_unknown.
 
     n_tokens: greedy longest-match pieces of all words; a word without a cover counts as one
-    token and as unknown. Null, empty and blank texts have none.
+    token and as unknown. Null, empty and blank texts have none. Of pieces that fit, the longest is
+    taken, so there are no ties. Repeated rows are counted each for itself, texts of any length whole; other columns are
+    ignored, whatever their names, and an empty table gives no rows.
     """
 
     @F.pandas_udf("n_words long, n_tokens long, n_unknown long")

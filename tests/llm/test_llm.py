@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small tables, with nulls, empty texts, ties, repeated rows and clashing columns."""
 
 import collections
+import functools
 import itertools
 import math
 import random
@@ -474,6 +475,7 @@ CASES = {
     "ftp://x.org/fr/1?z": ("x.org", "/fr/1", "org/fr/", "allow"),
     "http://notexample.com/de/1": ("notexample.com", "/de/1", None, "allow"),
     "http://spam-farm.example.org/en/1": ("spam-farm.example.org", "/en/1", None, "block"),
+    "http://adult-x.example.org/en/2": ("adult-x.example.org", "/en/2", None, "block"),
     "http://q?x://y": ("q", "", None, "allow"),
     "nourl": ("", "", None, "allow"),
     "": ("", "", None, "allow"),
@@ -621,10 +623,12 @@ def test_automaton_is_greedy():
 def test_token_counts(spark, corpus):
     starts, rest = map(set, wordpiece.read_vocabulary(VOCABULARY))
     got = {r.doc_id: (r.n_words, r.n_tokens, r.n_unknown) for r in wordpiece.token_counts(docs_of(spark, corpus, extra=True), VOCABULARY).collect()}
+    pieces = functools.cache(lambda w: greedy(w, starts, rest))
     for i, t in corpus.items():
-        if i != 106:
-            w = (t or "").encode().split()
-            assert got[i] == (len(w), sum(greedy(x, starts, rest) for x in w), 0)
+        w = (t or "").encode().split()
+        assert got[i] == (len(w), sum(map(pieces, w)), 0)
+    again = wordpiece.token_counts(docs_of(spark, [(1, "one two"), (1, "one two"), (None, "one two")]), VOCABULARY).collect()
+    assert len(again) == 3 and len({r[1:] for r in again}) == 1
     assert wordpiece.token_counts(docs_of(spark, {}), VOCABULARY).count() == 0
 
 
@@ -653,6 +657,32 @@ def test_toxicity(spark):
     assert got[5000] == got[5001] == got[5002] < 0.7
     assert {r.score for r in toxicity.toxicity(df, []).collect()} == {0.0}
     assert toxicity.train(df.limit(0), df.limit(0), 0.1) == []
+    # the score again, from the models' weights
+    weight = collections.Counter()
+    for ids, w, _ in models:
+        for i, x in zip(ids.tolist(), w.tolist(), strict=True):
+            weight[i] += x / len(models)
+    bias = sum(b for _, _, b in models) / len(models)
+    for i in range(600, 700):
+        of = {f for w in toxicity.vocabulary_of(texts[i]) for f in toxicity.word_features(w)}
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-bias - sum(weight[f] for f in of))), abs=1e-4)
+    few = docs_of(spark, [(1, "a b"), (1, "a b"), (None, "a b"), (2, None)])
+    none = toxicity.train(few, few.limit(0), 0.1)
+    rows = toxicity.toxicity(few, none).collect()
+    assert len(rows) == 4 and len({r.score for r in rows}) == 1 and rows[0].score < 0.7
+
+
+@pytest.mark.parametrize("shift", [0.0, 3.0])
+def test_step_of_the_non_negative_risk(shift):
+    rng = np.random.default_rng(3)
+    positive, prior = rng.random(40) < 0.4, 0.3
+    f = rng.normal(size=40) + np.where(positive, 2 * shift, -2 * shift)  # apart, the negatives' part falls below zero
+    soft = lambda x: np.log(1 + np.exp(x))
+    rest = lambda f: soft(f[~positive]).mean() - prior * soft(f[positive]).mean()
+    assert (rest(f) < 0) == (shift > 0)
+    value = (lambda f: prior * soft(-f[positive]).mean() + rest(f)) if shift == 0 else (lambda f: -rest(f))
+    numeric = [(value(f + e) - value(f - e)) / 2e-5 for e in np.eye(40) * 1e-5]
+    assert toxicity.risk_step(f, positive, prior) == pytest.approx(numeric, abs=1e-6)
 
 
 # --- 10 decontamination ---------------------------------------------------------------------
@@ -705,6 +735,10 @@ def test_decontamination(spark):
     assert {r.doc_id for r in clean.collect()} == ({*texts, 900, 901, 902, 903} - {g[0] for g in got})
     assert decontam.contamination(df.limit(0), bench).count() == 0
     assert decontam.contamination(df, bench.limit(0)).count() == 0
+    odd = docs_of(spark, [(None, f"x {items[3]}"), (5, items[3]), (5, items[3]), (6, "ab cd " * 5000 + items[3]), (7, f"{items[3]} {items[3]}"), (8, "say tiny")])
+    small = spark.createDataFrame([(3, items[3]), (60, "tiny"), (61, "tinx")], "item_id long, text string")
+    found = sorted((r.doc_id or 0, r.item_id, r.edit_distance, r.first_byte) for r in decontam.contamination(odd, small).collect())
+    assert found == [(0, 3, 0, 2), (5, 3, 0, 0), (5, 3, 0, 0), (6, 3, 0, 30000), (7, 3, 0, 0), (8, 60, 0, 4)]
 
 
 @pytest.mark.parametrize("n_words", [3, 6, 16, 40])
