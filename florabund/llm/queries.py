@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, neardup, packing, ppm, quality, secrets, substring, toxicity, urls, wordpiece
+from . import binpack, decontam, neardup, packing, ppm, quality, secrets, substring, toxicity, urls, wordpiece
 from .common import fold, stored, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -63,6 +63,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpack.pack_few(table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_substring_dedup, op4_secret_scan, op5_lm_scoring, op6_url_filter, op7_near_dedup, op8_token_counts, op9_toxicity, op10_decontamination, pipeline)
+    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_substring_dedup, op4_secret_scan, op5_lm_scoring, op6_url_filter, op7_near_dedup, op8_token_counts, op9_toxicity, op10_decontamination, op11_bin_completion, pipeline)
 }
 
 _AFTER = "substr(url, strpos(url, '://') + 3)"
