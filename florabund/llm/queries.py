@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, decontam, neardup, packing, ppm, quality, secrets, substring, toxicity, urls, wordpiece
+from . import binpack, decontam, neardup, packing, phrases, ppm, quality, secrets, substring, toxicity, urls, wordpiece
 from .common import fold, stored, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -67,6 +67,10 @@ def op11_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.pack_few(table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_substring_dedup, op4_secret_scan, op5_lm_scoring, op6_url_filter, op7_near_dedup, op8_token_counts, op9_toxicity, op10_decontamination, op11_bin_completion, pipeline)
+    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_substring_dedup, op4_secret_scan, op5_lm_scoring, op6_url_filter, op7_near_dedup, op8_token_counts, op9_toxicity, op10_decontamination, op11_bin_completion, op13_collocations, pipeline)
 }
 
 _AFTER = "substr(url, strpos(url, '://') + 3)"
@@ -114,4 +118,30 @@ ORACLES: dict[str, str] = {
                          ELSE CASE WHEN listed THEN 'block' ELSE 'allow' END END AS verdict,
                canonical_url, listed
         FROM ruled""",
+    "op13_collocations": r"""
+        WITH pieces AS (
+          SELECT coalesce(lang, 'und') AS lang,
+                 unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+          FROM documents WHERE text IS NOT NULL),
+        cut AS (SELECT lang, [x for x in regexp_split_to_array(piece, '[\x20\x09]+') if x <> ''] AS w FROM pieces),
+        grams AS (
+          SELECT lang, size, array_to_string(w[b:b + size - 1], ' ') AS phrase
+          FROM cut, range(1, 6) s(size), LATERAL (SELECT unnest(range(1, len(w) - size + 2)) AS b)),
+        total AS (SELECT lang, count(*)::HUGEINT AS n FROM grams WHERE size = 1 GROUP BY lang),
+        f AS (SELECT lang, size, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY lang, size, phrase HAVING count(*) >= 100),
+        shorter AS (
+          SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:size - 1], ' '), array_to_string(string_split(phrase, ' ')[2:size], ' ')]) AS phrase
+          FROM f WHERE size > 2),
+        alone AS (
+          SELECT f.* FROM f WHERE size > 1 AND NOT EXISTS (FROM shorter s WHERE s.lang = f.lang AND s.phrase = f.phrase AND s.f >= f.f)),
+        cuts AS (
+          SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS first, array_to_string(string_split(phrase, ' ')[k + 1:size], ' ') AS rest
+          FROM alone, range(1, 5) c(k) WHERE k < size),
+        scored AS (
+          SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, n, (1000::HUGEINT * c.a * n) // (l.f * r.f) AS score
+          FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.first JOIN f r ON r.lang = c.lang AND r.phrase = c.rest JOIN total t ON t.lang = c.lang),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+        SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+        FROM ranked WHERE rank <= 2000""",
 }
