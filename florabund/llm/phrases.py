@@ -260,6 +260,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, bits: int = 64) -> DataF
             for block, rows in blocks(batch):
                 out: list[list] = [[], [], [], []]
                 names = langs.take(pa.array(rows)).to_pylist()
+                spoken = np.unique(np.array(names, dtype=object), return_inverse=True)[1][block.text]  # of each word, its language's number
                 for n in range(1, LONGEST + 1):
                     at, prints = block.grams(n, bits)
                     if n == 1:  # all words count for n, those that are rare under no name
@@ -271,7 +272,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, bits: int = 64) -> DataF
                     at, prints = at[ok], prints[ok]
                     while len(at):  # one round, but for collisions
                         _, first, group, numbers = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
-                        equal = block.same(at, at[first][group], n)
+                        equal = block.same(at, at[first][group], n) & (spoken[at] == spoken[at[first][group]])
                         numbers = np.bincount(group, weights=equal, minlength=len(first)).astype(np.int64)
                         for a, k in zip(at[first].tolist(), numbers.tolist(), strict=True):
                             for column, v in zip(out, (names[block.text[a]], block.phrase(a, n), n, k), strict=True):
