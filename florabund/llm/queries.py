@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, decontam, neardup, packing, phrases, ppm, quality, secrets, substring, toxicity, urls, wordpiece
+from . import binpack, decontam, neardup, packing, phrases, ppm, quality, secrets, substring, toxicity, urls, variants, wordpiece
 from .common import fold, stored, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -67,6 +67,10 @@ def op11_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.pack_few(table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -78,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_substring_dedup, op4_secret_scan, op5_lm_scoring, op6_url_filter, op7_near_dedup, op8_token_counts, op9_toxicity, op10_decontamination, op11_bin_completion, op13_collocations, pipeline)
+    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_substring_dedup, op4_secret_scan, op5_lm_scoring, op6_url_filter, op7_near_dedup, op8_token_counts, op9_toxicity, op10_decontamination, op11_bin_completion, op12_spelling_variants, op13_collocations, pipeline)
 }
 
 _AFTER = "substr(url, strpos(url, '://') + 3)"
@@ -118,6 +122,41 @@ ORACLES: dict[str, str] = {
                          ELSE CASE WHEN listed THEN 'block' ELSE 'allow' END END AS verdict,
                canonical_url, listed
         FROM ruled""",
+    "op12_spelling_variants": r"""
+        WITH RECURSIVE crc AS (
+          SELECT [list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k) for k in range(256)] AS byte),
+        runs AS (
+          SELECT doc_id, run, count(*) AS n
+          FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents WHERE text IS NOT NULL)
+          WHERE len(run) >= 7 GROUP BY doc_id, run),
+        points AS (
+          SELECT run, n, [unicode(c) for c in string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, '')] AS points FROM runs),
+        hashed AS (
+          SELECT run, n, xor(list_reduce(flatten([CASE WHEN c < 128 THEN [c::BIGINT] ELSE [195, c::BIGINT - 64] END for c in points]),
+                                         lambda h, b: xor(h >> 8, byte[(xor(h, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h
+          FROM points, crc),
+        words AS (
+          SELECT word, sum(n)::BIGINT AS n
+          FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % len(run))::INT) || substr(run, (h % len(run))::INT + 2) ELSE run END AS word, n FROM hashed)
+          WHERE len(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        dropped AS (
+          SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest
+          FROM (SELECT word, n, unnest(range(1, len(word) + 1))::INT AS k FROM words)),
+        links AS (
+          SELECT a.word, b.word AS other FROM dropped a JOIN dropped b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+          UNION SELECT d.word, w.word FROM dropped d JOIN words w ON d.rest = w.word
+          UNION SELECT w.word, d.word FROM dropped d JOIN words w ON d.rest = w.word),
+        near AS (
+          SELECT l.word, count(*) AS n_near, max(o.n) AS best_n, arg_min(l.other, (-o.n, l.other)) AS best
+          FROM links l JOIN words o ON o.word = l.other GROUP BY l.word),
+        forms AS (
+          SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n
+          FROM words w LEFT JOIN near ON near.word = w.word),
+        chain AS (
+          SELECT word, word AS root FROM forms
+          UNION SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+        ends AS (SELECT c.word, c.root FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NULL)
+        SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM forms f JOIN ends e ON e.word = f.word""",
     "op13_collocations": r"""
         WITH pieces AS (
           SELECT coalesce(lang, 'und') AS lang,
