@@ -795,11 +795,13 @@ _BH = "SELECT *, least(1, min(pvalue * n / k) OVER (PARTITION BY genome_id ORDER
 
 
 def _equal(s: Star) -> DataFrame:
+    s = s.held()
     return stats.equalised(s.group_counts(), s.libraries(), s.conditions())
 
 
 @query(f"WITH {_TMM} SELECT genome_id, sample_id, round(factor, 6) AS factor FROM factors")
 def n2_tmm_factors(s: Star) -> DataFrame:
+    s = s.held()
     return stats.tmm_factors(s.group_counts(), s.libraries()).withColumn("factor", F.round("factor", 6))
 
 
@@ -824,11 +826,81 @@ _TAGWISE = """ab AS (SELECT genome_id, group_id, round(sum(y), 6) AS abundance,
   tagwise AS (SELECT genome_id, group_id, arg_max(delta, (score, -delta)) AS delta FROM score GROUP BY 1, 2)"""
 
 
+
+def _lower(a: str, x: str) -> str:
+    """Lower tail of the gamma distribution by its series; terms: a list of numbered places for them."""
+    step = f"t.t * {x} / ({a} + k.k)"
+    return f"exp({a} * ln({x}) - {x} - lgamma({a} + 1)) * list_reduce(terms, lambda t, k: {{'t': {step}, 's': t.s + {step}, 'k': k.k}}, {{'t': 1.0::DOUBLE, 's': 1.0::DOUBLE, 'k': 0.0::DOUBLE}}).s"
+
+
+def _upper(a: str, x: str) -> str:
+    """Upper tail by the continued fraction of Legendre, from its end; far: numbers in falling order."""
+    return f"exp({a} * ln({x}) - {x} - lgamma({a})) / list_reduce(far, lambda f, k: {x} + 2 * k + 1 - {a} - (k + 1) * (k + 1 - {a}) / f, {x} + 2 * len(far) + 1 - {a})"
+
+
+def _moved(tag: str, phi: str, source: str = "scaled_", terms: int = 400) -> str:
+    """CTES moved<tag>: the rows of a source(genome_id, group_id, sample_id, is_other, y, e, common) with z, the quantile-adjusted count. Newton's method from the normal place."""
+    share = "list_reduce([k::DOUBLE FOR k IN range(40)], lambda b, k: list_sum([ys[i] / (1 + phi * es[i] * b) FOR i IN range(1, len(ys) + 1)]) / list_sum([es[i] / (1 + phi * es[i] * b) FOR i IN range(1, len(ys) + 1)]), list_sum(ys) / list_sum(es))"
+    slope = "exp(a2 * ln(x) - x - lgamma(a2))"
+    return f"""rates{tag} AS (SELECT genome_id, group_id, is_other, phi, {share} AS b FROM (SELECT genome_id, group_id, is_other, {phi} AS phi, list(y ORDER BY sample_id) AS ys, list(e ORDER BY sample_id) AS es FROM {source} GROUP BY 1, 2, 3, 4)),
+      means{tag} AS (SELECT genome_id, group_id, sample_id, is_other, y, e, common, rates{tag}.phi AS phi, e * b + CASE WHEN e * b < 1e-14 OR common * b < 1e-14 THEN 0.25 ELSE 0 END AS before, common * b + CASE WHEN e * b < 1e-14 OR common * b < 1e-14 THEN 0.25 ELSE 0 END AS after FROM {source} s JOIN rates{tag} USING (genome_id, group_id, is_other)),
+      normal{tag} AS (SELECT *, 1 + phi * after AS r2, after / (1 + phi * after) AS a2, before / (1 + phi * before) AS a1, y / (1 + phi * before) AS x1, after + (y - before) * sqrt(after * (1 + phi * after) / (before * (1 + phi * before))) AS normal FROM means{tag}),
+      places{tag} AS (SELECT *, [{{'t': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'k': k::DOUBLE}} FOR k IN range(1, {terms})] AS terms, [k::DOUBLE FOR k IN range({terms}, -1, -1)] AS far FROM normal{tag}),
+      tails{tag} AS (SELECT *, CASE WHEN y >= before THEN ln({_upper('a1', 'x1')}) WHEN y > 0 THEN ln({_lower('a1', 'x1')}) END AS p FROM places{tag}),
+      moved{tag} AS (SELECT genome_id, group_id, sample_id, is_other, e, y AS raw, greatest(0, CASE WHEN before = after THEN y WHEN y = 0 THEN normal / 2 ELSE (normal + r2 *
+        CASE WHEN y >= before THEN list_reduce([k::DOUBLE FOR k IN range(12)], lambda x, k: x * exp(greatest(-1, least(1, (ln({_upper('a2', 'x')}) - p) * ({_upper('a2', 'x')}) / {slope}))), normal / r2)
+        ELSE list_reduce([k::DOUBLE FOR k IN range(12)], lambda x, k: x * exp(greatest(-1, least(1, (p - ln({_lower('a2', 'x')})) * ({_lower('a2', 'x')}) / {slope}))), CASE WHEN normal > 0 THEN normal ELSE after / 2 END / r2) END) / 2 END) AS y FROM tails{tag})"""
+
+
+_SCALED = """scaled_ AS (SELECT eff.genome_id, eff.group_id, sample_id, is_other, CAST(count AS DOUBLE) AS y, e, common FROM eff JOIN common_ USING (genome_id))"""
+_BEFORE = _PLAIN.split("\n  z AS")[0].rstrip(",").split(",\n  eq AS")[0]
+_SUMS = "SELECT genome_id, group_id, round(coalesce(sum(y) FILTER (NOT is_other), 0), 4) AS base_sum, round(coalesce(sum(y) FILTER (is_other), 0), 4) AS other_sum FROM {0} GROUP BY 1, 2"
+
+
+def _arrays(s: Star) -> DataFrame:
+    s = s.held()
+    return stats.sample_arrays(s.group_counts(), s.libraries(), s.conditions())
+
+
+@query(f"WITH {_BEFORE}, {_SCALED}, {_moved('', '0.05::DOUBLE')} {_SUMS.format('moved')}")
+def n3_quantile_adjusted(s: Star) -> DataFrame:
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda x, y: x + y), 4)
+    return stats.quantile_adjusted(_arrays(s), 0.05).select("genome_id", "group_id", total("base").alias("base_sum"), total("other").alias("other_sum"))
+
+
 @query(f"WITH {_PLAIN}, {_GRID}, {_COMMON} SELECT genome_id, round(delta / (1 - delta), 6) AS phi FROM best3")
 def n3_common_dispersion(s: Star) -> DataFrame:
     return stats.common_dispersion(_equal(s)).withColumn("phi", F.round("phi", 6))
 
 
+def _best(tag: str, table: str) -> str:
+    """CTES best<tag>(genome_id, phi): the common dispersion of the counts of a table, at the top of the parabola through the last grid's best point."""
+    step = 1 / 21 * 2 / 21 * 2 / 21
+    at = lambda k: f"(SELECT ll FROM last_ n WHERE n.genome_id = l.genome_id AND n.k = l.k + {k})"
+    text = f"""{_GRID}, {_COMMON}, last_ AS (SELECT genome_id, k, delta, sum(CASE WHEN n > 1 THEN a + lgamma(n * r) - lgamma(t + n * r) - n * lgamma(r) ELSE 0 END) AS ll FROM side3 GROUP BY 1, 2, 3),
+      three AS (SELECT l.genome_id, l.k, l.delta, l.ll, {at(-1)} AS below, {at(1)} AS above FROM last_ l JOIN best3 b ON b.genome_id = l.genome_id AND b.delta = l.delta),
+      top_ AS (SELECT genome_id, CASE WHEN below IS NULL OR above IS NULL OR below - 2 * ll + above >= 0 THEN delta ELSE delta + (below - above) / (2 * (below - 2 * ll + above)) * {step!r} END AS delta FROM three),
+      best AS (SELECT genome_id, delta / (1 - delta) AS phi FROM top_)"""
+    names = "grid_ side ll best1 near2 side2 best2 near3 side3 best3 last_ three top_ best"
+    for name in names.split():
+        text = re.sub(rf"(?<=FROM ){name}\b|(?<=JOIN ){name}\b|\b{name}(?= AS \()", name + tag, text)
+    return re.sub(r"(?<=FROM )eq\b|(?<=JOIN )eq\b", table, text)
+
+
+_ENOUGH = "enough_ AS (SELECT * FROM scaled_ QUALIFY sum(y) OVER (PARTITION BY genome_id, group_id) > 5)"
+_TWICE = f"{_ENOUGH}, {_moved('1', '0.01::DOUBLE', 'enough_')}, {_best('_a', 'moved1')}, again_ AS (SELECT * FROM enough_ JOIN best_a USING (genome_id)), {_moved('2', 'phi', 'again_')}, {_best('_b', 'moved2')}"
+
+
+@query(f"WITH {_BEFORE}, {_SCALED}, {_TWICE} SELECT genome_id, round(phi, 5) AS phi FROM best_b")
+def n3_common_dispersion_quantile(s: Star) -> DataFrame:
+    return stats.estimated_dispersions(_arrays(s))[0].withColumn("phi", F.round("phi", 5))
+
+
+@query()
+def n4_refined_dispersion(s: Star) -> DataFrame:
+    return stats.estimated_dispersions(_arrays(s))[1]
+
+
 @query(f"WITH {_PLAIN}, {_GRID}, {_TAGWISE} SELECT genome_id, group_id, round(delta / (1 - delta), 6) AS phi FROM tagwise")
 def n4_tagwise_dispersion(s: Star) -> DataFrame:
     return stats.tagwise_dispersion(_equal(s)).withColumn("phi", F.round("phi", 6))
@@ -864,7 +936,8 @@ def w3_bh_adjust(s: Star) -> DataFrame:
   SELECT g.genome_id, g.group_id, round(log2((m2 + 0.125) / (m1 + 0.125)), 5) + 0.0 AS log_fc, round(pvalue, 5) AS pvalue, CASE WHEN fdr IS NULL THEN -2 WHEN NOT fdr < 0.05 THEN 0 WHEN m2 > m1 THEN 1 ELSE -1 END AS code
   FROM (SELECT DISTINCT genome_id, group_id FROM group_counts) g LEFT JOIN tested USING (genome_id, group_id) LEFT JOIN adj USING (genome_id, group_id)""")
 def n8_da_pipeline(s: Star) -> DataFrame:
-    out = stats.da_pipeline(s.group_counts(), s.libraries(), s.conditions(), min_cpm=50.0, min_samples=3, dispersion=0.02)
+    s = s.held()
+    out = stats.da_pipeline(s.group_counts(), s.libraries(), s.conditions(), min_cpm=50.0, min_samples=3, dispersion=0.02, adjust="linear")
     return out.select("genome_id", "group_id", (F.round("log_fc", 5) + 0.0).alias("log_fc"), F.round("pvalue", 5).alias("pvalue"), "code")
 
 
@@ -873,10 +946,30 @@ def n8_da_pipeline(s: Star) -> DataFrame:
   SELECT g.genome_id, g.group_id, round(log2((m2 + 0.125) / (m1 + 0.125)), 5) + 0.0 AS log_fc, round(pvalue, 5) AS pvalue, CASE WHEN fdr IS NULL THEN -2 WHEN NOT fdr < 0.05 THEN 0 WHEN m2 > m1 THEN 1 ELSE -1 END AS code
   FROM (SELECT DISTINCT genome_id, group_id FROM group_counts) g LEFT JOIN tested USING (genome_id, group_id) LEFT JOIN adj USING (genome_id, group_id)""")
 def n8_da_pipeline_estimated(s: Star) -> DataFrame:
-    out = stats.da_pipeline(s.group_counts(), s.libraries(), s.conditions())
+    s = s.held()
+    out = stats.da_pipeline(s.group_counts(), s.libraries(), s.conditions(), adjust="linear")
+    return out.select("genome_id", "group_id", (F.round("log_fc", 5) + 0.0).alias("log_fc"), F.round("pvalue", 5).alias("pvalue"), "code")
+
+
+_QUANTILE = f"""{_NORMAL.split(",\n  eq AS")[0]}, {_SCALED}, enough AS (SELECT genome_id, group_id FROM eff WHERE count / e * 1e6 > 50 GROUP BY 1, 2 HAVING count(*) > 3), chosen AS (SELECT scaled_.* FROM scaled_ JOIN enough USING (genome_id, group_id)),
+  {_moved('', '0.02::DOUBLE', 'chosen')}, tested AS (SELECT genome_id, group_id, CAST(round(coalesce(sum(y) FILTER (NOT is_other), 0)) AS BIGINT) AS z1, CAST(round(coalesce(sum(y) FILTER (is_other), 0)) AS BIGINT) AS z2, count(*) FILTER (NOT is_other) AS n1, count(*) FILTER (is_other) AS n2, coalesce(avg(y) FILTER (NOT is_other), 0) AS m1, coalesce(avg(y) FILTER (is_other), 0) AS m2 FROM moved GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_TMM}, {_QUANTILE}, {_exact(0.02, "tested")}, adj AS ({_BH.format("test")})
+  SELECT g.genome_id, g.group_id, round(log2((m2 + 0.125) / (m1 + 0.125)), 5) + 0.0 AS log_fc, round(pvalue, 5) AS pvalue, CASE WHEN fdr IS NULL THEN -2 WHEN NOT fdr < 0.05 THEN 0 WHEN m2 > m1 THEN 1 ELSE -1 END AS code
+  FROM (SELECT DISTINCT genome_id, group_id FROM group_counts) g LEFT JOIN tested USING (genome_id, group_id) LEFT JOIN adj USING (genome_id, group_id)""")
+def n8_da_pipeline_quantile(s: Star) -> DataFrame:
+    s = s.held()
+    out = stats.da_pipeline(s.group_counts(), s.libraries(), s.conditions(), min_cpm=50.0, min_samples=3, dispersion=0.02)
     return out.select("genome_id", "group_id", (F.round("log_fc", 5) + 0.0).alias("log_fc"), F.round("pvalue", 5).alias("pvalue"), "code")
 
 
+@query()
+def n8_da_pipeline_default(s: Star) -> DataFrame:
+    s = s.held()
+    return stats.da_pipeline(s.group_counts(), s.libraries(), s.conditions())
+
+
 @query(f"""WITH c AS ({_COPIED}), s AS (SELECT genome_id, count(*) FILTER (code = 1) AS n1, count(*) FILTER (code = 0) AS n0, avg(copies) FILTER (code = 1) AS m1, avg(copies) FILTER (code = 0) AS m0, var_samp(copies) FILTER (code = 1) / count(*) FILTER (code = 1) AS e1, var_samp(copies) FILTER (code = 0) / count(*) FILTER (code = 0) AS e0 FROM c WHERE code IN (0, 1) GROUP BY 1)
   SELECT genome_id, n1, n0, round((m1 - m0) / sqrt(e1 + e0), 6) + 0.0 AS t, round((e1 + e0) * (e1 + e0) / (e1 * e1 / (n1 - 1) + e0 * e0 / (n0 - 1)), 6) AS df FROM s WHERE n1 > 1 AND n0 > 1""")
 def n11_welch_t_test(s: Star) -> DataFrame:
