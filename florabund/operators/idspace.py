@@ -18,6 +18,21 @@ def tree_leaf_order(trees: DataFrame) -> DataFrame:
     return trees.select("tree_id", leaves.alias("ord", "leaf_id")).select("tree_id", F.trim("leaf_id").alias("leaf_id"), (F.col("ord") + 1).cast("long").alias("ord"))
 
 
+def rank_rows(rows: DataFrame, *order: str, name: str = "ord") -> DataFrame:
+    """rows with their rank from 1 by columns whose values are no ties: a range partition, the rows of each part counted, and the earlier parts' sums added. No part is gathered.
+
+    The sorted rows are stored, so that both passes see the same parts; only the table of parts (a row each) is in one task."""
+    from ..sources.shared import stored
+
+    place = F.monotonically_increasing_id()  # the part's number over the row's in it
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", place)
+    held = stored(parts.withColumns({"__part": F.shiftright("__place", 33), "__row": F.col("__place").bitwiseAND((1 << 33) - 1)}).drop("__place"))
+    sizes = held.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    ranked = held.join(F.broadcast(before), "__part")  # a row a part
+    return ranked.withColumn(name, (F.col("__before") + F.col("__row") + 1).cast("long")).drop("__part", "__row", "__before")
+
+
 def tree_rank(leaves: DataFrame) -> DataFrame:
     """Ranks anew from 1 within each tree, order kept."""
     return leaves.withColumn("ord", F.row_number().over(Window.partitionBy("tree_id").orderBy("ord")).cast("long"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import annotate, counts, da
+from ..operators import annotate, counts, da, idspace
 from ..sources import readers, writers
 from ..sources.shared import new_folder
-from .queries import _SUMMARY, _leaves, _n, query
+from .queries import _KEPT, _SUMMARY, _leaves, _n, query
 from .star import Star
 
+_KINDS = "cog ko pfam tigrfam clstr go kegg kog".split()
+_KINDS_SQL = f"{_KINDS}"
 _RAW = "SELECT genome_id, gene_id, CAST(coalesce(sum(count) FILTER (sample_id = 'F'), 0) AS BIGINT) AS f, CAST(coalesce(sum(count) FILTER (sample_id = 'O'), 0) AS BIGINT) AS o FROM raw_counts GROUP BY 1, 2"
 
 
@@ -87,6 +89,50 @@ def s8_read_gff_lines(s: Star) -> DataFrame:
     return cut.select("genome_id", F.col("f")[0].cast("long").alias("ord"), F.col("f")[1].alias("line"))
 
 
+def _pair_files(s: Star) -> str:
+    """Brands and sizes of parts as annotation files, by nation and type; a header in every other type's, none for type ko of every third nation."""
+    path = new_folder(s.spark, "pairs-by-type")
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (k % 8 + 1).cast("int"))
+    rows = s.table("part").select((k % 25).alias("genome_id"), kind.alias("ann_type"), F.lit(1).alias("at"), k, F.concat_ws("\t", (k % 500).cast("string"), "p_brand", F.when(k % 3 == 0, F.col("p_size").cast("string"))).alias("value"))
+    heads = s.genomes().select("genome_id", F.explode(F.array(*map(F.lit, _KINDS[::2]))).alias("ann_type"), F.lit(0).alias("at"), F.lit(0).alias("p_partkey"), F.lit("PROTEINID\tvalue").alias("value"))
+    every = rows.unionByName(heads).filter("not (ann_type = 'ko' and genome_id % 3 = 0)")
+    every.repartition("genome_id", "ann_type").sortWithinPartitions("genome_id", "ann_type", "at", "p_partkey").select("genome_id", "ann_type", "value").write.partitionBy("genome_id", "ann_type").text(path)
+    return path
+
+
+_PAIR_FILES = "*/*/*.txt"
+_PAIRS = "SELECT p_partkey % 25 AS genome_id, p_partkey % 500 AS gene_id, p_partkey, p_brand || CASE WHEN p_partkey % 3 = 0 THEN chr(9) || p_size ELSE '' END AS value, ['cog', 'ko', 'pfam', 'tigrfam', 'clstr', 'go', 'kegg', 'kog'][p_partkey % 8 + 1] AS ann_type FROM part"
+
+
+@query(f"SELECT CAST(genome_id AS VARCHAR) AS genome_id, CAST(gene_id AS VARCHAR) AS gene_id, ann_type, value FROM ({_PAIRS}) WHERE NOT (ann_type = 'ko' AND genome_id % 3 = 0)")
+def s9_read_annotation_pair_files(s: Star) -> DataFrame:
+    return readers.read_annotation_pairs(s.spark, _pair_files(s), files=_PAIR_FILES).select("genome_id", "gene_id", "ann_type", "value")
+
+
+@query(f"SELECT CAST(genome_id AS VARCHAR) AS genome_id, ann_type FROM genomes CROSS JOIN (SELECT unnest({_KINDS_SQL}) AS ann_type) k WHERE (ann_type = 'ko' AND genome_id % 3 = 0) OR (ann_type IN ('ko', 'tigrfam', 'go', 'kog') AND NOT EXISTS (SELECT 1 FROM ({_PAIRS}) p WHERE p.genome_id = genomes.genome_id AND p.ann_type = k.ann_type))")
+def s9_missing_annotation_files(s: Star) -> DataFrame:
+    return readers.missing_annotation_files(s.spark, _pair_files(s), s.genomes(), _KINDS, files=_PAIR_FILES)
+
+
+@query("SELECT CAST(genome_id AS VARCHAR) AS genome_id, '.gff' AS extension, CAST(sum(strlen(line) + 1) AS BIGINT) AS length FROM gff WHERE genome_id % 4 <> 0 GROUP BY 1")
+def s15_read_files(s: Star) -> DataFrame:
+    return readers.read_files(s.spark, _gff_files(s)).groupBy("genome_id").agg(F.lit(".gff").alias("extension"), F.sum("length").alias("length"))
+
+
+@query("SELECT CAST(g.genome_id AS VARCHAR) AS genome_id, e.extension, CASE WHEN e.extension = 'none' OR g.genome_id % 4 = 0 OR f.genome_id IS NULL THEN 'missing' ELSE 'ok' END AS status FROM genomes g CROSS JOIN (SELECT unnest(['gff', 'none']) AS extension) e LEFT JOIN (SELECT DISTINCT genome_id FROM gff) f USING (genome_id)")
+def s15_inventory_of_files(s: Star) -> DataFrame:
+    files = readers.read_files(s.spark, _gff_files(s)).withColumn("extension", F.lit("gff"))
+    return annotate.file_inventory(files, s.genomes().select(F.col("genome_id").cast("string").alias("genome_id")), ["gff", "none"])
+
+
+def _gff_files(s: Star) -> str:
+    """A file of GFF lines in the folder of each nation but every fourth."""
+    path = new_folder(s.spark, "genome-files")
+    s.gff().filter("genome_id % 4 <> 0").select("genome_id", "line").repartition("genome_id").write.partitionBy("genome_id").text(path)
+    return path
+
+
 @query("SELECT CAST(genome_id AS VARCHAR) AS genome_id, replace(group_id, ' ', '_') AS group_id, log_fc, fdr FROM tags")
 def s10_read_tags(s: Star) -> DataFrame:
     path = new_folder(s.spark, "tags")
@@ -169,8 +215,6 @@ def k7_write_cluster_summary(s: Star) -> DataFrame:
     return back.select("grp_id", *[F.col(c).cast("long").alias(c) for c in back.columns[1:]])
 
 
-_OF_PART = "CASE p_partkey % 8 {0} END"
-_KINDS = "cog ko pfam tigrfam clstr go kegg kog".split()
 
 
 @query(
@@ -202,3 +246,49 @@ def k13_write_ordered_meta(s: Star) -> DataFrame:
     writers.write_ordered(meta, _leaves(s).select(F.col("leaf_id").alias("genome_id"), "ord"), path)
     rows = readers.lines(s.spark, path).filter("line not like 'genome_id%'").select(F.col("ord"), F.split("line", "\t").alias("f"))
     return rows.select(*[F.col("f")[k].alias(c) for k, c in enumerate(("genome_id", "name", "label"))], (F.col("ord") - 1).alias("place"))
+
+
+def _order(s: Star) -> DataFrame:
+    """Nations in tree order."""
+    return _leaves(s).select(F.col("leaf_id").cast("int").alias("genome_id"), "ord")
+
+
+@query("SELECT CAST(genome_id AS VARCHAR) AS genome_id, group_id, code FROM dense")
+def k4_write_da_table(s: Star) -> DataFrame:
+    path = new_folder(s.spark, "da-lines")
+    writers.write_da_table(s.da(), idspace.rank_rows(s.cluster_groups(), "group_id"), _order(s), path)
+    return readers.read_da_table(s.spark, path)
+
+
+@query("WITH p AS (SELECT row_number() OVER (ORDER BY group_id) AS place, group_id FROM cluster_groups), h AS (SELECT string_agg(leaf_id, chr(9) ORDER BY ord) AS names FROM leaves) SELECT 0 AS place, 'grp_id' AS group_id, names AS cells FROM h UNION ALL SELECT place, group_id, string_agg(CAST(d.code AS VARCHAR), chr(9) ORDER BY l.ord) FROM p JOIN dense d USING (group_id) JOIN leaves l ON CAST(l.leaf_id AS INT) = d.genome_id GROUP BY 1, 2")
+def k4_da_table_lines(s: Star) -> DataFrame:
+    """The lines as they are written, with their place."""
+    path = new_folder(s.spark, "da-lines")
+    writers.write_da_table(s.da(), idspace.rank_rows(s.cluster_groups(), "group_id"), _order(s), path)
+    rows = readers.file_lines(s.spark, path).select("file", "ord", "line")
+    cut = idspace.rank_rows(rows, "file", "ord", name="place").withColumn("at", F.instr("line", "\t"))
+    return cut.select((F.col("place") - 1).alias("place"), F.substring("line", F.lit(1), F.col("at") - 1).alias("group_id"), F.substring("line", F.col("at") + 1, F.length("line")).alias("cells"))
+
+
+@query(f"SELECT CAST(genome_id AS VARCHAR) AS genome_id, group_id, code FROM dense WHERE group_id IN ({_KEEP})")
+def k5_write_filtered_da_table(s: Star) -> DataFrame:
+    path = new_folder(s.spark, "da-lines")
+    writers.write_filtered_da_table(s.da(), idspace.rank_rows(s.cluster_groups(), "group_id"), da.da_percent_filter(s.da(), {1: (20, True)}, _n(s)), _order(s), path)
+    return readers.read_da_table(s.spark, path)
+
+
+@query(f"SELECT CAST(genome_id AS VARCHAR) AS genome_id, group_id, code FROM dense WHERE group_id IN ({_KEPT})")
+def k8_write_cluster_matrix(s: Star) -> DataFrame:
+    path = new_folder(s.spark, "matrix-lines")
+    writers.write_cluster_matrix(s.da(), da.keep_da_clusters(s.da(), _n(s), 50.0), _order(s), path)
+    return readers.read_wide(s.spark, path, "genome_id").select(F.col("row").alias("genome_id"), F.col("column").alias("group_id"), F.col("value").cast("int").alias("code"))
+
+
+@query("SELECT genome_id, group_id, CASE WHEN genome_id % 5 = 0 AND code = 0 THEN 1 ELSE code END AS code FROM da")
+def u11_upsert_in_place(s: Star) -> DataFrame:
+    path = new_folder(s.spark, "codes")
+    writers.write_by_genome(s.da(), path)
+    held = lambda: s.spark.read.parquet(path).select("genome_id", "group_id", "code")
+    new = held().filter("genome_id % 5 = 0 and code = 0").withColumn("code", F.lit(1))
+    writers.upsert_codes(held(), new, s.genomes(), s.cluster_groups(), path)
+    return held()

@@ -991,7 +991,7 @@ _WIDE = ", ".join(f"coalesce(max(code) FILTER (genome_id = {g}), -3) AS \"{g}\""
 
 
 def _catalog(s: Star) -> DataFrame:
-    return s.cluster_groups().withColumn("ord", F.row_number().over(Window.orderBy("group_id")))
+    return idspace.rank_rows(s.cluster_groups(), "group_id")
 
 
 @query(f"SELECT group_id AS grp_id, {_WIDE} FROM cluster_groups LEFT JOIN da USING (group_id) GROUP BY 1")

@@ -5,9 +5,11 @@ Every builder has a SQL twin in CTES under the same name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.idspace import rank_rows
+
 
 class Star:
     """Builders of the canonical tables over one data folder."""
@@ -49,7 +51,7 @@ class Star:
     def groups(self) -> DataFrame:
         """Brands in order, and one group that no gene has."""
         ids = self.table("part").select(F.col("p_brand").alias("group_id")).distinct().union(self.spark.createDataFrame([("Brand#none",)], "group_id string"))
-        return ids.select("group_id", F.row_number().over(Window.orderBy("group_id")).cast("long").alias("ord"))  # a catalog of a few dozen
+        return rank_rows(ids, "group_id")
 
     def group_counts(self) -> DataFrame:
         """Counts by nation, brand and sample; brands ending in 1 get three times as much where lines are open, so that they differ."""

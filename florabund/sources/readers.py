@@ -15,19 +15,25 @@ def _genome() -> Column:
     return F.regexp_replace(F.element_at(F.split(F.col(PATH), "/"), -2), "^genome_id=", "")
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """genome_id, ord, line of text files, one for each genome, read in splits. ord grows along a file, from 0 in one read alone and by 1 within a split.
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """genome_id, file, ord, line of text files, read in splits. ord grows along a file, from 0 in one read alone and by 1 within a split.
 
-    It is the split's first byte and the row's number in the task (27 bits, enough for the lines of 128 MB).
+    It is the split's first byte and the row's number in the task (27 bits, enough for the lines of 128 MB). A genome may have
+    several files; what holds for one file, as its header, is keyed by file.
     """
     row = F.monotonically_increasing_id().bitwiseAND((1 << 27) - 1)
     ord_ = F.shiftleft(F.col("_metadata.file_block_start"), 27) + row
-    return spark.read.text(path, recursiveFileLookup=True).select(_genome().alias("genome_id"), ord_.alias("ord"), F.col("value").alias("line"))
+    return spark.read.text(path, recursiveFileLookup=True).select(_genome().alias("genome_id"), F.col(PATH).alias("file"), ord_.alias("ord"), F.col("value").alias("line"))
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """genome_id, ord, line as file_lines(), for one file a genome."""
+    return file_lines(spark, path).drop("file")
 
 
 def _heads(rows: DataFrame) -> DataFrame:
-    """genome_id, head_ord, head: the first line of each file; only the first split of a file has it."""
-    return rows.filter(f"ord < {1 << 27}").groupBy("genome_id").agg(F.min("ord").alias("head_ord"), F.min_by("f", "ord").alias("head"))
+    """file, head_ord, head: the first line of each file; only the first split of a file has it."""
+    return rows.filter(f"ord < {1 << 27}").groupBy("file").agg(F.min("ord").alias("head_ord"), F.min_by("f", "ord").alias("head"))
 
 
 def _cells(rows: DataFrame, sep: str = "\t") -> DataFrame:
@@ -35,11 +41,11 @@ def _cells(rows: DataFrame, sep: str = "\t") -> DataFrame:
 
 
 def read_gene_counts(spark: SparkSession, path: str) -> DataFrame:
-    """genome_id, gene_id, sample_id, count, ord; lines whose first cell has 'name' in it are headers, and reading stops at the first with 'feature' in it. Each file's own header names its samples."""
-    rows = _cells(lines(spark, path)).withColumn("id", F.col("f")[0])
+    """genome_id, gene_id, sample_id, count, ord; lines whose first cell has 'name' in it are headers, and reading a file stops at its first with 'feature' in it. Each file's own header names its samples."""
+    rows = _cells(file_lines(spark, path)).withColumn("id", F.col("f")[0])
     head = _heads(rows)
-    stop = rows.filter(F.col("id").rlike("(?i)feature")).groupBy("genome_id").agg(F.min("ord").alias("stop"))
-    body = rows.join(head, "genome_id").join(stop, "genome_id", "left").filter(~F.col("id").rlike("(?i)name") & (F.col("stop").isNull() | (F.col("ord") < F.col("stop"))))
+    stop = rows.filter(F.col("id").rlike("(?i)feature")).groupBy("file").agg(F.min("ord").alias("stop"))
+    body = rows.join(head, "file").join(stop, "file", "left").filter(~F.col("id").rlike("(?i)name") & (F.col("stop").isNull() | (F.col("ord") < F.col("stop"))))
     pairs = F.arrays_zip(F.slice("head", 2, F.size("head")).alias("s"), F.slice("f", 2, F.size("f")).alias("n"))
     out = body.select("genome_id", F.col("id").alias("gene_id"), "ord", F.explode(pairs).alias("p"))
     return out.select("genome_id", "gene_id", F.col("p.s").alias("sample_id"), F.col("p.n").cast("long").alias("count"), "ord")
@@ -58,11 +64,11 @@ def _headed(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
 
 
 def read_annotation(spark: SparkSession, path: str, gene_column: str, group_column: str) -> DataFrame:
-    """genome_id, gene_id, group_raw, ord; columns are found by header whatever its case."""
-    rows = _cells(lines(spark, path))
+    """genome_id, gene_id, group_raw, ord; columns are found by each file's own header whatever its case."""
+    rows = _cells(file_lines(spark, path))
     head = _heads(rows).withColumn("head", F.transform("head", lambda x: F.lower(F.trim(x))))
     at = lambda c: F.get("f", F.array_position("head", c.lower()).cast("int") - 1)
-    body = rows.join(head, "genome_id").filter("ord > head_ord")
+    body = rows.join(head, "file").filter("ord > head_ord")
     return body.select("genome_id", at(gene_column).alias("gene_id"), at(group_column).alias("group_raw"), "ord").filter("gene_id is not null")
 
 
@@ -123,28 +129,64 @@ def read_gff_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path)
 
 
-def read_annotation_pairs(spark: SparkSession, root: str, gene_column: str = "proteinId") -> DataFrame:
-    """genome_id, gene_id, ann_type, value, ord of <root>/<genome>/<genome>.<type>.tab.txt; a first line with the gene column's name is a header."""
-    files = spark.read.text(f"{root}/*/*.tab.txt", wholetext=True).select(_genome().alias("genome_id"), F.regexp_extract(F.col(PATH), r"\.([A-Za-z]+)\.tab\.txt$", 1).alias("ann_type"), "value")
-    rows = files.select("genome_id", "ann_type", F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line")).filter("line <> ''")
-    rows = rows.filter((F.col("ord") > 0) | ~F.contains("line", F.lit(gene_column)))
-    return rows.select("genome_id", F.split("line", "\t")[0].alias("gene_id"), "ann_type", F.get(F.split("line", "\t"), F.lit(1)).alias("value"), F.col("ord").cast("long").alias("ord"))
+def _annotation_type() -> Column:
+    """The type in a file's name <genome>.<type>.tab.txt, or of its folder ann_type=<type>."""
+    folder = F.regexp_extract(F.col(PATH), r"/ann_type=([^/]+)/[^/]*$", 1)
+    return F.when(folder != "", folder).otherwise(F.regexp_extract(F.col(PATH), r"\.([A-Za-z_]+)\.tab\.txt$", 1))
+
+
+def _genome_above() -> Column:
+    """The genome's folder: that of the file, or the one above its folder ann_type=<type>."""
+    parts = F.split(F.col(PATH), "/")
+    folder = F.when(F.element_at(parts, -2).startswith("ann_type="), F.element_at(parts, -3)).otherwise(F.element_at(parts, -2))
+    return F.regexp_replace(folder, "^genome_id=", "")
+
+
+def read_annotation_pairs(spark: SparkSession, root: str, gene_column: str = "proteinId", files: str = "*/*.tab.txt") -> DataFrame:
+    """genome_id, gene_id, ann_type, value, ord of <root>/<genome>/<genome>.<type>.tab.txt, read in splits.
+
+    value: all cells after the first, tabs between them. Of each file the first line that has the gene column's name in it, whatever
+    its case, is a header, and the first line of a gff_annote file is one always. A gene's last row is the one that counts downstream.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 27) - 1)
+    ord_ = F.shiftleft(F.col("_metadata.file_block_start"), 27) + row
+    rows = spark.read.text(f"{root}/{files}").select(_genome_above().alias("genome_id"), _annotation_type().alias("ann_type"), F.col(PATH).alias("file"), ord_.alias("ord"), F.regexp_replace("value", "\r$", "").alias("line"))
+    named = F.when(F.col("ann_type") == "gff_annote", F.col("ord") < (1 << 27)).otherwise(F.contains(F.lower("line"), F.lit(gene_column.lower())))
+    heads = rows.filter(named).groupBy("file").agg(F.min("ord").alias("head"))
+    body = rows.filter("line <> ''").join(heads, "file", "left").filter(F.col("head").isNull() | (F.col("ord") != F.col("head")))
+    value = F.when(F.contains("line", F.lit("\t")), F.regexp_replace("line", "^[^\t]*\t", ""))
+    return body.select("genome_id", F.split("line", "\t")[0].alias("gene_id"), "ann_type", value.alias("value"), "ord")
+
+
+def missing_annotation_files(spark: SparkSession, root: str, genomes: DataFrame, types: list[str], files: str = "*/*.tab.txt") -> DataFrame:
+    """genome_id, ann_type of every expected file of read_annotation_pairs() that is not there or empty, whose annotation is NA throughout. Only the listing is read."""
+    wanted = genomes.select(F.col("genome_id").cast("string").alias("genome_id"), F.explode(F.array(*map(F.lit, types))).alias("ann_type"))
+    listed = spark.read.format("binaryFile").load(f"{root}/{files}").filter("length > 0").select(_genome_above().alias("genome_id"), _annotation_type().alias("ann_type")).distinct()
+    return wanted.join(listed, ["genome_id", "ann_type"], "left_anti")
 
 
 def read_tags(spark: SparkSession, path: str) -> DataFrame:
     """genome_id, group_id, log_fc, fdr of space-separated tables with a header; fields 0, 1 and 4 count."""
     f = F.split(F.translate("line", '"', ""), r"\s+")
-    rows = _cells(lines(spark, path))
-    return rows.join(_heads(rows), "genome_id").filter("ord > head_ord").select("genome_id", f[0].alias("group_id"), f[1].cast("double").alias("log_fc"), f[4].cast("double").alias("fdr"))
+    rows = _cells(file_lines(spark, path))
+    return rows.join(_heads(rows), "file").filter("ord > head_ord").select("genome_id", f[0].alias("group_id"), f[1].cast("double").alias("log_fc"), f[4].cast("double").alias("fdr"))
 
 
 def read_da_table(spark: SparkSession, path: str) -> DataFrame:
-    """Wide code table -> genome_id, group_id, code; the first header cell must be grp_id."""
-    wide = _headed(spark, path)
-    if wide.columns[0] != "grp_id":
-        raise ValueError(f"the first column is {wide.columns[0]!r}, not 'grp_id'")
-    long = wide.unpivot(["grp_id"], [f"`{c}`" for c in wide.columns[1:]], "genome_id", "code")
-    return long.select("genome_id", F.col("grp_id").alias("group_id"), F.col("code").cast("int").alias("code"))
+    """Wide code table -> genome_id, group_id, code; the first header cell must be grp_id. Cells meet the header's by their place, so no column is made of a genome."""
+    return read_wide(spark, path, "grp_id").select(F.col("column").alias("genome_id"), F.col("row").alias("group_id"), F.col("value").cast("int").alias("code"))
+
+
+def read_wide(spark: SparkSession, path: str, corner: str) -> DataFrame:
+    """row, column, value of the cells of a tab-separated table in one or more files; lines that begin with the corner cell are the header."""
+    rows = _cells(file_lines(spark, path))
+    heads = rows.filter(F.col("f")[0] == corner)
+    if heads.isEmpty():
+        first = rows.orderBy("file", "ord").select("f").first()
+        raise ValueError(f"the first column is {first['f'][0] if first else None!r}, not {corner!r}")
+    names = heads.select(F.posexplode("f").alias("place", "column")).filter("place > 0").distinct()
+    cells = rows.filter(F.col("f")[0] != corner).select(F.col("f")[0].alias("row"), F.posexplode(F.slice("f", F.lit(2), F.size("f"))).alias("at", "value"))
+    return cells.withColumn("place", F.col("at") + 1).join(names, "place").select("row", "column", "value")
 
 
 def read_cluster_map(spark: SparkSession, path: str) -> DataFrame:
@@ -172,4 +214,4 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     """genome_id, extension, length of the files in <root>/<genome>/; contents are not read."""
     files = spark.read.format("binaryFile").load(f"{root}/*/*").select("path", "length")
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.element_at(F.split("path", "/"), -2).alias("genome_id"), F.regexp_extract(name, r"^[^.]*(\..*)$", 1).alias("extension"), "length")
+    return files.select(F.regexp_replace(F.element_at(F.split("path", "/"), -2), "^genome_id=", "").alias("genome_id"), F.regexp_extract(name, r"^[^.]*(\..*)$", 1).alias("extension"), "length")
