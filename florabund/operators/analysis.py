@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distributions import hypergeometric_tails
 from ..functions.text import split_categories
 
 
@@ -21,30 +23,21 @@ def category_counts(da: DataFrame, categories: DataFrame, codes: list[int], name
     return grid.join(n, ["genome_id", "category"], "left").select("genome_id", "category", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def ln_factorial(n: Column) -> Column:
-    return F.aggregate(F.when(n >= 2, F.sequence(F.lit(2).cast("long"), n.cast("long"))).otherwise(F.array().cast("array<long>")), F.lit(0.0), lambda s, i: s + F.ln(i))
-
-
 def hypergeo_enrichment(selected: DataFrame, tested: DataFrame, tail: str = "lower") -> DataFrame:
     """selected, tested: (genome_id, category, n) -> genome_id, category, x, m, p.
 
     x selected of the m tested groups of the category, k selected and m + n tested in all of the
-    genome: p = P(X <= x) for tail='lower', P(X >= x) for 'upper', X hypergeometric.
+    genome: p = P(X <= x) for tail='lower', P(X >= x) for 'upper', X hypergeometric. A row's work is bounded, however many groups there are.
     """
     both = tested.select("genome_id", "category", F.col("n").alias("m")).join(selected.select("genome_id", "category", F.col("n").alias("x")), ["genome_id", "category"])
     w = Window.partitionBy("genome_id")
     both = both.withColumns({"n": F.sum("m").over(w) - F.col("m"), "k": F.sum("x").over(w)})
-    m, n, k, x = (F.col(c) for c in "mnkx")
-    lo, hi = F.greatest(F.lit(0).cast("long"), k - n), F.least(k, m)
-    a, b = (lo, F.least(x, hi)) if tail == "lower" else (F.greatest(x, lo), hi)
-    # ln of the first term, then each term from the one before: one factorial per row
-    choose = lambda p, q: ln_factorial(p) - ln_factorial(q) - ln_factorial(p - q)
-    first = choose(m, a) + choose(n, k - a) - choose(m + n, k)
-    ratio = lambda i: (m - i + 1) * (k - i + 1) / (i * (n - k + i))
-    steps = F.when(b > a, F.sequence(a + 1, b)).otherwise(F.array().cast("array<long>"))
-    terms = F.aggregate(steps, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), lambda acc, i: F.struct((acc["t"] * ratio(i)).alias("t"), (acc["s"] + acc["t"] * ratio(i)).alias("s")), lambda acc: acc["s"])
-    p = F.when(b < a, 0.0).otherwise(F.least(F.lit(1.0), F.exp(first) * terms))
-    return both.withColumn("p", p).select("genome_id", "category", "x", "m", "p")
+
+    @F.pandas_udf("double")
+    def p(x: pd.Series, m: pd.Series, n: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series(hypergeometric_tails(*(c.to_numpy(dtype=float) for c in (x, m, n, k)), tail))
+
+    return both.withColumn("p", p("x", "m", "n", "k")).select("genome_id", "category", "x", "m", "p")
 
 
 def significance_binary(tests: DataFrame, level: float = 0.05) -> DataFrame:

@@ -102,9 +102,10 @@ def wide_counts(counts: DataFrame, samples: list[str], keys: list[str]) -> DataF
     return counts.groupBy(*keys).pivot("sample_id", samples).agg(F.sum("count").cast("long")).na.fill(0, samples)
 
 
-def genome_abundance(counts: DataFrame) -> DataFrame:
-    """Total count by genome and sample without special rows."""
-    return drop_special_features(counts).groupBy("genome_id", "sample_id").agg(F.sum("count").cast("long").alias("total"))
+def genome_abundance(counts: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
+    """Total count by genome and sample without special rows. With leaves(genome_id, ord) of a tree, those genomes alone, with their place in it as ord and in its order."""
+    out = drop_special_features(counts).groupBy("genome_id", "sample_id").agg(F.sum("count").cast("long").alias("total"))
+    return out if leaves is None else out.join(leaves.select("genome_id", "ord"), "genome_id").orderBy("ord", "sample_id")
 
 
 def combine_tech_reps(counts: DataFrame, pattern: str = r"_r\d+$") -> DataFrame:
@@ -122,21 +123,43 @@ def library_sizes(*sources: DataFrame, where: str | None = None) -> DataFrame:
     return out.groupBy("sample_id").agg(F.sum("reads").cast("long").alias("lib_size"))
 
 
-def overlaps(reads: DataFrame, features: DataFrame, width: int) -> DataFrame:
-    """Reads(contig, start, end, ...) with features(contig, start, end, gene_id) they overlap, by bins of `width` positions.
+#: Widths of nested bins: each eight times the one before.
+LEVELS = 7
 
-    Ends are inclusive. A pair that shares several bins is taken in the bin of its later start only.
-    """
-    bins = lambda a, b: F.explode(F.sequence(F.expr(f"{a} div {width}"), F.expr(f"{b} div {width}")))
-    r = reads.withColumn("bin", bins("start", "end"))
-    f = features.select(F.col("contig"), F.col("start").alias("f_start"), F.col("end").alias("f_end"), F.col("gene_id")).withColumn("bin", bins("f_start", "f_end"))
-    hit = r.join(f, ["contig", "bin"]).filter("start <= f_end and f_start <= end")
-    return hit.filter(F.col("bin") == F.expr(f"greatest(start, f_start) div {width}")).drop("bin")
+
+def _nested(rows: DataFrame, start: str, end: str, width: int, above: list[int]) -> DataFrame:
+    """rows with own (the first level at which they touch two bins at most), and a row for each bin they touch at that level and at the levels of `above` that are higher."""
+    wide = [width * 8**k for k in range(LEVELS)]
+    own = F.lit(LEVELS - 1)
+    for k in range(LEVELS - 2, -1, -1):
+        own = F.when(F.expr(f"{end} div {wide[k]} - {start} div {wide[k]} <= 1"), k).otherwise(own)
+    levels = F.filter(F.array(*[F.lit(k) for k in range(LEVELS)]), lambda k: (k == F.col("own")) | (F.array_contains(F.array(*map(F.lit, above)).cast("array<int>"), k) & (k > F.col("own"))))
+    at = rows.withColumn("own", own).withColumn("level", F.explode(levels)).withColumn("wide", F.element_at(F.array(*[F.lit(w).cast("long") for w in wide]), F.col("level") + 1))
+    return at.withColumn("bin", F.explode(F.sequence(F.expr(f"{start} div wide"), F.expr(f"{end} div wide"))))
 
 
-def feature_assign(reads: DataFrame, features: DataFrame, key: list[str], width: int = 1 << 14) -> DataFrame:
+def overlaps(reads: DataFrame, features: DataFrame, width: int = 1 << 14, most: int = 200_000) -> DataFrame:
+    """Reads(contig, start, end, ...) with features(contig, start, end, gene_id) they overlap. Ends are inclusive.
+
+    Bins are nested: an interval has a row or two at the level of its own length, whatever that is, and at the higher levels that the other side uses.
+    A pair meets at the higher of both own levels, in the bin of its later start only. The reads of a bin with more than `most` are dealt to parts, to each of which
+    the bin's features go. Only the features' levels, seven at most, reach the driver.
+    """
+    f = features.select(F.col("contig"), F.col("start").alias("f_start"), F.col("end").alias("f_end"), F.col("gene_id"))
+    f = _nested(f, "f_start", "f_end", width, list(range(LEVELS))).withColumnRenamed("own", "f_own").drop("wide")
+    used = sorted(r[0] for r in f.select("f_own").distinct().collect())
+    r = _nested(reads, "start", "end", width, used)
+    key = ["contig", "level", "bin"]
+    load = r.groupBy(*key).agg(F.count("*").alias("load")).filter(F.col("load") > most).select(*key, F.ceil(F.col("load") / most).alias("parts"))
+    r = r.join(load, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(*[f"`{c}`" for c in reads.columns]), "parts"), F.lit(0)).cast("long")).drop("parts")
+    f = f.join(load, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0)).cast("long")))).drop("parts")
+    hit = r.join(f, [*key, "part"]).filter("start <= f_end and f_start <= end and level = greatest(own, f_own)")
+    return hit.filter(F.col("bin") == F.expr("greatest(start, f_start) div wide")).drop("bin", "level", "part", "own", "f_own", "wide")
+
+
+def feature_assign(reads: DataFrame, features: DataFrame, key: list[str], width: int = 1 << 14, most: int = 200_000) -> DataFrame:
     """Each read (named by key) with the one gene it overlaps, else __no_feature or __ambiguous."""
-    hit = overlaps(reads, features, width).groupBy(*key).agg(F.min("gene_id").alias("lo"), F.max("gene_id").alias("hi"))
+    hit = overlaps(reads, features, width, most).groupBy(*key).agg(F.min("gene_id").alias("lo"), F.max("gene_id").alias("hi"))
     gene = F.when(F.col("lo").isNull(), NO_FEATURE).when(F.col("lo") != F.col("hi"), AMBIGUOUS).otherwise(F.col("lo").cast("string"))
     return reads.join(hit, key, "left").withColumn("gene_id", gene).drop("lo", "hi")
 
@@ -146,6 +169,19 @@ def feature_counts(assigned: DataFrame, by: list[str]) -> DataFrame:
     return assigned.groupBy(*by, "gene_id").agg(F.count("*").alias("count"))
 
 
+def counts_above(assigned: DataFrame, by: list[str], thresholds: list[float]) -> DataFrame:
+    """feature_counts() of identity_filter() for all thresholds at once: (by..., threshold, gene_id, count), special rows included.
+
+    A read is counted once, under the number of thresholds it passes; the count of a threshold is the sum of its own step and of all
+    above, so no read is copied.
+    """
+    steps = sorted(set(map(float, thresholds)))
+    passed = sum((F.coalesce((F.col("identity") > t).cast("int"), F.lit(0)) for t in steps[1:]), F.lit(1))
+    each = assigned.withColumn("__step", passed).groupBy(*by, "gene_id", "__step").agg(F.count("*").alias("n"))
+    at_least = [F.struct(F.lit(t).alias("threshold"), F.sum(F.when(F.col("__step") > k, F.col("n")).otherwise(0)).alias("count")) for k, t in enumerate(steps)]
+    return each.groupBy(*by, "gene_id").agg(F.array(*at_least).alias("t")).select(*by, "gene_id", F.inline("t")).filter("count > 0")
+
+
 def cpm(counts: DataFrame, libraries: DataFrame, factors: DataFrame | None = None) -> DataFrame:
     """Counts per million of the library size, times the normalisation factor where factors(genome_id, sample_id, factor) are given."""
     out = counts.join(libraries, "sample_id")

@@ -72,6 +72,11 @@ def a4_genome_abundance(s: Star) -> DataFrame:
     return counts.genome_abundance(s.counts())
 
 
+@query("SELECT genome_id, sample_id, CAST(sum(count) AS BIGINT) AS total, l.ord FROM counts JOIN leaves l ON CAST(l.leaf_id AS INT) = genome_id GROUP BY genome_id, sample_id, l.ord")
+def a4_abundance_in_tree_order(s: Star) -> DataFrame:
+    return counts.genome_abundance(s.counts(), _leaves(s).select(F.col("leaf_id").cast("int").alias("genome_id"), "ord"))
+
+
 @query("SELECT genome_id, group_id, regexp_replace(sample_id, '_[FO]$', '') AS sample_id, CAST(sum(count) AS BIGINT) AS count FROM group_counts GROUP BY 1, 2, 3")
 def a6_combine_tech_reps(s: Star) -> DataFrame:
     return counts.combine_tech_reps(s.group_counts(), "_[FO]$")
@@ -87,7 +92,18 @@ def a7_library_sizes(s: Star) -> DataFrame:
 @query("WITH t AS (SELECT unnest([0.0, 20.0, 50.0]) AS threshold) SELECT sample_id, threshold, gene_id, count(*) AS count FROM assigned, t WHERE threshold = 0 OR identity > threshold GROUP BY 1, 2, 3")
 def a13_feature_counts(s: Star) -> DataFrame:
     reads = counts.feature_assign(s.alignments(), s.features(), ["event_id"])
-    return counts.feature_counts(counts.identity_filter(reads, [0.0, 20.0, 50.0]), ["sample_id", "threshold"])
+    return counts.counts_above(reads, ["sample_id"], [0.0, 20.0, 50.0])
+
+
+@query("WITH l AS (SELECT contig, event_id // 500 AS k, min(\"start\") AS \"start\", max(\"end\") AS \"end\" FROM alignments GROUP BY 1, 2), p AS (SELECT contig, start // 90000 AS \"start\", start // 90000 + 40 AS \"end\", event_id FROM alignments) SELECT p.event_id, count(l.k) AS n, min(l.k) AS first_k FROM p LEFT JOIN l ON l.contig = p.contig AND p.\"start\" * 90000 <= l.\"end\" AND l.\"start\" <= p.\"start\" * 90000 + 40 GROUP BY 1")
+def j14_long_and_hot_intervals(s: Star) -> DataFrame:
+    """Reads that pile up on few places against features of days to months: several levels of bins, and bins in parts."""
+    a = s.alignments()
+    long = a.groupBy("contig", F.expr("event_id div 500").alias("gene_id")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    at = F.expr("start div 90000 * 90000")
+    piled = a.select("event_id", "contig", at.alias("start"), (at + 40).alias("end"))
+    hit = counts.overlaps(piled, long, most=50).groupBy("event_id").agg(F.count("*").alias("n"), F.min("gene_id").alias("first_k"))
+    return piled.select("event_id").join(hit, "event_id", "left").select("event_id", F.coalesce("n", F.lit(0)).alias("n"), "first_k")
 
 
 @query("SELECT event_id, gene_id FROM assigned")
@@ -118,15 +134,16 @@ def f9_sample_projection(s: Star) -> DataFrame:
     return counts.sample_projection(s.counts(), s.conditions().filter("not is_other")).select("genome_id", "gene_id", "sample_id", "count")
 
 
-@query("SELECT genome_id, gene_id, sample_id, count, split_part(group_raw, ',', 1) AS group_id FROM counts JOIN annotation USING (gene_id) WHERE NOT contains(group_raw, ',')")
+@query("SELECT genome_id, gene_id, sample_id, count, split_part(group_raw, ',', 1) AS group_id FROM counts JOIN annotation USING (gene_id)")
 def j1_counts_join_groups(s: Star) -> DataFrame:
-    known = counts.first_group_wins(s.annotation().filter("not contains(group_raw, ',')"))
-    return counts.counts_join_groups(s.counts(), known).select("genome_id", "gene_id", "sample_id", "count", "group_id")
+    return counts.counts_join_groups(s.counts(), counts.first_group_wins(s.annotation())).select("genome_id", "gene_id", "sample_id", "count", "group_id")
 
 
-@query("SELECT DISTINCT genome_id, gene_id FROM counts WHERE gene_id NOT IN (SELECT gene_id FROM annotation WHERE NOT contains(group_raw, ','))")
+@query("SELECT DISTINCT genome_id, gene_id FROM counts WHERE gene_id % 7 = 3")
 def j1_genes_without_group(s: Star) -> DataFrame:
-    return counts.genes_without_group(s.counts(), counts.first_group_wins(s.annotation().filter("not contains(group_raw, ',')")))
+    """Every seventh gene's cell is NA, which is no group."""
+    cells = s.annotation().withColumn("group_raw", T.na_to_null(F.when(F.col("gene_id") % 7 == 3, "NA").otherwise(F.col("group_raw"))))
+    return counts.genes_without_group(s.counts(), counts.first_group_wins(cells))
 
 
 @query("SELECT genome_id, sample_id FROM genomes CROSS JOIN libraries")
@@ -268,10 +285,11 @@ def j7_densify(s: Star) -> DataFrame:
     return da.densify(s.da(), s.genomes(), s.cluster_groups())
 
 
-@query("SELECT genome_id, group_id, CASE WHEN code = -2 AND (genome_id, group_id) NOT IN (SELECT genome_id, group_id FROM cluster_map WHERE gene_id % 2 = 0) THEN -3 ELSE code END AS code FROM da")
+@query("SELECT genome_id, group_id, CASE WHEN code = -2 AND (genome_id, group_id) NOT IN (SELECT genome_id, group_id FROM counts JOIN clusters USING (gene_id) WHERE sample_id = '1-URGENT_O') THEN -3 ELSE code END AS code FROM da")
 def j8_decouple_undetected(s: Star) -> DataFrame:
-    half = s.cluster_map().filter("gene_id % 2 = 0").groupBy("genome_id").agg(F.array_join(F.array_sort(F.collect_set("group_id")), ",").alias("group_raw"))
-    return da.decouple_undetected(s.da(), half)
+    """The annotation of a nation names the groups of its urgent open orders, all in one cell."""
+    named = s.counts().filter("sample_id = '1-URGENT_O'").join(s.clusters(), "gene_id").groupBy("genome_id").agg(F.array_join(F.array_sort(F.collect_set("group_id")), ",").alias("group_raw"))
+    return da.decouple_undetected(s.da(), named)
 
 
 @query("SELECT group_id, count(DISTINCT genome_id) AS pa_count FROM cluster_map JOIN genomes USING (genome_id) WHERE label = 'PA' GROUP BY 1")
@@ -486,6 +504,12 @@ def a11_distinct_gff_tags(s: Star) -> DataFrame:
     return annotate.distinct_gff_tags(_cds(s))
 
 
+@query(f"SELECT s_suppkey AS genome_id FROM supplier WHERE s_suppkey NOT IN (SELECT genome_id FROM ({_CDS}) WHERE f[9] LIKE 'ID=%')")
+def a11_genomes_without_tag(s: Star) -> DataFrame:
+    """Suppliers as genomes, of which the lines of parts know the first ones only."""
+    return annotate.require_tag(annotate.distinct_gff_tags(_cds(s)), s.table("supplier").select(F.col("s_suppkey").alias("genome_id")), "ID")
+
+
 @query(f"SELECT genome_id, 'g' || ord AS gene_id, coalesce(nullif(regexp_extract(f[9], 'product=([^;]*)', 1), ''), 'NA') AS product, coalesce(nullif(regexp_extract(f[9], 'note=last([^;]*)', 0), ''), regexp_extract(f[9], 'note=([^;]*)', 0))[6:] AS note, CASE WHEN f[9] LIKE '%exonNumber%' THEN '2' ELSE 'NA' END AS \"exonNumber\" FROM ({_CDS}) WHERE f[9] LIKE 'ID=%'")
 def a12_tags_per_gene_wide(s: Star) -> DataFrame:
     return annotate.tags_per_gene(_cds(s), "ID", ["product", "note", "exonNumber"])
@@ -970,12 +994,17 @@ def n8_da_pipeline_default(s: Star) -> DataFrame:
     return stats.da_pipeline(s.group_counts(), s.libraries(), s.conditions())
 
 
+#: Integral of cos(u)^(df - 1) from 0 to atan(|t| / sqrt(df)) by Simpson's rule.
+_INSIDE = "list_sum([CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(cos(atan(abs(t) / sqrt(df)) * k / 2000), df - 1) FOR k IN range(2001)]) * atan(abs(t) / sqrt(df)) / 6000"
+
+
 @query(f"""WITH c AS ({_COPIED}), s AS (SELECT genome_id, count(*) FILTER (code = 1) AS n1, count(*) FILTER (code = 0) AS n0, avg(copies) FILTER (code = 1) AS m1, avg(copies) FILTER (code = 0) AS m0, var_samp(copies) FILTER (code = 1) / count(*) FILTER (code = 1) AS e1, var_samp(copies) FILTER (code = 0) / count(*) FILTER (code = 0) AS e0 FROM c WHERE code IN (0, 1) GROUP BY 1)
-  SELECT genome_id, n1, n0, round((m1 - m0) / sqrt(e1 + e0), 6) + 0.0 AS t, round((e1 + e0) * (e1 + e0) / (e1 * e1 / (n1 - 1) + e0 * e0 / (n0 - 1)), 6) AS df FROM s WHERE n1 > 1 AND n0 > 1""")
+  , v AS (SELECT genome_id, n1, n0, (m1 - m0) / sqrt(e1 + e0) AS t, (e1 + e0) * (e1 + e0) / (e1 * e1 / (n1 - 1) + e0 * e0 / (n0 - 1)) AS df FROM s WHERE n1 > 1 AND n0 > 1)
+  SELECT genome_id, n1, n0, round(t, 6) + 0.0 AS t, round(df, 6) AS df, round(1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * {_INSIDE}, 6) + 0.0 AS pvalue FROM v""")
 def n11_welch_t_test(s: Star) -> DataFrame:
     rows = analysis.copy_number_join(s.da(), s.copies()).filter("code in (0, 1)")
     out = stats.welch_t_test(rows, "copies", F.col("code") == 1, ["genome_id"]).filter("n1 > 1 and n0 > 1")
-    return out.select("genome_id", "n1", "n0", r6("t"), F.round("df", 6).alias("df"))
+    return out.select("genome_id", "n1", "n0", r6("t"), F.round("df", 6).alias("df"), r6("pvalue"))
 
 
 # --- written layouts ------------------------------------------------------------------------

@@ -211,7 +211,13 @@ def read_copy_number(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """genome_id, extension, length of the files in <root>/<genome>/; contents are not read."""
-    files = spark.read.format("binaryFile").load(f"{root}/*/*").select("path", "length")
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.regexp_replace(F.element_at(F.split("path", "/"), -2), "^genome_id=", "").alias("genome_id"), F.regexp_extract(name, r"^[^.]*(\..*)$", 1).alias("extension"), "length")
+    """genome_id, extension, length of the files in <root>/<genome>/; contents are not read.
+
+    A scan leaves empty files out, so their names come from the listing that Spark holds for it on the driver, which is as long as there are files.
+    """
+    files = spark.read.format("binaryFile").load(f"{root}/*/*")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    named = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(plain(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))).alias("path"))
+    out = named.join(files.select(plain(F.col("path")).alias("path"), "length"), "path", "left")
+    parts = F.split("path", "/")
+    return out.select(F.regexp_replace(F.element_at(parts, -2), "^genome_id=", "").alias("genome_id"), F.regexp_extract(F.element_at(parts, -1), r"^[^.]*(\..*)$", 1).alias("extension"), F.coalesce("length", F.lit(0).cast("long")).alias("length"))
