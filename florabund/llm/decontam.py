@@ -1,12 +1,13 @@
 """Benchmark decontamination by seeds on diagonals and exact edit distance.
 
-Keys of whole windows, as of a CGK embedding, meet at few edits only: at a fifth of the length a
-key that still meets is so short that it meets everything. So an item is sought by its grams: the
-runs of characters that edits leave whole lie, in a passage taken from it, on neighbouring
-diagonals (place in the text less place in the item). Diagonals are counted in bins of BIN; where
-two neighbouring bins hold enough grams of an item, the exact edit distance of the whole item to
-the text there decides. How many are enough follows from the share of edits that is accepted, so
-that recall is the same promise at every share up to it. Everything is counted in characters.
+Keys of whole windows, as of a CGK embedding, meet at few edits only (figures are in the README): at
+a fifth of the length a key that still meets is so short that it meets everything. So an item is
+sought by its grams: the runs of characters that edits leave whole lie, in a passage taken from it, on
+neighbouring diagonals (place in the text less place in the item). Diagonals are counted in bins of BIN; where
+two neighbouring bins hold enough grams of an item, and enough of them follow each other in text and item alike, the exact edit
+distance of the whole item to the text there decides. How many are enough follows from the share of edits that is accepted, so
+that recall is the same promise at every share up to it, for edits at random places and for even ones: at every sixth
+character a gram of five is left between any two. Everything is counted in characters.
 
 Documents are only mapped, so nothing is shuffled. Items are a stated list, taken in blocks that
 are broadcast.
@@ -15,6 +16,7 @@ are broadcast.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +26,22 @@ from pyspark.sql import functions as F
 
 from .common import together
 
+#: Edits that are accepted, as a share of an item's length: less than one at every fifth character, which would leave no gram of five whole.
+SHARE = 0.18
 #: Items that are broadcast at once; a longer list is taken in blocks of this many by hash.
 ITEMS_AT_ONCE = 20_000
 #: (least length of an item, characters of its grams); a shorter one takes the longest gram that some accepted edit leaves whole for sure.
-GRAMS = ((64, 6), (24, 4))
+GRAMS = ((64, 5), (24, 4))
 #: Diagonals counted together.
-BIN_BITS = 4
+BIN_BITS = 5
 BIN = 1 << BIN_BITS
 #: An item is checked where this share of the grams expected at the most edits is found.
 ENOUGH = 0.35
 #: Bytes of text taken together, so that numpy works on long arrays that fit the processor's cache.
 TOGETHER = 1 << 18
 TABLE_BITS = 20
+#: Counts of bins that are held at once.
+COUNT_BITS = 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,6 +100,18 @@ def edit_search(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def chain(places: np.ndarray, offsets: np.ndarray) -> int:
+    """Grams in the longest chain of hits that go on in the text and in the item alike; those of a passage taken from the item all lie on one."""
+    ends: list[int] = []
+    for k in offsets[np.lexsort((-offsets, places))].tolist():
+        at = bisect_left(ends, k)
+        if at == len(ends):
+            ends.append(k)
+        else:
+            ends[at] = k
+    return len(ends)
+
+
 class Items:
     """Grams of a block of items, ready to look up."""
 
@@ -128,10 +146,11 @@ class Items:
             at = np.flatnonzero(n)
             n = n[at]
             of = np.repeat(start.take(slot[at]) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            offset = off.take(of)
             # item, diagonal, place in the item
-            found.append((((owner.take(of) << diagonal_bits) + (np.repeat(at, n) - offset + self.longest)) << self.off_bits) + offset)
-        hits = np.sort(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)
+            hits = ((owner << (diagonal_bits + self.off_bits)) + ((self.longest - off) << self.off_bits) + off).take(of)
+            hits += np.repeat(at << self.off_bits, n)
+            found.append(hits)
+        hits = np.sort(self._crowded(np.concatenate(found), diagonal_bits)) if found else np.empty(0, dtype=np.int64)
         if not len(hits):
             return []
         cell = hits >> (self.off_bits + BIN_BITS)
@@ -144,15 +163,33 @@ class Items:
         hits = hits[np.repeat(high, n)]
         owner = hits >> (self.off_bits + diagonal_bits)
         diagonal = ((hits >> self.off_bits) & ((1 << diagonal_bits) - 1)) - self.longest
-        doc = np.searchsorted(first, diagonal + (hits & ((1 << self.off_bits) - 1)), "right") - 1
+        offset = hits & ((1 << self.off_bits) - 1)
+        doc = np.searchsorted(first, diagonal + offset, "right") - 1
         order = np.lexsort((diagonal, owner, doc))
-        owner, diagonal, doc = owner[order], diagonal[order], doc[order]
-        new = (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1]) | (diagonal[1:] > diagonal[:-1] + 2 * BIN)
-        edge = np.concatenate([[0], np.flatnonzero(new) + 1, [len(owner)]]) if len(owner) else np.zeros(1, dtype=np.int64)
+        owner, diagonal, doc, offset = owner[order], diagonal[order], doc[order], offset[order]
+        if not len(owner):
+            return []
+        new = (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1]) | (diagonal[1:] > diagonal[:-1] + BIN)
+        edge = np.concatenate([[0], np.flatnonzero(new) + 1, [len(owner)]])
         a, b = edge[:-1], edge[1:]
-        full = b - a >= self.enough[owner[a]]
-        a, b = a[full], b[full]
-        return list(zip(doc[a].tolist(), owner[a].tolist(), diagonal[a].tolist(), diagonal[b - 1].tolist(), strict=True))
+        run = np.repeat(np.arange(len(a)), b - a)
+        # grams of the item, and places of the text, that are hit: a syllable that comes again and again is one
+        grams = np.bincount(np.unique(run << self.off_bits | offset) >> self.off_bits, minlength=len(a))
+        full = (b - a >= self.enough[owner[a]]) & (grams >= self.enough[owner[a]])
+        out = []
+        for x, y in zip(a[full].tolist(), b[full].tolist(), strict=True):
+            if chain(diagonal[x:y] + offset[x:y], offset[x:y]) >= self.enough[owner[x]]:
+                out.append((int(doc[x]), int(owner[x]), int(diagonal[x]), int(diagonal[y - 1])))
+        return out
+
+    def _crowded(self, hits: np.ndarray, diagonal_bits: int) -> np.ndarray:
+        """The hits of bins that may hold enough with a neighbour: by a table of counts in which bins share places, so that none is lost and few others stay to be sorted."""
+        cell = hits >> (self.off_bits + BIN_BITS)
+        place = cell & ((1 << COUNT_BITS) - 1)
+        n = np.bincount(place, minlength=1 << COUNT_BITS)
+        n = n + np.maximum(np.roll(n, 1), np.roll(n, -1))
+        maybe = np.flatnonzero(n.take(place) >= self.enough.min(initial=1 << 30))
+        return hits[maybe[n.take(place[maybe]) >= self._enough(cell[maybe], diagonal_bits)]]
 
     def _enough(self, cell: np.ndarray, diagonal_bits: int) -> np.ndarray:
         return self.enough[cell >> (diagonal_bits - BIN_BITS)]
@@ -214,7 +251,7 @@ def _finders(benchmark: DataFrame, share: float) -> list:
     return [finder(sorted((r[0], t) for r in part if (t := clean(r[1])))) for part in parts]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """docs(doc_id, text) x benchmark(item_id, text) -> doc_id, item_id, edit_distance, first_byte, last_byte of each item found.
 
     An item is found where its edit distance to a part of the document is at most `share` of its
@@ -232,8 +269,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) ->
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) -> DataFrame:
-    """The rows of docs without any benchmark item, with all their columns; texts are not shuffled."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """The rows of docs without any benchmark item, with all their columns; texts are not shuffled.
+
+    Null texts, and all rows where the benchmark is empty, stay; repeated rows stay or go each for itself.
+    """
     for find in _finders(benchmark, share):
         docs = docs.select(F.struct("*").alias("row"), find(F.col("text").cast("string")).alias("found")).filter(F.size("found") == 0).select("row.*")
     return docs

@@ -747,21 +747,48 @@ def test_items_are_found_at_every_accepted_share_of_edits(n_words):
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 10)))
     text = lambda n: " ".join(word() for _ in range(n))
     raw = [text(n_words) for _ in range(40)]
-    items = decontam.Items([(k, t.encode()) for k, t in enumerate(raw)], 0.2)
-    for share in (0.05, 0.1, 0.15, 0.2):
+    items = decontam.Items([(k, t.encode()) for k, t in enumerate(raw)], decontam.SHARE)
+    for share in (0.05, 0.1, 0.15, 0.18):
         docs, want = [], []
         for k, t in enumerate(raw * 2):
             w = list(t)
             for at in rng.sample(range(len(w)), int(share * len(w))):
                 w[at] = rng.choice(["", "q", w[at] + "z"])
             docs.append(decontam.clean(f"{text(20)} {''.join(w)} {text(20)}"))
-            if decontam.edit_search(raw[k % 40], docs[-1].decode())[0] <= 0.2 * len(raw[k % 40]):
+            if decontam.edit_search(raw[k % 40], docs[-1].decode())[0] <= decontam.SHARE * len(raw[k % 40]):
                 want.append((len(docs) - 1, k % 40))
         got = {(d, m[0]): m[1] for d, of in enumerate(decontam.matches(docs, items)) for m in of}
         assert sum(w in got for w in want) >= 0.99 * len(want) > 70
         assert all(got[d, k] == decontam.edit_search(raw[k], docs[d].decode())[0] for d, k in want if (d, k) in got)
 
 
+@pytest.mark.parametrize("every", [6, 7, 8])
+@pytest.mark.parametrize("n_words", [4, 10, 20, 45])
+def test_items_are_found_at_even_edits(every, n_words):
+    rng = random.Random(every)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 10)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    raw = [text(n_words) for _ in range(40)]
+    items = decontam.Items([(k, t.encode()) for k, t in enumerate(raw)], decontam.SHARE)
+    for kind in ("replaced", "deleted", "inserted", "mixed"):
+        docs = []
+        for t in raw:
+            w = list(t)
+            for at in range(every - 1, len(w), every):
+                w[at] = {"replaced": "q", "deleted": "", "inserted": w[at] + "z"}.get(kind) or ("" if kind == "deleted" else rng.choice(["q", "", w[at] + "z"]))
+            docs.append(decontam.clean(f"{text(20)} {''.join(w)} {text(20)}"))
+        within = [k for k, t in enumerate(raw) if decontam.edit_search(t, docs[k].decode())[0] <= decontam.SHARE * len(t)]
+        found = [k for k in within if any(m[0] == k for m in decontam.matches([docs[k]], items)[0])]
+        assert len(found) >= 0.95 * len(within) > 30
+
+
+def test_chain_counts_what_goes_on_alike():
+    places, offsets = np.array([5, 6, 7, 9, 9, 20]), np.array([1, 1, 2, 0, 3, 2])
+    assert decontam.chain(places, offsets) == 3
+    assert decontam.chain(np.arange(50), np.arange(50)) == 50
+    assert decontam.chain(np.arange(50), np.zeros(50, dtype=int)) == 1
+
+
 def test_long_item_lists_go_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "ITEMS_AT_ONCE", 2)
     rng = random.Random(14)
