@@ -1,6 +1,7 @@
 """Secret scan: a random forest over candidate strings removes false positives. DataFrame and SQL functions only.
 
-Candidates are the values and other runs of 16 or more key characters of every word. Features: length, transitions
+Candidates are the values and other runs of 16 or more key characters of every word, and values of eight or more that a
+name of credentials stands before. Features: length, transitions
 between character classes, spread of characters, coverage by a dictionary of frequent words, the
 document's path or source, and the words, or text of the same word, before and after. The forest is trained on labelled
 findings, a bounded sample of `max_labelled` rows by hash (documented parameter).
@@ -23,6 +24,8 @@ from .idfilter import split_by_ids
 RUN = "[A-Za-z0-9+/_=-]{16,}"
 #: Of "name=value" the value.
 VALUE = "([=:]\"?'?)([A-Za-z0-9+/_-]{16,}={0,2})"
+#: Of "password=value", and other names of credentials, the value from eight characters on.
+NAMED = "(?i)((?:token|secret|passw|pwd|api_?key|credential)[A-Za-z_]*[\"']?[=:][\"']?)([A-Za-z0-9+/_-]{8,}={0,2})"
 MARK = "\x01"
 FEATURES = (
     "length digits uppers lowers hexes distinct dashes lower_digit digit_lower upper_digit digit_upper lower_upper upper_lower turns vowels "
@@ -40,9 +43,16 @@ def dictionary(texts: DataFrame, size: int = 300) -> list[str]:
 
 def _cut(word: Column) -> Column:
     """Text, candidate, text, candidate, ..., text: all values of a word and all runs of what is left, in their order."""
-    parts = F.split(F.regexp_replace(F.translate(word, MARK, "\x02"), VALUE, f"$1{MARK}$2{MARK}"), MARK)
-    each = F.transform(parts, lambda p, k: F.when(k % 2 == 1, F.concat(F.lit(MARK), p, F.lit(MARK))).otherwise(F.regexp_replace(p, f"({RUN})", f"{MARK}$1{MARK}")))
-    return F.split(F.array_join(each, ""), MARK)
+    parts = F.split(F.regexp_replace(F.translate(word, MARK, "\x02"), NAMED, f"$1{MARK}$2{MARK}"), MARK)
+    for pattern, put in ((VALUE, f"$1{MARK}$2{MARK}"), (f"({RUN})", f"{MARK}$1{MARK}")):
+        each = F.transform(parts, lambda p, k: F.when(k % 2 == 1, F.concat(F.lit(MARK), p, F.lit(MARK))).otherwise(F.regexp_replace(p, pattern, put)))  # noqa: B023
+        parts = F.split(F.array_join(each, ""), MARK)
+    return parts
+
+
+def _may_hold(word: Column) -> Column:
+    """Whether a word has a candidate; the names are looked for only where a value can follow."""
+    return (F.length(word) >= 12) & (word.rlike(RUN) | (word.rlike("[=:]") & word.rlike(NAMED)))
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
@@ -54,8 +64,8 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     document repeats its rows. Whole texts are read, at any length.
     """
     source = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
-    rows = docs.select("doc_id", source.alias("path"), F.split(F.col("text").cast("string"), "[ \\t\\n\\x0B\\f\\r]+").alias("ws")).filter(F.exists("ws", lambda w: (F.length(w) >= 16) & w.rlike(RUN)))
-    at = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: (F.length(F.get("ws", i)) >= 16) & F.get("ws", i).rlike(RUN))
+    rows = docs.select("doc_id", source.alias("path"), F.split(F.col("text").cast("string"), "[ \\t\\n\\x0B\\f\\r]+").alias("ws")).filter(F.exists("ws", _may_hold))
+    at = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: _may_hold(F.get("ws", i)))
     word = lambda d: F.coalesce(F.get("ws", F.col("i") + d), F.lit(""))
     out = rows.select("doc_id", "path", "ws", F.explode(at).alias("i"))
     out = out.select("doc_id", "path", F.col("i").cast("long").alias("word_index"), _cut(word(0)).alias("ms"), word(-2).alias("w2"), word(-1).alias("w1"), word(1).alias("w3"))

@@ -407,6 +407,17 @@ def test_every_secret_of_a_word(spark):
     assert all(r.text.startswith("password=<secret>;password=<secret>;password=<secret> this") for r in clean)
 
 
+def test_short_values_after_a_credential_name(spark):
+    rng = random.Random(41)
+    hexes = lambda n: "a1" + "".join(rng.choice("0123456789abcdef") for _ in range(n - 2))
+    texts = {1: 'db password=h4nter22 end', 2: 'x {"api_key":"Zx81kq0p"} y', 3: "password=short1 pwd:7chars7", 4: "width=12345678 name=abcdefgh", 5: "token=" + "y" * 3000 + ";pwd=q1w2e3r4t5"}
+    rows = secrets.candidates(docs_of(spark, texts)).collect()
+    assert {(r.doc_id, r.candidate) for r in rows} == {(1, "h4nter22"), (2, "Zx81kq0p"), (5, "y" * 3000), (5, "q1w2e3r4t5")}
+    many = {i: f"{sentence(rng, 9)} password={hexes(18)} {sentence(rng, 4)} thisisaverylongordinaryword {rng.randrange(10**15, 10**16)}" for i in range(20, 60)}
+    found = secrets.scan(docs_of(spark, many | {1: "db password=h4n7er22 end"})).filter("is_secret").collect()
+    assert {r.candidate for r in found if r.doc_id == 1} == {"h4n7er22"}
+
+
 # --- 5 language model -----------------------------------------------------------------------
 
 
