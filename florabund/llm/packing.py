@@ -270,7 +270,8 @@ def assign(pieces: DataFrame, seq_len: int = 4096, grain: int = 16) -> DataFrame
 def pack(docs: DataFrame, tokenizer: str, seq_len: int = 4096, end_id: int = 2, grain: int = 16) -> DataFrame:
     """Token pieces of all docs with their ids and their place: doc_id, start, length, doc_tokens, ids, sequence_id, offset.
 
-    An empty table gives no pieces. Every id of every document lies in exactly one piece.
+    Null and empty texts give the end id alone; rows that repeat a doc_id, or have none, are packed each for itself; texts of any length are read whole; other columns are
+    ignored, whatever their names. An empty table gives no pieces. Every id of every document lies in exactly one piece.
     """
     pieces = stored(tokenize(docs, tokenizer, seq_len, end_id, narrow=True).withColumn("piece", F.monotonically_increasing_id()))
     placed = assign(pieces.drop("ids"), seq_len, grain)  # ids are shuffled once, not with every step of the plan

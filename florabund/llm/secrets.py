@@ -152,6 +152,7 @@ def scan(docs: DataFrame, words_from: DataFrame | None = None, labelled: DataFra
 def redact(docs: DataFrame, findings: DataFrame, mask: str = "<secret>") -> DataFrame:
     """docs with the secrets of findings(doc_id, candidate, is_secret) masked in text and n_chars counted anew; all rows and columns stay.
 
+    A null text stays null; of rows that repeat a doc_id, or have none, each is masked with the secrets found in any of them. Texts of any length are read whole.
     Only rows that may have a secret are joined; the others pass through without a shuffle.
     """
     held = stored(findings.filter("is_secret").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("candidate").alias("__secrets")))

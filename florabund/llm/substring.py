@@ -7,8 +7,8 @@ a passage has the same windows wherever it stands. A run of WINDOW + SPACING - 1
 share holds a common window for certain.
 
 Flow, the same for both kinds: (1) a paragraph gets few keys: a line as many of one MinHash row as
-the recall wanted asks for, a window the hash of its first PREFIX words (in so short a window a
-changed word further on than that leaves a similarity over 0.8, one before it does not). Keys that only one
+the recall wanted asks for, a window the hash of its first PREFIX words (of one changed word in so short a
+window only those at the first two or the last two leave a similarity over 0.8: the last are met, the first are not). Keys that only one
 document has are dropped by a partial aggregate, before any join and without a text. (2) Paragraphs that
 share a key with other words meet in MinHash bands tuned to the recall, candidates are verified by
 the exact Jaccard similarity of their word shingles, and links become components
