@@ -116,6 +116,21 @@ def test_keep_clusters_never_keeps_the_never_abundant(matrix):
     assert {r[0] for r in da.keep_da_clusters(matrix, 2, 0).collect()} == {"KOG02", "KOG03", "KOG06"}
 
 
+# fixed values: a rooted tree of fifteen genomes and the order of its leaves
+ROOTED = (
+    "((((((((10003:0.04690938,10013:0.04690938):0.00136799,10011:0.04827737):0.02818207,10008:0.07645944):0.01327017,((10001:0.00000000,10006:0.00000000):0.05520489,"
+    "(10002:0.02682636,10012:0.02682636):0.02837854):0.03452472):0.10405049,10010:0.19378010):0.01306381,(10007:0.05937581,(10004:0.01387226,10015:0.01387226):0.04550354):0.14746810):0.10060151,"
+    "(10005:0.25790658,10009:0.25790658):0.04953884):1.71310719,10184:0.00000000);"
+)
+ROOTED_ORDER = [10003, 10013, 10011, 10008, 10001, 10006, 10002, 10012, 10010, 10007, 10004, 10015, 10005, 10009, 10184]
+
+
+def test_golden_leaf_order(spark):
+    leaves = idspace.tree_leaf_order(table(spark, "tree_id string, newick string", ("t", ROOTED)))
+    assert [int(r.leaf_id) for r in leaves.orderBy("ord").collect()] == ROOTED_ORDER
+    assert [r.ord for r in leaves.orderBy("ord").collect()] == list(range(1, 16))
+
+
 def test_tree_order_and_justify(spark):
     newick = "((10003:0.1,10013:0.2)90:0.1,(10011:1e-3, 10008:0.5):0.2,10001);"
     leaves = idspace.tree_leaf_order(table(spark, "tree_id string, newick string", ("t", newick)))
