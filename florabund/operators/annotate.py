@@ -106,21 +106,28 @@ def fix_fasta(lines: DataFrame) -> DataFrame:
     return lines.withColumn("line", T.fasta_id("line"))
 
 
+def _value_before(rows: DataFrame, levels: int) -> DataFrame:
+    """rows(key, value) with before: the value of the next smaller key. It is found within a slice of 65,536 neighbouring keys, or as the
+    last value of the slice before, which is found alike among the slices; the window without a partition has a row for 65,536^levels keys."""
+    cut = rows.withColumn("slice", F.expr(f"key div {1 << 16}"))
+    w = Window.partitionBy("slice").orderBy("key")
+    cut = cut.withColumns({"before": F.lag("value").over(w), "rank": F.row_number().over(w)})
+    ends = cut.groupBy(F.col("slice").alias("key")).agg(F.max_by("value", "key").alias("value"))
+    if levels > 1:
+        ends = _value_before(ends, levels - 1)
+    else:
+        ends = ends.withColumn("before", F.lag("value").over(Window.orderBy("key")))
+    ends = ends.select(F.col("key").alias("slice"), F.col("before").alias("slice_before"))
+    return cut.join(ends, "slice").select("key", "value", F.when(F.col("rank") == 1, F.col("slice_before")).otherwise(F.col("before")).alias("before"))
+
+
 def contiguous_blocks(rows: DataFrame) -> DataFrame:
     """(genome_id, n_blocks) of rows(genome_id, ord) whose rows come in more than one run.
 
-    A row begins a run where the row before it has another genome. The row before is found within a
-    slice of neighbouring ords, or as the last row of the slice before, so no task sorts all rows.
+    A row begins a run where the row before it has another genome; no task sorts all rows, nor the ends of all slices.
     """
-    slices = 1 << 16
-    cut = rows.select("genome_id", "ord").withColumn("slice", F.expr(f"ord div {slices}"))
-    w = Window.partitionBy("slice").orderBy("ord")
-    cut = cut.withColumns({"before": F.lag("genome_id").over(w), "rank": F.row_number().over(w)})
-    # one row per slice of 65,536 rows
-    ends = cut.groupBy("slice").agg(F.max_by("genome_id", "ord").alias("last"))
-    ends = ends.select("slice", F.lag("last").over(Window.orderBy("slice")).alias("slice_before"))
-    runs = cut.join(ends, "slice").withColumn("before", F.when(F.col("rank") == 1, F.col("slice_before")).otherwise(F.col("before")))
-    return runs.groupBy("genome_id").agg(F.count_if(~F.col("before").eqNullSafe(F.col("genome_id"))).alias("n_blocks")).filter("n_blocks > 1")
+    runs = _value_before(rows.select(F.col("ord").alias("key"), F.col("genome_id").alias("value")), 2)
+    return runs.groupBy(F.col("value").alias("genome_id")).agg(F.count_if(~F.col("before").eqNullSafe(F.col("value"))).alias("n_blocks")).filter("n_blocks > 1")
 
 
 def file_inventory(files: DataFrame, genomes: DataFrame, extensions: list[str]) -> DataFrame:

@@ -108,15 +108,16 @@ def quantile_adjusted(arrays: DataFrame, phi: float | None = None) -> DataFrame:
 
 
 def _likelihoods(classes: list[pd.Series], phi: np.ndarray) -> np.ndarray:
-    """Conditional log-likelihood of each row at each phi."""
-    out = np.zeros((len(classes[0]), len(phi)))
-    r = 1 / phi
+    """Conditional log-likelihood of each row at its phi (rows x points); rows of equally many samples are taken together, in blocks of bounded size."""
+    out, r = np.zeros(phi.shape), 1 / phi
     for ys in classes:
-        for i, y in enumerate(ys):
-            y = np.asarray(y, dtype=float)
-            n = len(y)
-            if n > 1:
-                out[i] += lgamma(y[:, None] + r).sum(axis=0) + lgamma(n * r) - lgamma(y.sum() + n * r) - n * lgamma(r)
+        n = np.fromiter((0 if y is None else len(y) for y in ys), dtype=np.int64, count=len(ys))
+        for size in np.unique(n[n > 1]).tolist():
+            rows = np.flatnonzero(n == size)
+            step = max(1, (1 << 20) // (size * phi.shape[1]))
+            for at in (rows[k : k + step] for k in range(0, len(rows), step)):
+                y, q = np.array([ys.iloc[k] for k in at], dtype=float), r[at]
+                out[at] += lgamma(y[:, :, None] + q[:, None, :]).sum(axis=1) + lgamma(size * q) - lgamma(y.sum(axis=1)[:, None] + size * q) - size * lgamma(q)
     return out
 
 
@@ -125,15 +126,10 @@ def _with_likelihoods(rows: DataFrame, deltas: Column) -> DataFrame:
 
     @F.pandas_udf("array<double>")
     def grid(base: pd.Series, other: pd.Series, at: pd.Series) -> pd.Series:
-        out, keys = [], np.array([np.asarray(d).tobytes() for d in at], dtype=object)
-        same = len(set(keys)) == 1
-        if same and len(at):  # one grid for all
-            d = np.asarray(at.iloc[0], dtype=float)
-            return pd.Series(list(_likelihoods([base, other], d / (1 - d))))
-        for b, o, d in zip(base, other, at, strict=True):
-            d = np.asarray(d, dtype=float)
-            out.append(_likelihoods([pd.Series([b]), pd.Series([o])], d / (1 - d))[0])
-        return pd.Series(out)
+        if not len(at):
+            return pd.Series([], dtype=object)
+        d = np.array(at.tolist(), dtype=float)
+        return pd.Series(list(_likelihoods([base, other], d / (1 - d))))
 
     return rows.withColumn("ll", grid("base", "other", deltas))
 
