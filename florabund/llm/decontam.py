@@ -6,8 +6,8 @@ sought by its grams: the runs of characters that edits leave whole lie, in a pas
 neighbouring diagonals (place in the text less place in the item). Diagonals are counted in bins of BIN; where
 two neighbouring bins hold enough grams of an item, and enough of them follow each other in text and item alike, the exact edit
 distance of the whole item to the text there decides. How many are enough follows from the share of edits that is accepted, so
-that recall is the same promise at every share up to it, for edits at random places and for even ones: at every sixth
-character a gram of five is left between any two. Everything is counted in characters.
+that recall is the same promise at every share up to it, for edits at random places and for even ones: at every seventh
+character a gram of six is left between any two. Everything is counted in characters.
 
 Documents are only mapped, so nothing is shuffled. Items are a stated list, taken in blocks that
 are broadcast.
@@ -26,17 +26,17 @@ from pyspark.sql import functions as F
 
 from .common import together
 
-#: Edits that are accepted, as a share of an item's length: less than one at every fifth character, which would leave no gram of five whole.
-SHARE = 0.18
+#: Edits that are accepted, as a share of an item's length: less than one at every sixth character, which would leave no gram of six whole.
+SHARE = 0.16
 #: Items that are broadcast at once; a longer list is taken in blocks of this many by hash.
 ITEMS_AT_ONCE = 20_000
 #: (least length of an item, characters of its grams); a shorter one takes the longest gram that some accepted edit leaves whole for sure.
-GRAMS = ((64, 5), (24, 4))
+GRAMS = ((64, 6), (24, 4))
 #: Diagonals counted together.
 BIN_BITS = 5
 BIN = 1 << BIN_BITS
 #: An item is checked where this share of the grams expected at the most edits is found.
-ENOUGH = 0.35
+ENOUGH = 0.3
 #: Bytes of text taken together, so that numpy works on long arrays that fit the processor's cache.
 TOGETHER = 1 << 18
 TABLE_BITS = 20
@@ -144,12 +144,15 @@ class Items:
             slot = slots(text, q)
             n = count.take(slot)
             at = np.flatnonzero(n)
-            n = n[at]
-            of = np.repeat(start.take(slot[at]) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            # item, diagonal, place in the item
-            hits = ((owner << (diagonal_bits + self.off_bits)) + ((self.longest - off) << self.off_bits) + off).take(of)
-            hits += np.repeat(at << self.off_bits, n)
-            found.append(hits)
+            at = at[np.argsort(-n[at].astype(np.int16), kind="stable")]  # places of many grams first
+            n, first_of, shifted = n[at], start.take(slot[at]), at << self.off_bits
+            # item, diagonal, place in the item, less the place in the text
+            base = (owner << (diagonal_bits + self.off_bits)) + ((self.longest - off) << self.off_bits) + off
+            for k in range(int(n.max(initial=0))):
+                m = int(np.searchsorted(-n, -k, side="left"))  # places with more than k
+                hits = base.take(first_of[:m] + k)
+                hits += shifted[:m]
+                found.append(hits)
         hits = np.sort(self._crowded(np.concatenate(found), diagonal_bits)) if found else np.empty(0, dtype=np.int64)
         if not len(hits):
             return []
