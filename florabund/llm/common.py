@@ -6,7 +6,7 @@ import functools
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,7 +77,7 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def together(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
+def together(texts: Iterable[bytes], size: int) -> Iterator[list[bytes]]:
     """Neighbouring texts in lists of about `size` bytes."""
     part: list[bytes] = []
     held = 0

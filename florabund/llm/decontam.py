@@ -41,7 +41,7 @@ ENOUGH = 0.3
 TOGETHER = 1 << 18
 TABLE_BITS = 20
 #: Counts of bins that are held at once.
-COUNT_BITS = 20
+COUNT_BITS = 19
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -245,7 +245,7 @@ def _finders(benchmark: DataFrame, share: float) -> list:
             ready = Items(held.value, share)
             names = ("item_id", "edit_distance", "first_byte", "last_byte")
             for texts in batches:
-                found = [m for part in together([clean(t) for t in texts], TOGETHER) for m in matches(part, ready)]
+                found = [m for part in together((clean(t) for t in texts), TOGETHER) for m in matches(part, ready)]
                 yield pd.Series([[dict(zip(names, m, strict=True)) for m in of] for of in found])
 
         return find.asNondeterministic()  # else a filter would run it a second time
