@@ -48,7 +48,7 @@ class WordHash(dict):
     """word -> 64-bit hash."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 150_000:
             self.clear()
         v = self[w] = xxhash.xxh64_intdigest(w)
         return v

@@ -29,7 +29,7 @@ from .common import stored, vectorized
 from .wordpiece import byte_table
 
 #: Distinct words kept in a worker's memory with their ids; the memory is emptied when full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Slices of a class that are ranked apart; a fixed number, so that the places do not depend on the session.
 SLICES = 64
 #: Words for which lower-casing, composition and the split into letters, digits and signs are the same in Python and in the tokenizer.
