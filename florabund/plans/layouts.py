@@ -185,15 +185,17 @@ def s17_read_copy_number(s: Star) -> DataFrame:
 @query("SELECT genome_id, group_id, log_fc, fdr FROM tags")
 def k2_write_tags(s: Star) -> DataFrame:
     path = new_folder(s.spark, "tests")
-    writers.write_by_genome(s.tags(), path)
-    return s.spark.read.parquet(path).select("genome_id", "group_id", "log_fc", "fdr")
+    tags = s.tags()
+    writers.write_by_genome(tags, path)
+    return readers.read_by_genome(s.spark, path, tags.schema).select("genome_id", "group_id", "log_fc", "fdr")
 
 
 @query("SELECT genome_id, group_id, code FROM da")
 def k3_write_da_vec(s: Star) -> DataFrame:
     path = new_folder(s.spark, "codes")
-    writers.write_by_genome(s.da(), path)
-    return s.spark.read.parquet(path).select("genome_id", "group_id", "code")
+    codes = s.da()
+    writers.write_by_genome(codes, path)
+    return readers.read_by_genome(s.spark, path, codes.schema).select("genome_id", "group_id", "code")
 
 
 _KEEP = "SELECT group_id FROM da GROUP BY 1 HAVING count(*) FILTER (code = 1) * 100.0 / (SELECT count(*) FROM genomes) >= 20"
@@ -202,8 +204,9 @@ _KEEP = "SELECT group_id FROM da GROUP BY 1 HAVING count(*) FILTER (code = 1) *
 @query(f"WITH keep AS ({_KEEP}) SELECT genome_id, group_id, code, group_id IN (SELECT group_id FROM keep) AS filtered FROM dense")
 def k6_write_da_columns(s: Star) -> DataFrame:
     path = new_folder(s.spark, "columns")
-    writers.write_da_columns(s.da(), s.genomes(), s.cluster_groups(), da.da_percent_filter(s.da(), {1: (20, True)}, _n(s)), path)
-    both = [s.spark.read.parquet(f"{path}/{kind}").withColumn("kind", F.lit(kind)) for kind in ("full", "filtered")]
+    codes = s.da()
+    writers.write_da_columns(codes, s.genomes(), s.cluster_groups(), da.da_percent_filter(codes, {1: (20, True)}, _n(s)), path)
+    both = [readers.read_by_genome(s.spark, f"{path}/{kind}", codes.schema).withColumn("kind", F.lit(kind)) for kind in ("full", "filtered")]
     return both[0].unionByName(both[1]).groupBy("genome_id", "group_id", "code").agg(F.bool_or(F.col("kind") == "filtered").alias("filtered"))
 
 
@@ -235,8 +238,9 @@ def k11_write_annotation(s: Star) -> DataFrame:
 @query("SELECT genome_id, group_id, gene_id FROM cluster_map")
 def k12_split_cluster_map(s: Star) -> DataFrame:
     path = new_folder(s.spark, "clusters")
-    writers.split_cluster_map(s.cluster_map(), path)
-    return s.spark.read.parquet(path).select("genome_id", "group_id", "gene_id")
+    clusters = s.cluster_map()
+    writers.split_cluster_map(clusters, path)
+    return readers.read_by_genome(s.spark, path, clusters.schema).select("genome_id", "group_id", "gene_id")
 
 
 @query("SELECT CAST(genome_id AS VARCHAR) AS genome_id, name, label, row_number() OVER (ORDER BY ord) - 1 AS place FROM genomes JOIN leaves ON leaf_id = CAST(genome_id AS VARCHAR)")
@@ -287,8 +291,9 @@ def k8_write_cluster_matrix(s: Star) -> DataFrame:
 @query("SELECT genome_id, group_id, CASE WHEN genome_id % 5 = 0 AND code = 0 THEN 1 ELSE code END AS code FROM da")
 def u11_upsert_in_place(s: Star) -> DataFrame:
     path = new_folder(s.spark, "codes")
-    writers.write_by_genome(s.da(), path)
-    held = lambda: s.spark.read.parquet(path).select("genome_id", "group_id", "code")
+    codes = s.da()
+    writers.write_by_genome(codes, path)
+    held = lambda: readers.read_by_genome(s.spark, path, codes.schema).select("genome_id", "group_id", "code")
     new = held().filter("genome_id % 5 = 0 and code = 0").withColumn("code", F.lit(1))
     writers.upsert_codes(held(), new, s.genomes(), s.cluster_groups(), path)
     return held()

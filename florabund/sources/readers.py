@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import na_to_null
 
@@ -15,6 +16,11 @@ def _genome() -> Column:
     return F.regexp_replace(F.element_at(F.split(F.col(PATH), "/"), -2), "^genome_id=", "")
 
 
+def read_by_genome(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What write_by_genome() wrote, in the columns of schema, genome_id among them; no rows where none were written, as no file then tells the columns."""
+    return spark.read.schema(schema).parquet(path).select(*[f"`{c}`" for c in schema.names])
+
+
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
     """genome_id, file, ord, line of text files, read in splits. ord grows along a file, from 0 in one read alone and by 1 within a split.
 

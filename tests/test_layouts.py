@@ -120,6 +120,26 @@ def test_cluster_matrix_has_kept_clusters_only(spark, tmp_path):
     assert readers.read_wide(spark, str(tmp_path / "none"), "genome_id").count() == 0
 
 
+def test_filter_that_no_group_passes(spark, tmp_path):
+    from florabund.plans.layouts import k6_write_da_columns  # noqa: F401  registers it
+    from florabund.plans.queries import QUERIES
+
+    tables = {
+        "nation": ([(0, "N0", 0), (1, "N1", 1)], "n_nationkey int, n_name string, n_regionkey int"),
+        "supplier": ([(5, 0)], "s_suppkey int, s_nationkey int"),
+        "part": ([(7, "b", "t"), (8, "b", "u")], "p_partkey int, p_brand string, p_type string"),
+        "orders": ([(9, "1-URGENT")], "o_orderkey int, o_orderpriority string"),
+        "lineitem": ([(9, 7, 5, 10, "O")], "l_orderkey int, l_partkey int, l_suppkey int, l_quantity int, l_linestatus string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = QUERIES["k6_write_da_columns"](spark, str(tmp_path))
+    assert rows_of(got, "genome_id", "group_id", "code", "filtered") == [(0, "b t", -2, False), (0, "b u", -3, False), (1, "b t", -3, False), (1, "b u", -3, False)]
+    spark.createDataFrame([], tables["lineitem"][1]).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("k2_write_tags", "k3_write_da_vec", "k12_split_cluster_map", "u11_upsert_in_place"):
+        assert QUERIES[name](spark, str(tmp_path)).count() == 0, name
+
+
 def test_upsert_leaves_other_genomes_files_alone(spark, tmp_path):
     path = str(tmp_path / "codes")
     df = spark.createDataFrame([("a", "k1", 0), ("a", "k2", 1), ("b", "k1", -1), ("c", "k1", 0)], "genome_id string, group_id string, code int")
