@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word pattern [^\x20\x09-\x0D]+; bytes.split() cuts at exactly these.
 SPACE = b" \t\n\x0b\x0c\r"
+#: Bytes of texts that go to a Python worker at once; Spark holds about four times as many a task on its side.
+BATCH_BYTES = 4 << 20
 
 
 def vectorized(kind: str, once: bool = False) -> Callable:
@@ -31,6 +35,32 @@ def vectorized(kind: str, once: bool = False) -> Callable:
     return wrap
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends Python workers at most BATCH_BYTES at once, unless it has a setting of its own; results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if re.fullmatch(r"\d+b", spark.conf.get(key)):  # the default as Spark writes it
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Memory that this Python worker has freed goes back to the system, which else keeps it for the worker while it is idle."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def tidy(task: Callable) -> Callable:
+    """A generator of a Python task that ends with give_back()."""
+
+    @functools.wraps(task)
+    def run(batches):  # noqa: ANN001, ANN202  annotated as the task is
+        yield from task(batches)
+        give_back()
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

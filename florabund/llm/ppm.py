@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, together
+from .common import give_back, small_batches, stored, together
 
 #: Bytes of the longest context; a gram of one more fits 64 bits up to 7.
 ORDER = 5
@@ -73,7 +73,7 @@ def _gram_counts(texts: list[bytes], train: list[bool]) -> tuple[np.ndarray, np.
         part = [t for t, x in zip(texts, train, strict=True) if x == is_train]
         for some in together(part, 2 << 20):
             k, n = np.unique(grams(some)[0], return_counts=True)
-            keys.append(k), counts.append(n if is_train else np.zeros(len(n), dtype=np.int64))
+            keys.append(k), counts.append(n.astype(np.int32) if is_train else np.zeros(len(n), dtype=np.int32))
     return _summed(keys, counts) if keys else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
 
 
@@ -142,8 +142,11 @@ def read_blocks(docs: DataFrame, ranges: int) -> DataFrame:
                 if size >= BLOCK_BYTES:
                     yield from _block_rows(ids, train, texts, number, ranges)
                     ids, train, texts, size, number = [], [], [], 0, number + 1
+                    give_back()
         if texts:
             yield from _block_rows(ids, train, texts, number, ranges)
+        ids, train, texts = [], [], []
+        give_back()
 
     return docs.select("doc_id", "text", "train").mapInArrow(blocks, "block long, range int, blob binary")
 
@@ -153,6 +156,8 @@ def _sum_range(packets: pa.Table) -> pa.Table:
     parts = [_unzip(x.as_py()) for x in packets.column("blob")]
     gram, n = _summed([p[0] for p in parts], [p[1].astype(np.int64) for p in parts])
     _, times = _summed([p[2] for p in parts], [p[3].astype(np.int64) for p in parts])
+    del parts
+    give_back()
     kind = np.concatenate([np.full(len(gram), GRAM), [WORD, DISTINCT]]).astype(np.int32)
     return pa.table({"kind": pa.array(kind), "key": pa.array(np.concatenate([gram, [0, 0]])), "n": pa.array(np.concatenate([n, [times.sum(), (times > 0).sum()]]).astype(np.int64))})
 
@@ -166,6 +171,8 @@ def _answer_range(packets: pa.Table, values: pa.Table) -> pa.Table:
     word, times = _summed([p[2] for p in parts], [p[3].astype(np.int64) for p in parts]) if parts else (key, key)
     parts = [(p[0], p[2]) for p in parts]
     answers = [_zip((value[np.searchsorted(key, p[0])], times[np.searchsorted(word, p[1])])) for p in parts]
+    del parts, key, value, order, word, times
+    give_back()
     return pa.table({"block": packets.column("block"), "range": packets.column("range"), "answer": pa.array(answers, type=pa.binary())})
 
 
@@ -209,21 +216,18 @@ class Lookup:
         order = np.argsort(keys, kind="stable")
         self.keys, self.values = keys[order], values[order]
         self.shift = np.uint64(64 - max(10, int(len(keys) * 4).bit_length()))
-        self.slot_key = np.full(1 << int(64 - int(self.shift)), -1, dtype=np.int64)
-        self.slot_value = np.zeros(len(self.slot_key))
-        at = self.slot(self.keys)
-        self.slot_key[at], self.slot_value[at] = self.keys, self.values
+        self.place = np.zeros(1 << int(64 - int(self.shift)), dtype=np.int32)
+        self.place[self.slot(self.keys)] = np.arange(len(self.keys), dtype=np.int32)
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = self.slot(keys)
-        out = self.slot_value[at]
-        miss = np.flatnonzero(self.slot_key[at] != keys)
+        at = self.place[self.slot(keys)]
+        miss = np.flatnonzero(self.keys[at] != keys)
         if len(miss):
-            out[miss] = self.values[np.searchsorted(self.keys, keys[miss])]
-        return out
+            at[miss] = np.searchsorted(self.keys, keys[miss])
+        return self.values[at].astype(float)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -235,6 +239,7 @@ def score(docs: DataFrame) -> DataFrame:
     Repeated rows count and are scored each for itself; a null doc_id is scored like others. Texts of any length are read whole,
     other columns are ignored, whatever their names, and an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.col("train"), F.lit(False)).alias("train"))
     size, ends = docs.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()
     ranges = max(4, (size or 0) // RANGE_BYTES)
@@ -254,7 +259,7 @@ def score(docs: DataFrame) -> DataFrame:
         by = [_unzip(a.as_py()) for _, a in sorted(zip(answers.column("range").to_pylist(), answers.column("answer"), strict=True), key=lambda x: x[0])]
         # grams and words in the order in which the packets held them
         gram = _gram_counts(texts, train)[0]
-        look = Lookup(gram[in_ranges(gram, ranges)[0]], np.concatenate([a[0] for a in by]).astype(float))
+        look = Lookup(gram[in_ranges(gram, ranges)[0]], np.concatenate([a[0] for a in by]))
         of, key = _numbered(texts)
         count = np.empty(len(key), dtype=np.int64)
         count[in_ranges(key, ranges)[0]] = np.concatenate([a[1] for a in by])
@@ -267,6 +272,8 @@ def score(docs: DataFrame) -> DataFrame:
         rows["n_known"] = [int((count[o] > 0).sum()) + (ends > 0) for o in of]
         rows["base_score"] = [float(each[o].sum()) + end_value for o in of]
         rows["doc_id"], rows["train"], rows["train_tokens"] = ids, train, [total] * len(ids)
+        del texts, by, gram, look, of, key, count, each, part, codes, starts
+        give_back()
         return pa.table(rows, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -888,3 +889,25 @@ def test_sql_twins(spark, name):
     order = sorted(df.columns)
     got = sorted(tuple(map(str, r)) for r in df.select(order).collect())
     assert got == sorted(tuple(map(str, r)) for r in c.execute(f"SELECT {', '.join(order)} FROM ({ORACLES[name]})").fetchall())
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    """A batch is held about four times on Spark's side and once or twice in the worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a word "), 1500).alias("text"), F.lit(True).alias("train")).coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    for operator in SENDS_TEXTS:
+        spark.conf.unset(key)
+        operator(docs.limit(0))
+        assert max(r.n for r in docs.select("text").mapInArrow(sizes, "n long").collect()) < 5 << 20
+    spark.conf.set(key, "1m")
+    SENDS_TEXTS[0](docs.limit(0))
+    assert spark.conf.get(key) == "1m"  # a setting of the user's stays
+    spark.conf.unset(key)
+
+
+SENDS_TEXTS = [ppm.score]
