@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import together
+from .common import small_batches, tidy, together
 
 #: Edits that are accepted, as a share of an item's length: less than one at every sixth character, which would leave no gram of six whole.
 SHARE = 0.16
@@ -233,6 +233,7 @@ FOUND = "array<struct<item_id: long, edit_distance: long, first_byte: long, last
 
 def _finders(benchmark: DataFrame, share: float) -> list:
     """A function of texts for each block of at most about ITEMS_AT_ONCE items: the matches in a text."""
+    small_batches(benchmark.sparkSession)
     sc = benchmark.sparkSession.sparkContext
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     blocks = max(1, math.ceil(bench.count() / ITEMS_AT_ONCE))
@@ -241,6 +242,7 @@ def _finders(benchmark: DataFrame, share: float) -> list:
         held = sc.broadcast(items)
 
         @F.pandas_udf(FOUND)
+        @tidy
         def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             ready = Items(held.value, share)
             names = ("item_id", "edit_distance", "first_byte", "last_byte")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, together, vectorized
+from .common import small_batches, stored, tidy, together, vectorized
 from .components import components
 
 #: 21 bands of 6: a pair at 0.85 shares none with probability 5e-5, a pair at 0.5 shares one with 0.28.
@@ -124,6 +124,7 @@ def signature(text: str, size: int = SAMPLE, width: int = ROWS) -> Column:
     """struct(n_shingles, set_hash, bands, sketch) of a text column; nulls and 0 for texts without words."""
 
     @F.pandas_udf("n_shingles long, set_hash binary, bands array<long>, sketch array<long>")
+    @tidy
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = WordHash()
         for texts in batches:
@@ -176,6 +177,7 @@ def short_signature(text: str, size: int = SAMPLE, width: int = ROWS) -> Column:
     """signature() for columns of short texts, cleaned to single spaces and lower case, with five words or more; equal texts are the class."""
 
     @F.pandas_udf("n_shingles long, set_hash binary, bands array<long>, sketch array<long>")
+    @tidy
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = WordHash()
         for texts in batches:
@@ -189,6 +191,7 @@ def short_signature(text: str, size: int = SAMPLE, width: int = ROWS) -> Column:
 
 
 @vectorized("binary")
+@tidy
 def shingle_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     known = WordHash()
     for texts in batches:
@@ -196,6 +199,7 @@ def shingle_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 @vectorized("array<long>")
+@tidy
 def fine_sketch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     known = WordHash()
     for texts in batches:
@@ -345,6 +349,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SAMPLE, widt
     at `percent` is linked; with short, texts are paragraphs of so few words that their sets can be carried; of equal sets the smallest doc_id stays. Texts of any length are read
     whole, other columns are ignored, whatever their names, and an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(docs.select("doc_id", sign("text", size, width).alias("s")).select("doc_id", "s.*"))
     full = signed.filter("n_shingles > 0 and doc_id is not null")

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, vectorized
+from .common import small_batches, stored, tidy, vectorized
 from .wordpiece import byte_table
 
 #: Distinct words kept in a worker's memory with their ids; the memory is emptied when full.
@@ -136,9 +136,11 @@ def tokenize(docs: DataFrame, tokenizer: str, seq_len: int = 4096, end_id: int =
     empty texts give the end id alone. Repeated doc_ids give pieces each. Texts of any length are read
     whole and cut. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     width = 4 * seq_len
     end = np.array([end_id], dtype="<u4").tobytes()
 
+    @tidy
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(tokenizer)
         for batch in batches:

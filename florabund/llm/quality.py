@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, vectorized
+from .common import SPACE, small_batches, stored, vectorized
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 #: rule -> (SQL over the base columns, ladder of cutoffs from lenient to strict; a document is rejected above it).
@@ -75,6 +75,7 @@ def base_counts(text: pd.Series) -> pd.DataFrame:
 
 def measure(docs: DataFrame, *carry: Column) -> DataFrame:
     """doc_id, stratum, the base counts and base_failed for every row of docs(doc_id, text, lang), besides what is carried; a null lang is a stratum of its own."""
+    small_batches(docs.sparkSession)
     out = docs.select("doc_id", F.coalesce(F.concat(F.lit("lang "), F.col("lang").cast("string")), F.lit("no lang")).alias("stratum"), base_counts(F.col("text").cast("string")).alias("c"), *carry).select("*", "c.*").drop("c")
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 

@@ -910,4 +910,4 @@ def test_texts_go_to_workers_in_small_batches(spark):
     spark.conf.unset(key)
 
 
-SENDS_TEXTS = [ppm.score]
+SENDS_TEXTS = [ppm.score, lambda d: packing.tokenize(d, TOKENIZER), lambda d: quality.measure(d.withColumn("lang", F.lit("en")))]
