@@ -146,6 +146,12 @@ def short_signatures(texts: list[bytes], known: WordHash, size: int, width: int,
 
     The same values as of shingles(), sample() and so on; repeated shingles count in the number.
     """
+    hashes, n = short_hashes(texts, known, shingle)
+    return n, *short_samples(hashes, n, size, width)
+
+
+def short_hashes(texts: list[bytes], known: WordHash, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the shingles of all texts in order, their number in each text)."""
     found = [t.split() for t in texts]
     sizes = np.array([len(w) for w in found])
     h = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(found)), dtype=np.uint64, count=int(sizes.sum()))
@@ -157,35 +163,64 @@ def short_signatures(texts: list[bytes], known: WordHash, size: int, width: int,
     for k in range(1, shingle):  # windows that reach over the end of a text
         at = ends[:-1] - k
         inside[at[at < len(inside)]] = False
-    low = (mix(out[inside] + np.uint64(shingle)) >> np.uint64(32)).astype(np.uint32)
-    n = sizes - shingle + 1
+    return mix(out[inside] + np.uint64(shingle)), sizes - shingle + 1
+
+
+def short_samples(hashes: np.ndarray, n: np.ndarray, size: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(band keys, odd sketches) of short_hashes()."""
+    low = (hashes >> np.uint64(32)).astype(np.uint32)
     first = np.concatenate([[0], np.cumsum(n)[:-1]])
-    best = np.empty((len(texts), size), dtype=np.uint32)
+    best = np.empty((len(n), size), dtype=np.uint32)
     for k in range(size):
         best[:, k] = np.minimum.reduceat((low ^ _B[k]) * _A[k], first)
-    rows = best[:, : size // width * width].reshape(len(texts), -1, width).astype(np.uint64)
+    rows = best[:, : size // width * width].reshape(len(n), -1, width).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, rows.shape[1] + 1, dtype=np.uint64) * _P, rows.shape[:2])
     for k in range(width):
         key = mix(key + rows[:, :, k]) * _P
     at = (mix(best.astype(np.uint64) * _P + _PLACE[:size]) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    flat = np.bincount((at + np.arange(len(texts))[:, None] * SKETCH_BITS).ravel(), minlength=len(texts) * SKETCH_BITS) & 1
-    sketch = np.packbits(flat.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(texts), -1)
-    return n, key.view(np.int64), sketch
+    flat = np.bincount((at + np.arange(len(n))[:, None] * SKETCH_BITS).ravel(), minlength=len(n) * SKETCH_BITS) & 1
+    sketch = np.packbits(flat.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(n), -1)
+    return key.view(np.int64), sketch
+
+
+def short_sets(hashes: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The sets of short_hashes(), each as the bytes of shingles()."""
+    text = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((hashes, text))
+    hashes = hashes[order]  # text is sorted as it is
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    raw = hashes[new].tobytes()
+    edge = np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=len(n)))]) * 8
+    return [raw[a:b] for a, b in itertools.pairwise(edge.tolist())]
+
+
+def parities(sets: list[bytes], bits: int = SKETCH_BITS) -> np.ndarray:
+    """Parity bitmaps of whole sets, a row each: two of them differ in no more bits than the sets have elements of their own."""
+    out = np.empty((len(sets), bits // 64), dtype=np.uint64)
+    for k in range(0, len(sets), 1024):
+        part = sets[k : k + 1024]
+        at = (np.frombuffer(b"".join(part), dtype=np.uint64) % np.uint64(bits)).astype(np.int64)
+        at += np.repeat(np.arange(len(part)), [len(x) // 8 for x in part]) * bits
+        odd = (np.bincount(at, minlength=len(part) * bits) & 1).astype(np.uint8)
+        out[k : k + 1024] = np.packbits(odd, bitorder="little").view(np.uint64).reshape(len(part), -1)
+    return out
 
 
 def short_signature(text: str, size: int = SAMPLE, width: int = ROWS) -> Column:
-    """signature() for columns of short texts, cleaned to single spaces and lower case, with five words or more; equal texts are the class."""
+    """signature() for columns of short texts, cleaned to single spaces and lower case, with five words or more; equal texts are the class. The sets are carried along as shingles."""
 
-    @F.pandas_udf("n_shingles long, set_hash binary, bands array<long>, sketch array<long>")
+    @F.pandas_udf("n_shingles long, set_hash binary, bands array<long>, sketch array<long>, shingles binary")
     @tidy
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = WordHash()
         for texts in batches:
             parts = []
             for part in together([t.encode("utf-8", "surrogatepass") for t in texts], 1 << 18):
-                n, bands, sketch = short_signatures(part, known, size, width)
-                parts.append(pd.DataFrame({"n_shingles": n, "set_hash": [xxhash.xxh3_128_digest(t) for t in part], "bands": list(bands), "sketch": list(sketch)}))
-            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"n_shingles": [], "set_hash": [], "bands": [], "sketch": []})
+                hashes, n = short_hashes(part, known)
+                bands, sketch = short_samples(hashes, n, size, width)
+                parts.append(pd.DataFrame({"n_shingles": n, "set_hash": [xxhash.xxh3_128_digest(t) for t in part], "bands": list(bands), "sketch": list(sketch), "shingles": short_sets(hashes, n)}))
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"n_shingles": [], "set_hash": [], "bands": [], "sketch": [], "shingles": []})
 
     return sign(text)
 
@@ -235,13 +270,14 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, percent: int, sets: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) of pairs(a, b) with 100 * intersection >= percent * union on full shingle sets.
 
-    A document with many partners gets copies of its set by hash slice, one for each 500 of its pairs.
+    sets(id, s) has them ready; else they are made from docs. A document with many partners gets copies of its set by hash slice, one for each 500 of its pairs.
     """
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    sets = stored(_texts_of(docs, ids).select("id", shingle_set("text").alias("s")).dropDuplicates(["id"]))
+    if sets is None:
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+        sets = stored(_texts_of(docs, ids).select("id", shingle_set("text").alias("s")).dropDuplicates(["id"]))
     out = pairs
     for end in ("a", "b"):
         slices = pairs.groupBy(end).agg(F.ceil(F.count("*") / 500).cast("int").alias("slices"))
@@ -280,8 +316,8 @@ def linking(pairs: np.ndarray) -> np.ndarray:
 def _across(members: DataFrame, most: int, most_fine: int, percent: int | None = None) -> DataFrame:
     """Pairs inside the buckets of members(key, id, component, bands, sketch, fine) with different components and alike sketches of both kinds.
 
-    percent: members have a column shingles too, sets short enough to be carried; pairs are then tested on them
-    as well, and of the links of a task only those are given that join what others do not.
+    percent: members have a column shingles in place of fine, sets short enough to be carried; pairs are then tested on them,
+    after a bound from their parity bitmaps that loses none, and of the links of a task only those are given that join what others do not.
 
     A pair that shares several buckets is taken in that of its first common band.
 
@@ -291,16 +327,21 @@ def _across(members: DataFrame, most: int, most_fine: int, percent: int | None =
     size = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = members.join(size, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    more = ["id", "component", "bands", "sketch", "fine"] + (["shingles"] if percent else [])
+    more = ["id", "component", "bands", "sketch", "shingles" if percent else "fine"]
     own = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *more)
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         # the buckets of a task one after the other, in each the left block first
         group = group.sort_values(["key", "i", "j", "own"], kind="stable")
         key, i, j, own, ids, component = (group[c].to_numpy() for c in ("key", "i", "j", "own", "id", "component"))
-        sketch, fine, bands = _bits(group.sketch), _bits(group.fine), np.stack(group.bands.to_numpy())
+        sketch, bands = _bits(group.sketch), np.stack(group.bands.to_numpy())
+        fine = parities(group.shingles.tolist()) if percent else _bits(group.fine)
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         sets = [np.frombuffer(x, dtype=np.uint64) for x in group.shingles] if percent else []
+        held = np.array([len(x) for x in sets])
+
+        def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+            return np.bitwise_count(fine[p] ^ fine[q]).sum(axis=1, dtype=np.int64)
 
         def alike(p: np.ndarray, q: np.ndarray) -> np.ndarray:
             both = ((sets[x], sets[y]) for x, y in zip(p.tolist(), q.tolist(), strict=True))
@@ -324,8 +365,8 @@ def _across(members: DataFrame, most: int, most_fine: int, percent: int | None =
                 lambda p, q: component[p] != component[q],
                 lambda p, q: np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64) <= most,
                 lambda p, q: bands[p, (bands[p] == bands[q]).argmax(axis=1)] == key[p],  # the first common band is this one
-                lambda p, q: np.bitwise_count(fine[p] ^ fine[q]).sum(axis=1, dtype=np.int64) <= most_fine,
-                *([alike] if percent else []),
+                # elements of one set alone are no more than (100 - percent) of (100 + percent) in both
+                *([lambda p, q: (100 + percent) * apart(p, q) <= (100 - percent) * (held[p] + held[q]), alike] if percent else [lambda p, q: apart(p, q) <= most_fine]),
             ):
                 keep = np.concatenate([ok(p[k : k + STEP], q[k : k + STEP]) for k in range(0, len(p), STEP)]) if len(p) else np.empty(0, dtype=bool)
                 p, q = p[keep], q[keep]
@@ -346,7 +387,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SAMPLE, widt
     Linked documents share component_id, the smallest doc_id reachable; kept marks that one.
     Null, empty and blank texts have no shingles and are linked with nothing. Rows that repeat a
     doc_id are one document. Rows with a null doc_id are never linked and are kept. A pair exactly
-    at `percent` is linked; with short, texts are paragraphs of so few words that their sets can be carried; of equal sets the smallest doc_id stays. Texts of any length are read
+    at `percent` is linked; with short, texts are paragraphs of so few words that their sets can be carried (sign gives them as shingles); of equal sets the smallest doc_id stays. Texts of any length are read
     whole, other columns are ignored, whatever their names, and an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
@@ -354,8 +395,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SAMPLE, widt
     signed = stored(docs.select("doc_id", sign("text", size, width).alias("s")).select("doc_id", "s.*"))
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(full.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
-    heads = full.join(classes.select("set_hash", F.col("id").alias("doc_id")), ["set_hash", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "bands", "sketch")
-    heads = stored(heads.groupBy("id").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    of_head = ["bands", "sketch"] + (["shingles"] if short else [])  # sets of short texts are carried along, so that pairs are tested where they are found
+    heads = full.join(classes.select("set_hash", F.col("id").alias("doc_id")), ["set_hash", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), *of_head)
+    heads = stored(heads.groupBy("id").agg(*(F.first(c).alias(c) for c in of_head)))
     rows = heads.select("id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).filter("n > 1")
     members = stored(rows.join(shared, "key"))
@@ -367,17 +409,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SAMPLE, widt
     star = centres.select("id", F.explode(F.array_distinct(F.array("hub", "low"))).alias("hub")).filter("id != hub")
     most = most_different(percent / 100, size)
     first = stored(_alike(star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), sketches, most))
-    links = stored(confirm(first, docs, percent))
+    links = stored(confirm(first, docs, percent, heads.select("id", F.col("shingles").alias("s")) if short else None))
     names = components(links) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     placed = members.select("key", "id").join(names.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
     unsettled = stored(placed.join(open_keys, "key", "left_semi"))
-    # short texts carry their sets along, so that pairs are tested where they are found
-    sets = [shingle_set("text").alias("shingles")] if short else []
-    fine = stored(_texts_of(docs, unsettled).select("id", fine_sketch("text").alias("fine"), *sets).dropDuplicates(["id"]))
-    both = stored(unsettled.join(sketches.join(fine, "id"), "id"))
-    second = stored(_across(both, most, most_different(percent / 100, FINE_SAMPLE, FINE_BITS), percent if short else None).join(first, ["a", "b"], "left_anti"))
-    more = stored(confirm(second, docs, percent))
+    if short:
+        more = stored(_across(stored(unsettled.join(heads, "id")), most, 0, percent))
+    else:
+        fine = stored(_texts_of(docs, unsettled).select("id", fine_sketch("text").alias("fine")).dropDuplicates(["id"]))
+        both = stored(unsettled.join(sketches.join(fine, "id"), "id"))
+        second = stored(_across(both, most, most_different(percent / 100, FINE_SAMPLE, FINE_BITS)).join(first, ["a", "b"], "left_anti"))
+        more = stored(confirm(second, docs, percent))
     if not more.isEmpty():
         names = components(links.union(more))
     # members of one class, then the class's component

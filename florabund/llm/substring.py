@@ -21,7 +21,7 @@ from __future__ import annotations
 import bisect
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, discard, stored, vectorized
+from .common import SPACE, discard, stored, together
 from .neardup import bands_for, mix, near_duplicates, short_signature
 
 WINDOW, SPACING, SHINGLE, PREFIX = 24, 27, 5, 20
@@ -47,10 +47,15 @@ _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _IS_SPACE = np.isin(np.arange(256), list(SPACE))
 #: Bytes of a text hashed at once, or one longer word.
 _BLOCK = 1 << 15
+#: Bytes of texts that are cut to paragraphs together, or one longer text.
+_TOGETHER = 1 << 16
 
 
-def anchors(g: np.ndarray, spacing: int = SPACING) -> np.ndarray:
-    """Positions of the least value among any `spacing` neighbours; of equal values that follow each other within `spacing` the first."""
+def anchors(g: np.ndarray, spacing: int = SPACING, text: np.ndarray | None = None) -> np.ndarray:
+    """Positions of the least value among any `spacing` neighbours; of equal values that follow each other within `spacing` the first.
+
+    text: the number of the text of each word, of texts one after the other; values of SHINGLE words count inside one text only.
+    """
     if len(g) < spacing:
         return np.empty(0, dtype=np.int64)
 
@@ -63,16 +68,20 @@ def anchors(g: np.ndarray, spacing: int = SPACING) -> np.ndarray:
         return f(out[: len(out) - rest], out[rest:]) if rest else out
 
     low = sliding(g, np.minimum)
+    if text is not None:
+        low[text[: len(low)] != text[-len(low) :]] = 0  # reaches over the end of a text
     edge = np.zeros(spacing - 1, dtype=g.dtype)
     at = np.flatnonzero(sliding(np.concatenate([edge, low, edge]), np.maximum) == g)  # the least of some window that holds it
     value = g[at]
-    if (value[1:] == value[:-1]).any():
+    equal = value[1:] == value[:-1]
+    if text is not None:
+        equal &= text[at[1:]] == text[at[:-1]]
+    if equal.any():
         keep, last = np.ones(len(at), dtype=bool), 0
-        for k in range(1, len(at)):
-            if value[k] == value[last] and at[k] - at[last] < spacing:
-                keep[k] = False
-            else:
-                last = k
+        for k in (np.flatnonzero(equal) + 1).tolist():
+            if keep[k - 1]:
+                last = k - 1
+            keep[k] = at[k] - at[last] >= spacing
         at = at[keep]
     return at
 
@@ -113,46 +122,58 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return start, mix(out + (end - start).astype(np.uint64))
 
 
-def paragraphs_of(text: str, n_keys: int) -> tuple[np.ndarray, ...]:
-    """(key, first word, words, code), a row per key: the windows of a text, then the lines of five words or more with n_keys each.
+def named(h: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Of word hashes a function that gives the codes of the words from x on and before y."""
+    n = len(h)
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(h) * powers(int(_P), n + 1)[1:])])  # all unsigned: a signed zero would make them doubles
+    inverse = powers(_INVERSE, n + 2)[1:]
+    # prefix sums differ by the paragraph's sum times a power of its position; dividing by it (odd, so invertible) makes equal paragraphs equal
+    return lambda x, y: mix((total[y] - total[x]) * inverse[x] + (y - x).astype(np.uint64))
+
 
-    code names the words of a paragraph. A text of fewer than five words has none.
+def paragraphs_of_all(texts: list[bytes], n_keys: int) -> tuple[np.ndarray, ...]:
+    """(place of the text, key, first word in it, words, code), a row per key: the windows of all texts, then the lines of five words or more with n_keys each.
+
+    code names the words of a paragraph. A text of fewer than five words has none. Short texts are
+    looked at together, since numpy takes longer to be called than for their words.
     """
-    raw = text.encode("utf-8", "surrogatepass").lower()
+    raw = b"\n".join(texts).lower()
     at_byte, h = word_hashes(raw)
     n = len(h)
     if n < SHINGLE:
-        return tuple(np.empty(0, dtype=np.int64) for _ in range(4))
+        return tuple(np.empty(0, dtype=np.int64) for _ in range(5))
     line = np.concatenate([[0], np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)])
     first = np.searchsorted(at_byte, line)  # no word begins at a line feed
     size = np.diff(first, append=n)
+    begin = np.searchsorted(at_byte, np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]))
+    words = np.diff(begin, append=n)
+    text = np.repeat(np.arange(len(texts)), words)
     g = h[: n - SHINGLE + 1].copy()
     for k in range(1, SHINGLE):
         g = g * _P + h[k : n - SHINGLE + 1 + k]
     g = mix(g + np.uint64(SHINGLE))
-    at = anchors(g)
-    if not len(at) or at[0]:
-        at = np.concatenate([[0], at])
-    end = np.minimum(at + WINDOW, n)
+    at = np.union1d(begin[words >= SHINGLE], anchors(g, text=text))
+    last = (begin + words)[text[at]]
+    end = np.minimum(at + WINDOW, last)
     long = size >= SHINGLE
     a, b = first[long], (first + size)[long]
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(h) * powers(int(_P), n + 1)[1:])])  # all unsigned: a signed zero would make them doubles
-    inverse = powers(_INVERSE, n + 2)[1:]
-
-    def named(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        # prefix sums differ by the paragraph's sum times a power of its position; dividing by it (odd, so invertible) makes equal paragraphs equal
-        return mix((total[y] - total[x]) * inverse[x] + (y - x).astype(np.uint64))
-
-    keys, line_codes = [named(at, np.minimum(at + PREFIX, n))], []
+    code_of_words = named(h)
+    keys, line_codes = [code_of_words(at, np.minimum(at + PREFIX, last))], []
     if len(a):
         inside = np.column_stack([a, b - SHINGLE + 1]).ravel()  # the last one may be the end of g, which reduceat does not take
         padded = np.append(g, np.uint64(2**64 - 1))
         keys += [mix(np.minimum.reduceat((padded ^ _B[k]) * _A[k], inside)[::2] + _SALT[k]) for k in range(n_keys)]
-        line_codes = [named(a, b)] * n_keys
+        line_codes = [code_of_words(a, b)] * n_keys
     start = np.concatenate([at] + [a] * n_keys)
     stop = np.concatenate([end] + [b] * n_keys)
-    code = np.concatenate([named(at, end), *line_codes])
-    return np.concatenate(keys).view(np.int64), start, stop - start, code.view(np.int64)
+    code = np.concatenate([code_of_words(at, end), *line_codes])
+    place = text[start]
+    return place, np.concatenate(keys).view(np.int64), start - begin[place], stop - start, code.view(np.int64)
+
+
+def paragraphs_of(text: str, n_keys: int) -> tuple[np.ndarray, ...]:
+    """(key, first word, words, code) of paragraphs_of_all() for one text."""
+    return paragraphs_of_all([text.encode("utf-8", "surrogatepass")], n_keys)[1:]
 
 
 def paragraphs(docs: DataFrame, n_keys: int) -> DataFrame:
@@ -161,37 +182,51 @@ def paragraphs(docs: DataFrame, n_keys: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            held = 0
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                key, start, n, code = paragraphs_of(text.as_py() or "", n_keys)
-                out.append((key, np.full(len(key), i, dtype=np.int64), start.astype(np.int32), n.astype(np.int32), code))
-                held += len(key)
+            held, seen = 0, 0
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for part in together((t.as_py() or b"" for t in batch.column(1).cast(pa.binary())), _TOGETHER):
+                place, key, start, n, code = paragraphs_of_all(part, n_keys)
+                out.append((key, ids[seen + place], start.astype(np.int32), n.astype(np.int32), code))
+                held, seen = held + len(key), seen + len(part)
                 if held > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
                     out, held = [], 0
-            if out:
+            if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
 
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("code", pa.int64())])
     return docs.select("doc_id", "text").mapInArrow(cut, "key long, doc_id long, start int, n_words int, code long")
 
 
-def code_of(words: bytes) -> int:
-    """The code that paragraphs_of() gives a paragraph of these words, A-Z lower-cased."""
-    _, h = word_hashes(words)
-    total = (mix(h) * powers(int(_P), len(h))).sum(dtype=np.uint64, keepdims=True)
-    return int(mix(total + np.uint64(len(h))).view(np.int64)[0])
-
-
-@vectorized("array<struct<doc_id: long, text: string>>")
-def _cut_out(texts: pd.Series, wanted: pd.Series) -> pd.Series:
-    """The paragraphs of a text at the given places, under their code; a place that holds other words (a repeated doc_id) gives none."""
-    def of(text: str | None, places: list) -> list[dict]:
-        found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        cut = [(p["code"], b" ".join(found[p["start"] : p["start"] + p["n_words"]])) for p in places]
-        return [{"doc_id": code, "text": words.decode("utf-8", "replace")} for code, words in cut if words and code_of(words) == code]
-
-    return pd.Series([of(t, w) for t, w in zip(texts, wanted, strict=True)])
+def codes_of(paragraphs: list[bytes]) -> np.ndarray:
+    """The codes that paragraphs_of() gives paragraphs of these words, A-Z lower-cased."""
+    at_byte, h = word_hashes(b"\n".join(paragraphs))
+    begin = np.searchsorted(at_byte, np.cumsum([0, *(len(p) + 1 for p in paragraphs)]))
+    return named(h)(begin[:-1], begin[1:]).view(np.int64)
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, wanted) -> the paragraphs of a text at the wanted places, under their code; a place that holds other words (a repeated doc_id) gives none."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    for batch in batches:
+        wanted = batch.column(1)
+        code, start, n = (wanted.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("code", "start", "n_words"))
+        edge = np.concatenate([[0], np.cumsum(wanted.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+        ends = (start + n).tolist()
+        starts = start.tolist()
+        ids, cuts, held = [], [], 0
+        for k, text in enumerate(batch.column(0).cast(pa.binary())):
+            found = (text.as_py() or b"").lower().split()
+            cut = [b" ".join(found[i:j]) for i, j in zip(starts[edge[k] : edge[k + 1]], ends[edge[k] : edge[k + 1]], strict=True)]
+            right = np.flatnonzero((codes_of(cut) == code[edge[k] : edge[k + 1]]) & np.array([len(x) > 0 for x in cut]))
+            ids.append(code[edge[k] + right])
+            cuts += [cut[i].decode("utf-8", "replace") for i in right.tolist()]
+            held += len(right)
+            if held > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(cuts, pa.string())], schema=schema)
+                ids, cuts, held = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(cuts, pa.string())], schema=schema)
 
 
 def spans_of(doc: int, start: np.ndarray, n_words: np.ndarray, cluster: np.ndarray, lo: np.ndarray, min_words: int) -> list[tuple[int, int, int, int]]:
@@ -262,7 +297,7 @@ def linked_paragraphs(docs: DataFrame, percent: int = 80, recall: float = 0.99)
     # paragraphs of different words under one key, each once, cut out of the first text that has it
     once = found.filter("mixed").groupBy("code").agg(F.min(F.struct("doc_id", "start", "n_words")).alias("at")).select("code", "at.*")
     wanted = stored(once.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("code", "start", "n_words")).alias("wanted")))
-    texts = stored(docs.join(wanted, docs["doc_id"] == wanted["id"]).select(F.explode(_cut_out("text", "wanted")).alias("p")).select("p.*"))
+    texts = stored(docs.join(wanted, docs["doc_id"] == wanted["id"]).select("text", "wanted").mapInArrow(_cut_out, "doc_id long, text string"))
     _, width = bands_for(percent / 100, recall, SAMPLE)
     alike = near_duplicates(texts, percent, SAMPLE, width, short_signature, short=True).filter("not kept").select(F.col("doc_id").alias("code"), F.col("component_id").alias("to")).distinct()
     places = found.select("doc_id", "start", "n_words", "code").distinct()

@@ -279,6 +279,25 @@ def test_word_hashes(monkeypatch, block):
     assert all(len(x) == 0 for x in substring.word_hashes(b" \n ") + substring.word_hashes(b""))
 
 
+def test_texts_are_cut_together(spark):
+    """Paragraphs of texts that are looked at together are those of each alone, also of short, blank and repetitive ones; so are codes of paragraphs."""
+    rng = random.Random(37)
+    texts = [sentence(rng, rng.randrange(0, 90), 10**6) for _ in range(60)]
+    texts += ["", " \n\n ", "a b c d", "a b c d e", "x " * 26, "x " * 31, "x " * 31, "x " * 500, ("q r s t u v w " * 40 + "\n") * 3, "\n a b c d e \xe9\n\n", texts[0], texts[0].upper()]
+    rng.shuffle(texts)
+    place, *rows = substring.paragraphs_of_all([t.encode() for t in texts], 3)
+    for i, t in enumerate(texts):
+        alone = zip(*(x.tolist() for x in substring.paragraphs_of(t, 3)), strict=True)
+        assert sorted(zip(*(x[place == i].tolist() for x in rows), strict=True)) == sorted(alone)
+    assert all(len(x) == 0 for x in substring.paragraphs_of_all([b"", b" "], 3))
+    found = [b" ".join(t.encode().lower().split()[1:30]) for t in texts]
+    assert substring.codes_of(found).tolist() == [int(substring.codes_of([w])[0]) for w in found]
+    # all texts of a table, in batches of any size
+    df = docs_of(spark, dict(enumerate([*texts, None]))).repartition(3)
+    got = sorted((r.doc_id, r.key, r.start, r.n_words, r.code) for r in substring.paragraphs(df, 3).collect())
+    assert got == sorted(zip(place.tolist(), *(x.tolist() for x in rows), strict=True))
+
+
 def units_brute(texts):
     """doc -> {(first word, words): shingle set} of all lines of five words or more and all windows."""
     out = {}
@@ -608,6 +627,45 @@ def test_short_signatures_are_the_same():
         assert (bands[k] == neardup.band_keys(best, 4)).all() and (sketch[k] == neardup.odd_sketch(best)).all()
 
 
+def test_short_sets_and_their_parities():
+    rng = random.Random(38)
+    texts = [sentence(rng, rng.randrange(5, 60), 30).encode() for _ in range(80)] + [b"go " * 900]
+    known = neardup.WordHash()
+    sets = neardup.short_sets(*neardup.short_hashes(texts, known))
+    assert sets == [neardup.shingles(t.decode(), known).tobytes() for t in texts]
+    values = [set(np.frombuffer(x, dtype=np.uint64).tolist()) for x in sets]
+    odd = neardup.parities(sets)
+    for (a, x), (b, y) in itertools.combinations(zip(values, odd, strict=True), 2):  # never more bits apart than elements
+        apart = int(np.bitwise_count(x ^ y).sum())
+        assert apart <= len(a ^ b) and (apart - len(a ^ b)) % 2 == 0
+
+
+def test_short_texts_are_read_once(spark, monkeypatch):
+    """Short texts are hashed once, when they are signed: their pairs are tested on sets carried along, with neither fine sketches nor a second reading."""
+
+    def no(*_):
+        raise AssertionError("texts are read again")
+
+    monkeypatch.setattr(neardup, "fine_sketch", no)
+    monkeypatch.setattr(neardup, "shingle_set", no)
+    rng = random.Random(39)
+    texts = {}
+    for i in range(0, 200, 10):  # families in which copies are near each other by chains
+        w = sentence(rng, rng.randrange(25, 60), 10**6).split()
+        for k in range(10):
+            if k % 3:
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            texts[i + k] = " ".join(w)
+    texts[300] = texts[7]
+    _, name = near_brute(texts, 80)
+    rows = neardup.near_duplicates(docs_of(spark, texts), 80, substring.SAMPLE, neardup.bands_for(0.8, 0.9999, substring.SAMPLE)[1], neardup.short_signature, short=True).collect()
+    got = {r.doc_id: r.component_id for r in rows}
+    assert len(rows) == len(texts) and len(set(name.values())) < 100
+    pairs = [(i, j) for i, j in itertools.combinations(texts, 2) if name[i] == name[j]]
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.99 * len(pairs)
+    assert all(name[i] == name[j] for i, j in itertools.combinations(texts, 2) if got[i] == got[j])
+
+
 # --- 8 token counts -------------------------------------------------------------------------
 
 
